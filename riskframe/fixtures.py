@@ -67,8 +67,8 @@ def fx_variables(spark: SparkSession, d: str) -> DataFrame:
 
 def fx_daily(spark: SparkSession, d: str) -> DataFrame:
     r = fx_readings(spark, d)
-    return (r.groupBy("fecha", "indicativo").pivot("variable", EVENT_TYPES)
-            .agg(F.sum("valor")))
+    wide = r.groupBy("fecha", "indicativo").pivot("variable", EVENT_TYPES).agg(F.sum("valor"))
+    return wide.withColumns({t: F.round(F.col(t).cast("decimal(38,10)"), 6).cast("double") for t in EVENT_TYPES})
 
 
 def fx_stations(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +252,8 @@ def _dms_sql(deg: str, minutes: str, sec: str, hemi: str) -> str:
 
 
 _VALUES = ", ".join(f"('{a}', '{b}')" for a, b in VARIABLE_CATALOG)
-_PIVOT = ", ".join(f"sum(valor) FILTER (WHERE variable = '{t}') AS {t}" for t in EVENT_TYPES)
+_PIVOT = ", ".join(f"CAST(round(CAST(sum(valor) FILTER (WHERE variable = '{t}') AS DECIMAL(38,10)), 6) AS DOUBLE) AS {t}"
+                   for t in EVENT_TYPES)
 
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_readings": ((), """

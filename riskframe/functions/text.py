@@ -88,7 +88,7 @@ def to_number(c: Column | str, missing: Iterable[str] = MISSING_TOKENS) -> Colum
 def parse_date(c: Column | str, formats: Iterable[str] = DATE_FORMATS) -> Column:
     """Text -> date trying several formats; null when none fits."""
     s = _c(c).cast("string")
-    return F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
 
 
 def date_text(c: Column | str) -> Column:

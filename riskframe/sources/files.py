@@ -50,16 +50,16 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_with_provenance(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|",
-                         date_pattern: str = r"(\d{4})(\d{2})\d{2}") -> DataFrame:
-    """Many delimited files in one read; the file name (from the
-    hidden ``_metadata`` column) gives ``filename``, ``year`` and ``month``."""
+                         date_pattern: str = r"(\d{4})(\d{2})") -> DataFrame:
+    """Many delimited files in one read; the file path (from the
+    hidden ``_metadata`` column) gives ``filename``, ``year`` and ``month``
+    (regex groups 1 and 2 of ``date_pattern`` over the path)."""
     df = (spark.read.schema(schema).option("header", True).option("sep", sep)
           .option("recursiveFileLookup", True).csv(path))
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.select("*", name.alias("filename")).withColumns({
-        "year": F.regexp_extract("filename", date_pattern, 1).try_cast("int"),
-        "month": F.regexp_extract("filename", date_pattern, 2).try_cast("int"),
-    })
+    fp = F.col("_metadata.file_path")
+    return df.select("*", F.element_at(F.split(fp, "/"), -1).alias("filename"),
+                     F.regexp_extract(fp, date_pattern, 1).try_cast("int").alias("year"),
+                     F.regexp_extract(fp, date_pattern, 2).try_cast("int").alias("month"))
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType,

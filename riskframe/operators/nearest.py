@@ -29,6 +29,11 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
 
 
+def _materialize(df: DataFrame, name: str) -> DataFrame:
+    from ..sources.files import materialize
+    return materialize(df, name)
+
+
 def _levels(cell_deg: float, growth: int) -> list[float]:
     sizes = [cell_deg]
     while sizes[-1] < 180.0:
@@ -57,13 +62,19 @@ def nearest_station(points: DataFrame, stations: DataFrame, *,
                     station_cols: list[str] | None = None,
                     cell_deg: float = 0.25, growth: int = 4,
                     station_key_as: str | None = None,
-                    distance_col: str = "distancia_m") -> DataFrame:
+                    distance_col: str = "distancia_m", materialize: bool = False) -> DataFrame:
     """One row per point: the point's columns, the nearest station's key
     (renamed ``station_key_as`` if given), ``station_cols`` and the haversine
     distance in metres.
 
     Points and stations with a null coordinate take no part in the pairing;
     such points are returned with null station columns.
+
+    ``materialize=True`` writes each level's result as a table in the shared
+    checkpoint folder (``spark.checkpoint.dir``) and stops as soon as no
+    point is pending:
+    the levels then run as separate small jobs instead of one plan in which
+    every level repeats its predecessors.
     """
     station_cols = station_cols or []
     st = stations.select(
@@ -98,6 +109,8 @@ def nearest_station(points: DataFrame, stations: DataFrame, *,
             "_d", haversine_m("_p_lat", "_p_lon", "_s_lat", "_s_lon"))
         best = pairs.groupBy("_p_key", "_p_lat", "_p_lon", "_pcy", "_pcx").agg(
             F.min(F.when(F.col("_s_key").isNotNull(), candidate)).alias("_best"))
+        if materialize:
+            best = _materialize(best, f"nearest-level{level}")
         if last:
             resolved.append(best.select("_p_key", "_best"))
             break
@@ -106,6 +119,8 @@ def nearest_station(points: DataFrame, stations: DataFrame, *,
             "_ok", F.coalesce(F.col("_best._d") < bound * F.lit(1 - 1e-9), F.lit(False)))
         resolved.append(best.where("_ok").select("_p_key", "_best"))
         pending = best.where(~F.col("_ok")).select("_p_key", "_p_lat", "_p_lon")
+        if materialize and pending.isEmpty():
+            break
 
     found = resolved[0]
     for r in resolved[1:]:

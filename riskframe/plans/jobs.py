@@ -102,14 +102,19 @@ def station_overrides(municipalities: DataFrame) -> DataFrame:
 
 
 def job_station_bridge(municipalities: DataFrame, stations: DataFrame,
-                       overrides: DataFrame | None = None, cell_deg: float = 0.25) -> DataFrame:
-    """Every municipality's nearest station (exact, grid-pruned)."""
+                       overrides: DataFrame | None = None, cell_deg: float = 0.25,
+                       materialize: bool = True) -> DataFrame:
+    """Every municipality's nearest station (exact, grid-pruned).
+
+    The bridge is a small dimension (one row per municipality) used by three
+    later joins, so by default it is materialised level by level (see
+    ``nearest_station``) rather than re-planned inside each consumer."""
     pts = municipalities.select("codigo_municipio", "municipio", "latitud", "longitud")
     if overrides is not None:
         pts = apply_overrides(pts, overrides, "codigo_municipio", ["latitud", "longitud"])
     st = stations.select("indicativo", F.col("nombre").alias("nombre_estacion"), "latitud", "longitud")
     b = nearest_station(pts, st, point_key="codigo_municipio", station_key="indicativo",
-                        station_cols=["nombre_estacion"], cell_deg=cell_deg)
+                        station_cols=["nombre_estacion"], cell_deg=cell_deg, materialize=materialize)
     return b.select("codigo_municipio", "municipio", "indicativo", "nombre_estacion",
                     round_half_up("distancia_m", 3).alias("distancia_m"))
 

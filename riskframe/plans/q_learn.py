@@ -1 +1,334 @@
-"""Registered learning-data, model and evaluation queries (filled in below)."""
+"""Registered learning-data, model and evaluation queries (M*, D*, E9)."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..functions.text import round_half_up
+from ..operators import evaluate as ev
+from ..operators import features as feat
+from ..operators import models as md
+from ..operators import sampling as smp
+from ..sources.files import materialize
+from . import jobs
+from . import sql_jobs as sj
+from .catalog import register
+
+r6 = lambda c: round_half_up(c, 6)
+s6 = lambda e: sj.rnd(e, 6)
+KEYS = ["indicativo", "fecha"]
+SEED = 123
+N_NEGATIVE = 3029  # fixed value: negatives kept by the reference's down-sampling
+CUTOFF = "2000-01-01"
+WINDOW = ("1998-02-21", "1999-05-09")
+NUMERIC = ["prec", "tmed", "velmedia", "racha", "sol", "presmax", "rhum", "altitud", "porcentaje_pendiente_total",
+           "total_viajes_estacion"]
+CATS = ["alto_riesgo", "peligro", "vulner"]
+CALENDAR = ["laborable", "dayofyear", "weekend", "mes"]
+LABEL = "ocurrencia"
+
+_MD5 = "md5(concat_ws('|', CAST(indicativo AS VARCHAR), CAST(fecha AS VARCHAR), '{seed}'))"
+
+
+def _base(spark, d):
+    return jobs.clean_fx(spark, d)
+
+
+# ============================================================== sampling / splits
+
+@register("downsample_fixed", sj.with_jobs("clean") + f"""
+    SELECT fecha, indicativo, ocurrencia FROM clean WHERE ocurrencia <> 0
+    UNION ALL
+    SELECT fecha, indicativo, ocurrencia FROM (
+      SELECT *, row_number() OVER (ORDER BY {_MD5.format(seed=SEED)}) AS rn FROM clean WHERE ocurrencia = 0)
+    WHERE rn <= {N_NEGATIVE}""")
+def q_downsample_fixed(spark, d):
+    """M1: all positives + 3029 hash-chosen negatives (exact, repeatable)."""
+    b = _base(spark, d).select("fecha", "indicativo", LABEL)
+    return smp.downsample(b, LABEL, N_NEGATIVE, KEYS, SEED)
+
+
+@register("undersample_parity", sj.with_jobs("clean", extra={
+    "pos": "SELECT count(*) AS n FROM clean WHERE ocurrencia = 1"}) + f"""
+    SELECT fecha, indicativo, ocurrencia FROM clean WHERE ocurrencia = 1
+    UNION ALL
+    SELECT fecha, indicativo, ocurrencia FROM (
+      SELECT *, row_number() OVER (ORDER BY {_MD5.format(seed=SEED)}) AS rn FROM clean WHERE ocurrencia = 0)
+    WHERE rn <= (SELECT n FROM pos)""")
+def q_undersample_parity(spark, d):
+    """M2: majority cut to the minority's size."""
+    b = _base(spark, d).select("fecha", "indicativo", LABEL)
+    return smp.undersample_parity(b, LABEL, KEYS, SEED)
+
+
+@register("split_random", sj.with_jobs("clean") + f"""
+    SELECT fecha, indicativo, CASE WHEN rn <= ceil(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM (
+      SELECT fecha, indicativo, row_number() OVER (ORDER BY {_MD5.format(seed=SEED)}) AS rn,
+             count(*) OVER () AS n FROM clean)""")
+def q_split_random(spark, d):
+    """M4: exact 80/20 split by hash order."""
+    return smp.split_random(_base(spark, d).select("fecha", "indicativo"), KEYS, 0.8, SEED)
+
+
+@register("split_ordered", sj.with_jobs("clean") + """
+    SELECT fecha, indicativo, CASE WHEN rn <= ceil(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM (
+      SELECT fecha, indicativo, row_number() OVER (ORDER BY fecha, indicativo) AS rn, count(*) OVER () AS n
+      FROM clean)""")
+def q_split_ordered(spark, d):
+    """M5/Q15: first 80 % in (date, station) order -> train."""
+    order = F.unix_date("fecha").cast("long") * F.lit(1 << 32) + F.col("indicativo")
+    return smp.split_ordered(_base(spark, d).select("fecha", "indicativo"), order, KEYS, 0.8)
+
+
+@register("split_time", sj.with_jobs("clean") + f"""
+    SELECT fecha, indicativo, CASE WHEN fecha < DATE '{CUTOFF}' THEN 'train' ELSE 'test' END AS split FROM clean""")
+def q_split_time(spark, d):
+    """M6: calendar split."""
+    return feat.split_time(_base(spark, d).select("fecha", "indicativo"), "fecha", CUTOFF)
+
+
+_STD = ["prec", "tmed", "velmedia", "rhum", "altitud", "porcentaje_pendiente_total", "total_viajes_estacion"]
+
+
+@register("standardize", sj.with_jobs("clean", extra={
+    "sp": f"SELECT *, CASE WHEN fecha < DATE '{CUTOFF}' THEN 'train' ELSE 'test' END AS split FROM clean",
+    "st": "SELECT " + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _STD) +
+          " FROM sp WHERE split = 'train'"}) + "SELECT fecha, indicativo, split, " + ", ".join(
+    f"{s6(f'CASE WHEN sd_{c} > 0 THEN ({c} - mu_{c}) / sd_{c} ELSE 0.0 END')} AS {c}" for c in _STD) +
+    " FROM sp CROSS JOIN st")
+def q_standardize(spark, d):
+    """M7: standardised with train mean and population deviation."""
+    b = feat.split_time(_base(spark, d), "fecha", CUTOFF).select("fecha", "indicativo", "split", *_STD)
+    out = feat.standardize(b, _STD)
+    return out.withColumns({c: r6(c) for c in _STD})
+
+
+def _ohe_ix(c: str) -> str:
+    k = f"(SELECT count(DISTINCT {c}) FROM sp WHERE split = 'train' AND {c} IS NOT NULL)"
+    idx = (f"CASE WHEN {c} IN (SELECT {c} FROM sp WHERE split = 'train') THEN "
+           f"(SELECT count(DISTINCT t.{c}) FROM sp t WHERE t.split = 'train' AND t.{c} < o.{c}) ELSE {k} END")
+    return f"CAST({idx} AS BIGINT) AS {c}_idx, {k} AS {c}_k"
+
+
+def _ohe_arr(c: str) -> str:
+    return (f"{c}_idx, CAST(list_transform(range({c}_k + 1), lambda i: CASE WHEN i = {c}_idx THEN 1.0 ELSE 0.0 END) "
+            f"AS DOUBLE[]) AS {c}_ohe")
+
+
+@register("one_hot", sj.with_jobs("clean", extra={
+    "sp": f"SELECT *, CASE WHEN fecha < DATE '{CUTOFF}' THEN 'train' ELSE 'test' END AS split FROM clean",
+    "ix": "SELECT o.fecha, o.indicativo, " + ", ".join(_ohe_ix(c) for c in CATS) + " FROM sp o"}) +
+    "SELECT fecha, indicativo, " + ", ".join(_ohe_arr(c) for c in CATS) + " FROM ix")
+def q_one_hot(spark, d):
+    """M8/Q14: indexes fitted once on train (alphabetical, unseen -> last)."""
+    b = feat.split_time(_base(spark, d), "fecha", CUTOFF)
+    out = feat.one_hot(b, CATS)
+    return out.select("fecha", "indicativo", *[x for c in CATS for x in (f"{c}_idx", f"{c}_ohe")])
+
+
+@register("class_weights", sj.with_jobs("clean") + """
+    SELECT ocurrencia, count(*) AS n_c,
+           sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight
+    FROM clean GROUP BY ocurrencia""")
+def q_class_weights(spark, d):
+    """Balanced class weights n / (k * n_c)."""
+    return smp.class_weights(_base(spark, d), LABEL)
+
+
+_MOB = ["total_viajes_estacion", "total_viajes_km_estacion"]
+_NALL = 2 + len(sj._MAX_COLS)
+
+
+@register("analysis_subsets", sj.with_jobs("clean") + f"""
+    SELECT 'all' AS subset, count(*) AS n_rows, CAST({_NALL} AS BIGINT) AS n_cols FROM clean UNION ALL
+    SELECT 'sin_movilidad', count(*), CAST({_NALL - 2} AS BIGINT) FROM clean UNION ALL
+    SELECT 'ventana', count(*), CAST({_NALL} AS BIGINT) FROM clean
+      WHERE fecha BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}' UNION ALL
+    SELECT 'ventana_sin_movilidad', count(*), CAST({_NALL - 2} AS BIGINT) FROM clean
+      WHERE fecha BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'""")
+def q_analysis_subsets(spark, d):
+    """The four analysis views (row and column counts)."""
+    subs = feat.analysis_subsets(_base(spark, d), "fecha", WINDOW, _MOB)
+    out = None
+    for name, df in subs.items():
+        part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("subset"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_cols"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# ============================================================== evaluation (deterministic scores)
+
+_SWEEP = " UNION ALL ".join(f"SELECT {t} AS threshold" for t in ev.THRESHOLDS)
+
+
+@register("threshold_sweep", fx.sql_with("fx_scored", extra={"t": _SWEEP}) + f"""
+    SELECT threshold, tp, fp, tn, fn, {s6('(tp + tn) / (tp + fp + tn + fn)')} AS accuracy,
+           {s6('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END')} AS precision,
+           {s6('CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END')} AS recall FROM (
+      SELECT CAST(t.threshold AS DOUBLE) AS threshold,
+             count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp,
+             count(*) FILTER (WHERE score >= threshold AND label <> 1) AS fp,
+             count(*) FILTER (WHERE score < threshold AND label <> 1) AS tn,
+             count(*) FILTER (WHERE score < threshold AND label = 1) AS fn
+      FROM fx_scored CROSS JOIN t GROUP BY t.threshold)""")
+def q_threshold_sweep(spark, d):
+    """Metrics at each probability threshold."""
+    out = ev.threshold_sweep(fx.fx_scored(spark, d), "label", "score")
+    return out.withColumns({c: r6(c) for c in ["accuracy", "precision", "recall"]})
+
+
+_PRED = "SELECT id, label, CAST(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS pred FROM fx_scored"
+_REPORT = {
+    "p": _PRED,
+    "cls": "SELECT label AS clase FROM p UNION SELECT pred FROM p",
+    "rep": """SELECT c.clase,
+                 coalesce((SELECT count(*) FROM p WHERE label = c.clase AND pred = c.clase) /
+                          nullif((SELECT count(*) FROM p WHERE pred = c.clase), 0), 0.0) AS precision,
+                 coalesce((SELECT count(*) FROM p WHERE label = c.clase AND pred = c.clase) /
+                          nullif((SELECT count(*) FROM p WHERE label = c.clase), 0), 0.0) AS recall,
+                 (SELECT count(*) FROM p WHERE label = c.clase) AS support FROM cls c""",
+    "rep2": "SELECT clase, precision, recall, CASE WHEN precision + recall > 0 THEN "
+            "2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1, support FROM rep"}
+
+
+@register("classification_report", fx.sql_with("fx_scored", extra=_REPORT) + f"""
+    SELECT clase, {s6('precision')} AS precision, {s6('recall')} AS recall, {s6('f1')} AS f1, support FROM rep2""")
+def q_classification_report(spark, d):
+    """Per-class precision, recall, F1, support at threshold 0.5."""
+    p = ev.predict_at(fx.fx_scored(spark, d), "score", 0.5)
+    out = ev.classification_report(p, "label", "pred")
+    return out.withColumns({c: r6(c) for c in ["precision", "recall", "f1"]})
+
+
+@register("macro_metrics", fx.sql_with("fx_scored", extra=_REPORT) + f"""
+    SELECT {s6('(SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) FROM p)')} AS accuracy,
+           {s6('avg(precision)')} AS precision_macro, {s6('avg(recall)')} AS recall_macro,
+           {s6('avg(f1)')} AS f1_macro FROM rep2""")
+def q_macro_metrics(spark, d):
+    """Accuracy and macro-averaged precision / recall / F1."""
+    p = ev.predict_at(fx.fx_scored(spark, d), "score", 0.5)
+    out = ev.macro_metrics(p, "label", "pred")
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@register("confusion_matrix", fx.sql_with("fx_scored", extra={"p": _PRED}) + f"""
+    SELECT label, pred, count(*) AS n, {s6('count(*) / sum(count(*)) OVER ()')} AS share
+    FROM p GROUP BY label, pred""")
+def q_confusion_matrix(spark, d):
+    """Counts and shares per (label, prediction)."""
+    p = ev.predict_at(fx.fx_scored(spark, d), "score", 0.5)
+    return ev.confusion_matrix(p, "label", "pred").withColumn("share", r6("share"))
+
+
+@register("log_loss", fx.sql_with("fx_scored") + f"""
+    SELECT {s6('-avg(label * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + '
+               '(1 - label) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)))')} AS log_loss,
+           count(*) AS n FROM fx_scored""")
+def q_log_loss(spark, d):
+    """Binary cross-entropy of the scores."""
+    return ev.log_loss(fx.fx_scored(spark, d), "label", "score").withColumn("log_loss", r6("log_loss"))
+
+
+# ============================================================== models (rows-only checks)
+
+def _prepared(spark, d):
+    """Split by time, standardise on train, assemble scaled + one-hot + calendar.
+
+    The cleaned table and the assembled frame are written once to the shared
+    checkpoint folder: model fitting passes over its input many times and must
+    not replay the whole job lineage on each pass."""
+    b = feat.split_time(materialize(_base(spark, d), "clean"), "fecha", CUTOFF)
+    b = feat.standardize(b, NUMERIC, suffix="_z")
+    b = smp.with_class_weights(b, LABEL)
+    pipe = feat.assemble_pipeline([f"{c}_z" for c in NUMERIC], CATS, CALENDAR).fit(b.where("split = 'train'"))
+    out = materialize(pipe.transform(b).withColumn(LABEL, F.col(LABEL).cast("double")), "assembled")
+    return out.where("split = 'train'"), out.where("split = 'test'")
+
+
+def _scored(pred):
+    return md.positive_probability(pred).select("fecha", "indicativo", LABEL, "prediction", "p1")
+
+
+@register("assemble")
+def q_assemble(spark, d):
+    """M9: the assembled feature vector (as an array) per row."""
+    tr, te = _prepared(spark, d)
+    return tr.unionByName(te).select("fecha", "indicativo", "split", vector_to_array("features").alias("features"))
+
+
+@register("decision_tree")
+def q_decision_tree(spark, d):
+    """Entropy tree with class weights; test-set predictions."""
+    tr, te = _prepared(spark, d)
+    return _scored(md.decision_tree(weight="weight", max_depth=10, min_leaf=5).fit(tr).transform(te))
+
+
+@register("random_forest")
+def q_random_forest(spark, d):
+    """D2."""
+    tr, te = _prepared(spark, d)
+    return _scored(md.random_forest(n_trees=20, max_depth=10, min_leaf=10).fit(tr).transform(te))
+
+
+@register("gbt")
+def q_gbt(spark, d):
+    """Boosted trees, logistic loss."""
+    tr, te = _prepared(spark, d)
+    return _scored(md.gbt(max_iter=20, max_depth=5, step=0.1).fit(tr).transform(te))
+
+
+@register("mlp")
+def q_mlp(spark, d):
+    """Perceptron over the assembled features, trained on a balanced sample."""
+    tr, te = _prepared(spark, d)
+    n = len(tr.schema["features"].metadata["ml_attr"]["attrs"]["numeric"]) + \
+        len(tr.schema["features"].metadata["ml_attr"]["attrs"].get("binary", []))
+    bal = smp.undersample_parity(tr, LABEL, KEYS, SEED)
+    return _scored(md.mlp(n, max_iter=50).fit(bal).transform(te))
+
+
+@register("grid_search")
+def q_grid_search(spark, d):
+    """3-fold grid search over depth and minimum leaf size; predictions of
+    the chosen model (quirk Q17)."""
+    tr, te = _prepared(spark, d)
+    cv = md.grid_search(md.decision_tree(weight="weight"), {"maxDepth": [5, 10], "minInstancesPerNode": [5, 10]},
+                        folds=3)
+    return _scored(cv.fit(tr).bestModel.transform(te))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    """Named importances of a boosted model."""
+    tr, te = _prepared(spark, d)
+    m = md.gbt(max_iter=10, max_depth=4).fit(tr)
+    return md.feature_importance(spark, m, tr)
+
+
+@register("balanced_forest")
+def q_balanced_forest(spark, d):
+    """D3: trees on balanced hash samples, probabilities averaged."""
+    tr, te = _prepared(spark, d)
+    models = md.balanced_forest(tr, KEYS, n_trees=5)
+    out = md.average_probability(models, te)
+    return out.select("fecha", "indicativo", LABEL, (F.col("p1") >= 0.5).cast("double").alias("prediction"), "p1")
+
+
+@register("adaboost")
+def q_adaboost(spark, d):
+    """SAMME over stumps (5 rounds here; the count is a parameter)."""
+    tr, te = _prepared(spark, d)
+    rounds = md.adaboost(tr, n_rounds=5, rate=0.1)
+    return md.adaboost_score(rounds, te).select("fecha", "indicativo", LABEL, "prediction", "score")
+
+
+@register("job_train_eval")
+def q_job_train_eval(spark, d):
+    """Train a boosted model on the time split, evaluate on the test years."""
+    tr, te = _prepared(spark, d)
+    pred = _scored(md.gbt(max_iter=20, max_depth=5).fit(tr).transform(te))
+    pred = pred.withColumns({LABEL: F.col(LABEL).cast("long"), "prediction": F.col("prediction").cast("long")})
+    return ev.macro_metrics(pred, LABEL, "prediction").crossJoin(ev.log_loss(pred, LABEL, "p1"))

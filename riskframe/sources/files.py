@@ -23,6 +23,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/riskframe-io/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` once as parquet under the shared checkpoint
+    folder and read it back (one job; survives executor loss)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def all_string_schema(cols: list[str]) -> T.StructType:
     """S3: every column as text (keeps leading zeros of codes)."""
     return T.StructType([T.StructField(c, T.StringType()) for c in cols])

@@ -131,3 +131,44 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Attach the class weight to every row (broadcast of k rows)."""
     return df.join(F.broadcast(class_weights(df, label, out).drop("n_c")), label)
+
+
+def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int = 5, seed: int = 123,
+          grid: Sequence[str] | None = None, cell: float = 0.5) -> DataFrame:
+    """M3: SMOTE over-sampling of the minority class up to the majority's size.
+
+    Neighbours are the exact k nearest minority rows (``knn_self``, no
+    all-pairs join).  Each minority row makes ``q`` or ``q + 1`` synthetic rows
+    (``q = n_new // n_min``; the ``n_new % n_min`` rows with the smallest
+    hash make one more), each one ``x + u * (x_nn - x)`` with the neighbour
+    and ``u`` drawn from a hash of (row, copy, seed): exact and repeatable.
+    Returns the synthetic rows only: (key of the source row, copy, label,
+    features); other columns are null.
+    """
+    from .knn import knn_self
+
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    minority = min(counts, key=lambda c: (counts[c], str(c)))
+    n_min, n_max = counts[minority], max(counts.values())
+    n_new = n_max - n_min
+    feats = list(features)
+    mino = df.where(F.col(label) == minority).select(key, *feats)
+    if n_new <= 0 or n_min < 2:
+        return mino.limit(0).withColumn("copia", F.lit(0).cast("long")).withColumn(label, F.lit(minority))
+    kk = min(k, n_min - 1)
+    nn = knn_self(mino, key, feats, kk, grid=grid, cell=cell)
+    q, extra = divmod(n_new, n_min)
+    plus = first_n(mino.select(key), extra, hash_key([key], f"{seed}-extra"), hash_text([key], f"{seed}-extra"))
+    plus = plus.withColumn("_plus", F.lit(1))
+    reps = mino.join(plus, key, "left").withColumn("_n", F.lit(q) + F.coalesce("_plus", F.lit(0)))
+    copies = reps.where(F.col("_n") > 0).withColumn("copia", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    h = F.concat_ws("|", F.col(key).cast("string"), F.col("copia").cast("string"), F.lit(str(seed)))
+    copies = copies.withColumns({
+        "nn_rank": (F.conv(F.substring(F.md5(h), 1, 8), 16, 10).cast("long") % kk + 1),
+        "_u": F.conv(F.substring(F.md5(F.concat(h, F.lit("u"))), 1, 13), 16, 10).cast("double") / float(16 ** 13),
+    })
+    nb = nn.select(key, "nn_rank", "nn_key")
+    other = mino.select(F.col(key).alias("nn_key"), *[F.col(c).alias(f"_nb_{c}") for c in feats])
+    j = copies.join(nb, [key, "nn_rank"]).join(other, "nn_key")
+    return j.select(key, F.col("copia").cast("long").alias("copia"), F.lit(minority).alias(label),
+                    *[(F.col(c) + F.col("_u") * (F.col(f"_nb_{c}") - F.col(c))).alias(c) for c in feats])

@@ -28,11 +28,12 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     wide = df.agg(*aggs)
     pairs = [f"{a}|{b}" for i, a in enumerate(cols) for b in cols[i:]]
     upper = wide.unpivot([], pairs, "_pair", "corr").select(
-        F.get(F.split("_pair", r"\|"), 0).alias("var_a"),
-        F.get(F.split("_pair", r"\|"), 1).alias("var_b"), "corr")
-    lower = upper.where(F.col("var_a") != F.col("var_b")).select(
-        F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"), "corr")
-    return upper.unionByName(lower)
+        F.get(F.split("_pair", r"\|"), 0).alias("a"), F.get(F.split("_pair", r"\|"), 1).alias("b"), "corr")
+    # both orientations from the single aggregate row set (no second pass over the input)
+    both = F.array(F.struct(F.col("a").alias("var_a"), F.col("b").alias("var_b")),
+                   F.struct(F.col("b").alias("var_a"), F.col("a").alias("var_b")))
+    return (upper.select(F.explode(F.array_distinct(both)).alias("_o"), "corr")
+            .select("_o.var_a", "_o.var_b", "corr"))
 
 
 def correlated_pairs(corr: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -332,3 +332,29 @@ def q_job_train_eval(spark, d):
     pred = _scored(md.gbt(max_iter=20, max_depth=5).fit(tr).transform(te))
     pred = pred.withColumns({LABEL: F.col(LABEL).cast("long"), "prediction": F.col("prediction").cast("long")})
     return ev.macro_metrics(pred, LABEL, "prediction").crossJoin(ev.log_loss(pred, LABEL, "p1"))
+
+
+def _smote_input(spark, d):
+    """Training rows of the time split, standardised numeric features."""
+    b = feat.split_time(materialize(_base(spark, d), "clean"), "fecha", CUTOFF)
+    b = feat.standardize(b, NUMERIC).where("split = 'train'")
+    return b.withColumn("row_key", F.concat_ws("|", F.col("indicativo").cast("string"), F.col("fecha").cast("string")))
+
+
+@register("smote_counts", sj.with_jobs("clean", extra={
+    "tr": f"SELECT ocurrencia FROM clean WHERE fecha < DATE '{CUTOFF}'",
+    "c": "SELECT ocurrencia, count(*) AS n FROM tr GROUP BY ocurrencia"}) + """
+    SELECT ocurrencia, (SELECT max(n) FROM c) AS n FROM c""")
+def q_smote_counts(spark, d):
+    """M3: class counts of the training rows after SMOTE (parity)."""
+    b = _smote_input(spark, d)
+    syn = smp.smote(b, LABEL, "row_key", NUMERIC, k=5, seed=SEED)
+    both = b.select(LABEL).unionByName(syn.select(LABEL))
+    return both.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("smote_rows")
+def q_smote_rows(spark, d):
+    """M3: the synthetic minority rows themselves."""
+    b = _smote_input(spark, d)
+    return smp.smote(b, LABEL, "row_key", NUMERIC, k=5, seed=SEED)

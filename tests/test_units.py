@@ -144,3 +144,26 @@ def test_downsample_keeps_all_positives(spark):
     df = spark.createDataFrame([(i, 1 if i < 3 else 0) for i in range(13)], "k long, y long")
     out = smp.downsample(df, "y", 4, ["k"], 1).collect()
     assert sum(r.y for r in out) == 3 and len(out) == 7
+
+
+def test_knn_self_matches_brute_force(spark):
+    from riskframe.operators.knn import knn_self
+    rnd = np.random.default_rng(11)
+    x = np.vstack([rnd.normal(0, 1, (120, 4)), rnd.normal(6, 0.2, (5, 4))])  # a far, tight cluster too
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    got = {}
+    for r in knn_self(df, "id", ["a", "b", "c", "d"], 3, cell=0.3).collect():
+        got.setdefault(r.id, {})[r.nn_rank] = r.nn_key
+    for i in range(len(x)):
+        dist = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        order = sorted((dist[j], j) for j in range(len(x)) if j != i)[:3]
+        assert [got[i][k] for k in (1, 2, 3)] == [j for _, j in order], i
+
+
+def test_smote_reaches_parity(spark):
+    rows = [(f"r{i}", 1 if i < 6 else 0, float(i % 5), float((i * 7) % 11)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, y long, a double, b double")
+    syn = smp.smote(df, "y", "k", ["a", "b"], k=3, seed=5)
+    assert syn.count() == 34 - 6
+    assert set(r.y for r in syn.collect()) == {1}

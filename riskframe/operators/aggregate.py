@@ -119,18 +119,24 @@ def column_mode(df: DataFrame, col: str) -> DataFrame:
 # ---------------------------------------------------------------- A10–A12 profiles
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """A10: count, mean, sample std, min, quartiles, max per column (long form,
-    one aggregation pass over the long view)."""
+    """A10: count, mean, sample std, min, quartiles, max per column (long form).
+
+    Moments come from one aggregation pass; the quartiles are exact order
+    statistics found by distributed narrowing (``quantiles.exact_quantiles``),
+    or ``percentile_approx`` with ``approx=True``.
+    """
     lf = long_form(df, [], cols)
-    return lf.groupBy("variable").agg(
-        F.count("valor").alias("count"),
-        F.avg("valor").alias("mean"),
-        F.stddev_samp("valor").alias("std"),
-        F.min("valor").alias("min"),
-        _quantiles(F.col("valor"), [0.25, 0.5, 0.75], approx).alias("_q"),
-        F.max("valor").alias("max"),
-    ).select("variable", "count", "mean", "std", "min",
-             F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+    moments = lf.groupBy("variable").agg(
+        F.count("valor").alias("count"), F.avg("valor").alias("mean"), F.stddev_samp("valor").alias("std"),
+        F.min("valor").alias("min"), F.max("valor").alias("max"))
+    if approx:
+        q = lf.groupBy("variable").agg(_quantiles(F.col("valor"), [0.25, 0.5, 0.75], True).alias("_q")).select(
+            "variable", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"))
+    else:
+        from .quantiles import quantile_frame
+        q = quantile_frame(lf, "variable", "valor", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    return moments.join(F.broadcast(q), "variable", "left").select(
+        "variable", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
@@ -172,14 +178,25 @@ def iqr_outliers(df: DataFrame, keys: Sequence[str], row_keys: Sequence[str], co
 def boxplot_summary(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (), k: float = 1.5,
                     approx: bool = False) -> DataFrame:
     """The numbers behind a box plot: quartiles, whiskers (most extreme
-    values inside the fences) and the outlier count."""
-    fences = iqr_fences(df, group, cols, k, approx)
+    values inside the fences) and the outlier count.  Without ``group`` the
+    quartiles are whole-column order statistics found by distributed
+    narrowing; with ``group`` they are per-group ``percentile``."""
     lf = long_form(df, group, cols).where(F.col("valor").isNotNull())
-    j = lf.join(fences, list(group) + ["variable"])
+    if group or approx:
+        fences = iqr_fences(df, group, cols, k, approx)
+        med = lf.groupBy(*group, "variable").agg(
+            (F.percentile_approx("valor", 0.5) if approx else F.percentile("valor", 0.5)).alias("median"))
+        fences = fences.join(med, list(group) + ["variable"])
+    else:
+        from .quantiles import quantile_frame
+        q = quantile_frame(lf, "variable", "valor", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+        iqr = F.col("q3") - F.col("q1")
+        fences = q.select("variable", "q1", "q3", (F.col("q1") - k * iqr).alias("lower"),
+                          (F.col("q3") + k * iqr).alias("upper"), "median")
+    j = lf.join(F.broadcast(fences) if not group else fences, list(group) + ["variable"])
     v = F.col("valor")
     inside = (v >= F.col("lower")) & (v <= F.col("upper"))
-    return j.groupBy(*group, "variable", "q1", "q3", "lower", "upper").agg(
-        F.percentile(v, 0.5).alias("median") if not approx else F.percentile_approx(v, 0.5).alias("median"),
+    return j.groupBy(*group, "variable", "q1", "q3", "lower", "upper", "median").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),

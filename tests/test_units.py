@@ -167,3 +167,17 @@ def test_smote_reaches_parity(spark):
     syn = smp.smote(df, "y", "k", ["a", "b"], k=3, seed=5)
     assert syn.count() == 34 - 6
     assert set(r.y for r in syn.collect()) == {1}
+
+
+def test_exact_quantiles_distributed_match_numpy(spark):
+    from riskframe.operators.quantiles import exact_quantiles
+    rnd = np.random.default_rng(5)
+    a = np.round(rnd.normal(10, 3, 3000), 1)  # many ties
+    b = rnd.exponential(2.0, 2501)
+    rows = [("a", float(x)) for x in a] + [("b", float(x)) for x in b] + [("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = exact_quantiles(df, "g", "v", ps, buckets=8, exact_limit=40)
+    for g, arr in (("a", a), ("b", b), ("c", np.array([7.0]))):
+        for p in ps:
+            assert abs(got[(g, p)] - np.percentile(arr, p * 100)) < 1e-9, (g, p)

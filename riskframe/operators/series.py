@@ -26,9 +26,12 @@ def group_totals(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix
 
 
 def rank_first(df: DataFrame, partition: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row per partition under a total order (``row_number`` = 1)."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """First row per partition under a total order — the rows
+    ``row_number() = 1`` would keep, computed as a partial aggregate (min of
+    a struct led by the order) so a hot partition key is combined map-side
+    instead of sorted in one task."""
+    from .relational import dedup_by_key
+    return dedup_by_key(df, list(partition), list(order))
 
 
 def forward_fill(df: DataFrame, key: str, order: str, cols: Sequence[str]) -> DataFrame:

@@ -128,6 +128,24 @@ def q_monthly_ingest(spark, d):
         F.count(F.lit(1)).alias("n"), r6(F.sum("haforestal")).alias("ha"))
 
 
+@register("monthly_ingest_stream", WITH("fx_incidents") + f"""
+    SELECT strftime(fecha, '%Y-%m') AS periodo, count(*) AS n, {s6('sum(haforestal)')} AS ha
+    FROM fx_incidents GROUP BY strftime(fecha, '%Y-%m')""")
+def q_monthly_ingest_stream(spark, d):
+    """S7 as a stream: months land in two batches; after each, an
+    ``availableNow`` file-source stream takes only the new files."""
+    root = io.scratch_path(spark, "stream")
+    landing, out, ckpt = f"{root}/landing", f"{root}/out", f"{root}/_checkpoint"
+    inc = ingest.with_month(fx.fx_incidents(spark, d), "fecha")
+    cut = inc.agg(F.percentile_approx("fecha", 0.5).alias("m")).first()["m"]  # a split date, not a row cap
+    inc.where(F.col("fecha") < F.lit(cut)).write.mode("append").parquet(landing)
+    ingest.stream_new_files(spark, landing, inc.schema, out, ckpt)
+    inc.where(F.col("fecha") >= F.lit(cut)).write.mode("append").parquet(landing)
+    ingest.stream_new_files(spark, landing, inc.schema, out, ckpt)
+    back = spark.read.parquet(out)
+    return back.groupBy("periodo").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("haforestal")).alias("ha"))
+
+
 # ============================================================== projections / filters
 
 @register("select_qualified", WITH("fx_weather", "fx_stations") + """

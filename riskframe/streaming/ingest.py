@@ -51,10 +51,15 @@ def missing_months(spark: SparkSession, ingested: DataFrame, expected: DataFrame
 
 
 def stream_new_files(spark: SparkSession, landing: str, schema: T.StructType, out: str,
-                     checkpoint: str, fmt: str = "parquet") -> None:
+                     checkpoint: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Incremental ingest of newly landed files: a file-source stream run
-    with ``availableNow`` (processes the backlog, then stops)."""
-    q = (spark.readStream.schema(schema).format(fmt).load(landing)
+    with ``availableNow`` (processes everything not yet seen, then stops).
+    The checkpoint records which files were taken, so each landed file is
+    written to ``out`` exactly once however often the job is re-run."""
+    w = (spark.readStream.schema(schema).format(fmt).load(landing)
          .writeStream.format("parquet").option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(out))
+         .trigger(availableNow=True))
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    q = w.start(out)
     q.awaitTermination()

@@ -4,12 +4,13 @@ Every sample is exact and repeatable: rows are ordered by a 60-bit key taken
 from ``md5(concat_ws('|', keys..., seed))`` (or by an explicit order), and
 "the first n rows" is found without a global single-task window:
 
-* small ``n``: a distributed top-n (each partition keeps its own n best);
-* large ``n``: the n-th smallest key is located by histogram narrowing —
+* the n-th smallest key is located by histogram narrowing —
   one grouped count per pass over ``buckets`` ranges of the key, until the
   range holding the boundary has at most ``exact_limit`` rows, which are
   then ranked exactly.  Two passes suffice for 10^12 rows with 4096 buckets.
   Only bucket counts (at most ``buckets`` numbers) reach the driver.
+  (A plain ``orderBy().limit(n)`` would send n rows from *every* partition
+  into one task; it is kept only as an opt-in for tiny inputs.)
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def _boundary(df: DataFrame, key: str, n: int, buckets: int, exact_limit: int) -
 
 
 def first_n(df: DataFrame, n: int, order_key: Column, tie: Column | None = None,
-            buckets: int = 4096, exact_limit: int = 2_000_000, topk_limit: int = 100_000) -> DataFrame:
+            buckets: int = 4096, exact_limit: int = 2_000_000, topk_limit: int = 0) -> DataFrame:
     """The ``n`` rows with the smallest ``order_key`` (a non-negative long),
     ties broken by ``tie``.  Exact; see the module doc for the plan."""
     if n <= 0:

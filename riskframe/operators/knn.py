@@ -20,16 +20,25 @@ from pyspark.sql import functions as F
 
 
 def knn_self(df: DataFrame, key: str, features: Sequence[str], k: int, grid: Sequence[str] | None = None,
-             cell: float = 0.5, growth: int = 4, materialize: bool = True) -> DataFrame:
-    """Rows (key, nn_rank 1..k, nn_key, nn_dist) for every row of ``df``."""
+             cell: float | None = None, growth: int = 4, materialize: bool = True) -> DataFrame:
+    """Rows (key, nn_rank 1..k, nn_key, nn_dist) for every row of ``df``.
+
+    ``cell`` (the first level's cell side) defaults to a size that puts
+    about 4k rows in an occupied cell if the rows were spread evenly over
+    their bounding box, so the first level's work grows linearly with the
+    row count."""
     from ..sources.files import materialize as write_table
 
     feats = list(features)
     grid = list(grid or feats[:2])
     pts = df.select(F.col(key).alias("_id"), *[F.col(c).cast("double").alias(c) for c in feats]).where(
         " AND ".join(f"`{c}` IS NOT NULL" for c in feats))
-    lo = pts.agg(*[F.min(c).alias(c) for c in grid], *[F.max(c).alias(f"_max_{c}") for c in grid]).first()
+    lo = pts.agg(*[F.min(c).alias(c) for c in grid], *[F.max(c).alias(f"_max_{c}") for c in grid],
+                 F.count(F.lit(1)).alias("_n")).first()
     span = max([lo[f"_max_{c}"] - lo[c] for c in grid] + [0.0])
+    if cell is None:
+        per_axis = max(1.0, (lo["_n"] / (4.0 * max(k, 1))) ** (1.0 / len(grid)))
+        cell = span / per_axis if span > 0 else 1.0
     sizes = [cell]
     while sizes[-1] <= span:
         sizes.append(sizes[-1] * growth)

@@ -135,7 +135,7 @@ def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFr
 
 
 def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int = 5, seed: int = 123,
-          grid: Sequence[str] | None = None, cell: float = 0.5) -> DataFrame:
+          grid: Sequence[str] | None = None, cell: float | None = None) -> DataFrame:
     """M3: SMOTE over-sampling of the minority class up to the majority's size.
 
     Neighbours are the exact k nearest minority rows (``knn_self``, no

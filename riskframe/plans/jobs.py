@@ -171,6 +171,28 @@ def job_features_mobility(features: DataFrame, mobility: DataFrame, bridge: Data
     return features.join(mob, ["fecha", "indicativo"], "left")
 
 
+def job_features_mobility_from_parts(occurrence: DataFrame, bridge: DataFrame, terrain: DataFrame,
+                                     mobility: DataFrame) -> DataFrame:
+    """E7 with the mobility join moved below the fan-out.
+
+    Mobility is keyed by (day, station), which the fan-out preserves, so
+    joining it to the station-days first shuffles one row per station-day
+    instead of one per municipality-day; the fan-out and the terrain join
+    then only probe small dimensions (broadcast by AQE).  Same rows as
+    ``job_features_mobility(job_features(...), ...)``.
+    """
+    mob = mobility_per_station_day(mobility, bridge)
+    occ = occurrence.join(mob, ["fecha", "indicativo"], "left")
+    b = rel.broadcast_if_small(bridge.select("codigo_municipio", "indicativo"))
+    t = rel.broadcast_if_small(terrain.select(
+        F.col("cod_municipio").alias("codigo_municipio"), "municipio", "altitud",
+        "porcentaje_pendiente_total", "alto_riesgo", "peligro", "vulner"))
+    out = rel.fan_out(occ, b, "indicativo").join(t, "codigo_municipio", "left")
+    return out.select("fecha", "indicativo", "municipio", F.col("codigo_municipio").alias("cod_municipio"),
+                      *fx.WEATHER_COLUMNS, "altitud", "porcentaje_pendiente_total", "alto_riesgo",
+                      "peligro", "vulner", "ocurrencia", "total_viajes_estacion", "total_viajes_km_estacion")
+
+
 # ---------------------------------------------------------------- E8 cleaning
 
 def job_clean(features: DataFrame) -> DataFrame:
@@ -232,8 +254,12 @@ def mobility_fx(spark: SparkSession, d: str) -> DataFrame:
     return job_mobility(fx.fx_trips(spark, d), fx.fx_municipalities(spark, d))
 
 
-def terrain_fx(spark: SparkSession, d: str) -> DataFrame:
-    return job_terrain_risk(fx.fx_altitude(spark, d), fx.fx_slope(spark, d), fx.fx_risk(spark, d))
+def terrain_fx(spark: SparkSession, d: str, materialized: bool = False) -> DataFrame:
+    t = job_terrain_risk(fx.fx_altitude(spark, d), fx.fx_slope(spark, d), fx.fx_risk(spark, d))
+    if materialized:  # a dimension table, written once like the bridge
+        from ..sources.files import materialize
+        t = materialize(t, "terrain")
+    return t
 
 
 def occurrence_fx(spark: SparkSession, d: str, bridge: DataFrame | None = None) -> DataFrame:
@@ -249,11 +275,13 @@ def features_fx(spark: SparkSession, d: str, bridge: DataFrame | None = None) ->
 def features_mobility_fx(spark: SparkSession, d: str) -> DataFrame:
     bridge = bridge_fx(spark, d)
     mob = mobility_fx(spark, d).select("fecha", "cod_municipio", "total_viajes", "total_viajes_km")
-    return job_features_mobility(features_fx(spark, d, bridge), mob, bridge)
+    return job_features_mobility_from_parts(occurrence_fx(spark, d, bridge), bridge,
+                                            terrain_fx(spark, d, materialized=True), mob)
 
 
 def clean_fx(spark: SparkSession, d: str) -> DataFrame:
     bridge = bridge_fx(spark, d)
     mob = mobility_fx(spark, d).select("fecha", "cod_municipio", "total_viajes", "total_viajes_km")
-    return job_clean_from_parts(occurrence_fx(spark, d, bridge), bridge, terrain_fx(spark, d), mob)
+    return job_clean_from_parts(occurrence_fx(spark, d, bridge), bridge, terrain_fx(spark, d, materialized=True),
+                                mob)
 

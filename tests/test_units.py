@@ -181,3 +181,48 @@ def test_exact_quantiles_distributed_match_numpy(spark):
     for g, arr in (("a", a), ("b", b), ("c", np.array([7.0]))):
         for p in ps:
             assert abs(got[(g, p)] - np.percentile(arr, p * 100)) < 1e-9, (g, p)
+
+
+def test_pivot_two_stations_missing_cell(spark):
+    rows = [("s1", "t1", "a", 1.0), ("s1", "t1", "b", 2.0), ("s1", "t2", "a", 3.0), ("s1", "t2", "b", 4.0),
+            ("s1", "t1", "c", 5.0), ("s2", "t1", "a", 6.0), ("s2", "t1", "a", 1.5)]
+    df = spark.createDataFrame(rows, "st string, ts string, var string, v double")
+    got = {(r.st, r.ts): (r.a, r.b, r.c) for r in agg.pivot_sum(df, ["st", "ts"], "var", ["a", "b", "c"], "v").collect()}
+    assert got == {("s1", "t1"): (1.0, 2.0, 5.0), ("s1", "t2"): (3.0, 4.0, None), ("s2", "t1"): (7.5, None, None)}
+
+
+def test_join_normalized_codes(spark):
+    left = spark.createDataFrame([("080018", "Abrera"), ("08001", "short")], "code string, name string")
+    right = spark.createDataFrame([(800183, "with check digit")], "ine long, info string")
+    out = rel.join_normalized(left, right, "code", "ine", right_drop_check_digit=True).collect()
+    assert [(r.name, r.info) for r in out] == [("Abrera", "with check digit")]
+    short = spark.createDataFrame([(8001,)], "ine long")
+    out2 = rel.join_normalized(left, short, "code", "ine").collect()
+    assert [r.name for r in out2] == ["short"]
+
+
+def test_zone_totals_before_join_and_station_fan_out(spark):
+    from riskframe.plans import jobs
+    trips = spark.createDataFrame([("d1", 7, 10.0, 1.0), ("d1", 7, 5.0, 2.0)],
+                                  "fecha string, destino long, viajes double, viajes_km double")
+    munis = spark.createDataFrame([("000001", 7), ("000002", 7)], "codigo_municipio string, zona long")
+    mob = jobs.job_mobility(trips.withColumn("fecha", F.to_date("fecha", "'d'd")), munis).collect()
+    assert len(mob) == 1 and mob[0].total_viajes == 15.0 and mob[0].n_municipios == 2  # Q5: summed once per zone
+    facts = spark.createDataFrame([(1, "d1", 3.0)], "indicativo long, fecha string, tmed double")
+    bridge = spark.createDataFrame([("m1", 1), ("m2", 1), ("m3", 2)], "codigo_municipio string, indicativo long")
+    assert sorted(r.codigo_municipio for r in rel.fan_out(facts, bridge).collect()) == ["m1", "m2"]  # J9
+
+
+def test_dedup_keeps_equal_readings_on_different_days(spark):
+    df = spark.createDataFrame([("s", "2020-01-01", 5.0), ("s", "2020-01-02", 5.0), ("s", "2020-01-02", 5.0)],
+                               "st string, fecha string, v double")
+    out = rel.dedup_by_key(df, ["st", "fecha", "v"], [F.col("fecha")]).collect()
+    assert len(out) == 2  # Q12: the date is part of the key
+
+
+def test_class_weights_ten_negatives_three_positives(spark):
+    df = spark.createDataFrame([(i, 1 if i < 3 else 0) for i in range(13)], "k long, y long")
+    w = {r.y: r.weight for r in smp.class_weights(df, "y").collect()}
+    assert abs(w[1] - 13 / (2 * 3)) < 1e-12 and abs(w[0] - 13 / (2 * 10)) < 1e-12
+    parity = smp.undersample_parity(df, "y", ["k"], 1).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in parity} == {0: 3, 1: 3}

@@ -6,6 +6,7 @@ ACF *result* (at most ``nlags`` numbers per series), grouped by series.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -70,6 +71,57 @@ def levene_w(df: DataFrame, group_col: str, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def _beta_cf(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny, eps = 1e-300, 3e-16
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 500):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + num * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < eps:
+            break
+    return h
+
+
+def _beta_reg(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta I_x(a, b)."""
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * _beta_cf(a, b, x) / a
+    return 1.0 - front * _beta_cf(b, a, 1.0 - x) / b
+
+
+def f_survival(w: float, d1: float, d2: float) -> float:
+    """P(F > w) for an F(d1, d2) variable."""
+    if w is None or not (w == w) or d1 <= 0 or d2 <= 0:
+        return float("nan")
+    if w <= 0:
+        return 1.0
+    return _beta_reg(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * w))
+
+
+def levene_test(df: DataFrame, group_col: str, cols: Sequence[str]) -> DataFrame:
+    """A19 with the p-value: W, df1, df2 from ``levene_w`` and P(F > W),
+    computed by a vectorised UDF on the result rows (one per variable)."""
+    @F.pandas_udf("double")
+    def p_value(w: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+        return pd.Series([f_survival(a, float(b), float(c)) for a, b, c in zip(w, d1, d2)])
+
+    lw = levene_w(df, group_col, cols)
+    return lw.withColumn("p_value", p_value("w", "df1", "df2"))
+
+
 def acf(df: DataFrame, series_key: str, order_col: str, cols: Sequence[str], nlags: int) -> DataFrame:
     """Autocorrelation per series and variable, lags 1..nlags.
 

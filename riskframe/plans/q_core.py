@@ -483,6 +483,13 @@ def q_levene_w(spark, d):
     return out.withColumn("w", r6("w"))
 
 
+@register("levene_test")
+def q_levene_test(spark, d):
+    """A19 with the p-value of W under F(df1, df2) (no SQL engine here has the
+    F distribution, so this one is checked by rows and by unit tests)."""
+    return stats.levene_test(jobs.occurrence_fx(spark, d), "ocurrencia", _LEV)
+
+
 _ACF = ["tmed", "prec", "velmedia"]
 _NLAGS = 10
 

@@ -226,3 +226,16 @@ def test_class_weights_ten_negatives_three_positives(spark):
     assert abs(w[1] - 13 / (2 * 3)) < 1e-12 and abs(w[0] - 13 / (2 * 10)) < 1e-12
     parity = smp.undersample_parity(df, "y", ["k"], 1).groupBy("y").count().collect()
     assert {r.y: r["count"] for r in parity} == {0: 3, 1: 3}
+
+
+def test_f_survival_known_values():
+    assert abs(stats.f_survival(4.9646, 1, 10) - 0.05) < 1e-4          # 95th percentile of F(1, 10)
+    for x in (0.3, 1.0, 2.5, 7.0):                                        # closed form for d1 = 2
+        assert abs(stats.f_survival(x, 2, 20) - (1 + 2 * x / 20) ** (-10)) < 1e-12
+    assert stats.f_survival(0.0, 3, 7) == 1.0
+
+
+def test_levene_test_has_p_value(spark):
+    rows = [(0, float(x)) for x in range(20)] + [(1, float(3 * x)) for x in range(20)]
+    r = stats.levene_test(spark.createDataFrame(rows, "g int, x double"), "g", ["x"]).first()
+    assert 0.0 <= r.p_value <= 1.0 and r.df1 == 1 and r.df2 == 38

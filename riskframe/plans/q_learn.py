@@ -36,6 +36,26 @@ def _base(spark, d):
     return jobs.clean_fx(spark, d)
 
 
+_CLEAN_TABLES: dict[tuple[str, str], str] = {}
+
+
+def _clean_table(spark, d):
+    """The cleaned table (E8) written once per application and data folder
+    under the shared checkpoint folder, then read by every model query."""
+    from ..sources.files import scratch_path
+    key = (spark.sparkContext.applicationId, d)
+    path = _CLEAN_TABLES.get(key)
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # noqa: BLE001 - the folder was cleared: write it again
+            pass
+    path = scratch_path(spark, "clean")
+    _base(spark, d).write.mode("overwrite").parquet(path)
+    _CLEAN_TABLES[key] = path
+    return spark.read.parquet(path)
+
+
 # ============================================================== sampling / splits
 
 @register("downsample_fixed", sj.with_jobs("clean") + f"""
@@ -240,7 +260,7 @@ def _prepared(spark, d):
     The cleaned table and the assembled frame are written once to the shared
     checkpoint folder: model fitting passes over its input many times and must
     not replay the whole job lineage on each pass."""
-    b = feat.split_time(materialize(_base(spark, d), "clean"), "fecha", CUTOFF)
+    b = feat.split_time(_clean_table(spark, d), "fecha", CUTOFF)
     b = feat.standardize(b, NUMERIC, suffix="_z")
     b = smp.with_class_weights(b, LABEL)
     pipe = feat.assemble_pipeline([f"{c}_z" for c in NUMERIC], CATS, CALENDAR).fit(b.where("split = 'train'"))
@@ -336,7 +356,7 @@ def q_job_train_eval(spark, d):
 
 def _smote_input(spark, d):
     """Training rows of the time split, standardised numeric features."""
-    b = feat.split_time(materialize(_base(spark, d), "clean"), "fecha", CUTOFF)
+    b = feat.split_time(_clean_table(spark, d), "fecha", CUTOFF)
     b = feat.standardize(b, NUMERIC).where("split = 'train'")
     return b.withColumn("row_key", F.concat_ws("|", F.col("indicativo").cast("string"), F.col("fecha").cast("string")))
 

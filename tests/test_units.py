@@ -239,3 +239,13 @@ def test_levene_test_has_p_value(spark):
     rows = [(0, float(x)) for x in range(20)] + [(1, float(3 * x)) for x in range(20)]
     r = stats.levene_test(spark.createDataFrame(rows, "g int, x double"), "g", ["x"]).first()
     assert 0.0 <= r.p_value <= 1.0 and r.df1 == 1 and r.df2 == 38
+
+
+def test_noon_snapshot_picks_the_noon_reading(spark):
+    rows = [(1, "s", "t", "2020-01-01 11:30:00", 1.0), (2, "s", "t", "2020-01-01 12:00:00", 2.0),
+            (3, "s", "t", "2020-01-01 12:30:00", 3.0), (4, "s", "t", "2020-01-02 11:45:00", 4.0),
+            (5, "s", "t", "2020-01-02 12:15:00", 5.0)]
+    df = spark.createDataFrame(rows, "id long, st string, var string, ts string, v double").withColumn(
+        "ts", F.to_timestamp("ts"))
+    got = {r.v for r in rel.noon_snapshot(df, ["st", "var"], "ts", tie_col="id").collect()}
+    assert got == {2.0, 4.0}  # exact noon; on a tie the earlier reading

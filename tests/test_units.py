@@ -249,3 +249,11 @@ def test_noon_snapshot_picks_the_noon_reading(spark):
         "ts", F.to_timestamp("ts"))
     got = {r.v for r in rel.noon_snapshot(df, ["st", "var"], "ts", tie_col="id").collect()}
     assert got == {2.0, 4.0}  # exact noon; on a tie the earlier reading
+
+
+def test_splits_are_exact_and_ordered(spark):
+    df = spark.range(0, 101).withColumnRenamed("id", "k")
+    r = {row.split: row["count"] for row in smp.split_random(df, ["k"], 0.8, 7).groupBy("split").count().collect()}
+    assert r == {"train": 81, "test": 20}
+    o = smp.split_ordered(df, F.col("k"), ["k"], 0.8)
+    assert sorted(x.k for x in o.where("split = 'train'").collect()) == list(range(81))

@@ -220,8 +220,8 @@ def spans_of(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, k: int, min_
         yield owner[lo], lo, count, h[at[firsts]].view(np.int64), np.array(s, np.uint64).view(np.int64)
 
 
-_OCC = "tid binary, a long, s long, lo int, n int"
-_OCC_ARROW = pa.schema([("tid", pa.binary()), ("a", pa.int64()), ("s", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
+_OCC = "tid binary, seg int, a long, s long, lo int, n int"
+_OCC_ARROW = pa.schema([("tid", pa.binary()), ("seg", pa.int32()), ("a", pa.int64()), ("s", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 
 
 def _text_blocks(col, limit: int = 16 << 20):
@@ -235,45 +235,31 @@ def _text_blocks(col, limit: int = 16 << 20):
 
 
 def _extract(k: int, min_len: int):
-    """Spans of whole texts: columns tid, text."""
+    """Spans of pieces of texts: columns tid, seg (the piece's place in its text), text."""
     def run(batches):
         tables = _tables(_BLOCK + min_len)
         for batch in batches:
-            tid = batch.column("tid")
+            tid, seg = batch.column("tid"), batch.column("seg").to_numpy()
             for i, j, data, off in _text_blocks(batch.column("text")):
                 owner = np.repeat(np.arange(j - i), np.diff(off))
                 for who, lo, n, a, s in spans_of(data, off[1:], owner, k, min_len, tables):
-                    yield pa.RecordBatch.from_arrays([tid.take(pa.array(who + i)), pa.array(a), pa.array(s), pa.array((lo - off[who]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=_OCC_ARROW)
-    return run
-
-
-def _extract_again(k: int, min_len: int):
-    """Spans with a longer anchor inside given ranges of windows: columns tid, text, part (lo, n)."""
-    def run(batches):
-        tables = _tables(_BLOCK + min_len)
-        for batch in batches:
-            data, off = byte_view(batch.column("text"))
-            for i, tid, parts in zip(range(batch.num_rows), batch.column("tid"), batch.column("part").to_pylist()):
-                text = data[off[i]: off[i + 1]]
-                for p in parts:
-                    piece = text[p["lo"]: p["lo"] + p["n"] + min_len - 1]
-                    for _, lo, n, a, s in spans_of(piece, np.array([len(piece)]), np.zeros(len(piece), np.int64), k, min_len, tables):
-                        yield pa.RecordBatch.from_arrays([pa.array([tid.as_py()] * len(lo), pa.binary()), pa.array(a), pa.array(s), pa.array((lo + p["lo"]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=_OCC_ARROW)
+                    begin = seg[who + i].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([tid.take(pa.array(who + i)), pa.array(begin), pa.array(a), pa.array(s), pa.array((lo - off[who] + begin).astype(np.int32)), pa.array(n.astype(np.int32))], schema=_OCC_ARROW)
     return run
 
 
 def _cut(min_len: int):
-    """Bytes of the listed spans: columns tid, text, part (a, lo, n, multi, bucket)."""
+    """Bytes of the listed spans: columns tid, seg, text, part (bucket, lo, n, multi)."""
     schema = pa.schema([("bucket", pa.int32()), ("tid", pa.binary()), ("lo", pa.int32()), ("multi", pa.bool_()), ("bytes", pa.binary())])
 
     def run(batches):
         for batch in batches:
             data, off = byte_view(batch.column("text"))
-            for i, tid, parts in zip(range(batch.num_rows), batch.column("tid"), batch.column("part").to_pylist()):
+            for i, tid, seg, parts in zip(range(batch.num_rows), batch.column("tid"), batch.column("seg").to_pylist(), batch.column("part").to_pylist()):
                 raw = data[off[i]: off[i + 1]].tobytes()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([p["bucket"] for p in parts], pa.int32()), pa.array([tid.as_py()] * len(parts), pa.binary()), pa.array([p["lo"] for p in parts], pa.int32()),
-                    pa.array([p["multi"] for p in parts], pa.bool_()), pa.array([raw[p["lo"]: p["lo"] + p["n"] + min_len - 1] for p in parts], pa.binary())], schema=schema)
+                    pa.array([p["multi"] for p in parts], pa.bool_()), pa.array([raw[p["lo"] - seg: p["lo"] - seg + p["n"] + min_len - 1] for p in parts], pa.binary())], schema=schema)
     return run
 
 
@@ -341,49 +327,43 @@ def repeats(texts: DataFrame, min_len: int = MIN_LEN, hot_spans: int = HOT_SPANS
     Returns tid, lo, n: at lo, lo+1, .. lo+n-1 a string of ``min_len`` bytes starts that also
     starts elsewhere.  Copies of a whole text under one tid don't count here.
     """
-    spark = texts.sparkSession
     marks = None
-    segments = None
+    # pieces of texts: at first whole texts, then the spans of hot anchors, which lie in a table
     one = texts.groupBy("tid").agg(F.min("row").alias("row"))
+    pieces = texts.withColumn("seg", F.lit(0))
     for level, k in enumerate(anchor_lengths(min_len)):
-        if segments is None:
-            occ = texts.select("tid", "text").mapInArrow(_extract(k, min_len), _OCC)
-        else:
-            occ = _with_text(texts, segments, one).mapInArrow(_extract_again(k, min_len), _OCC)
-        occ = written(occ, f"spans{level}").withColumn("place", F.xxhash64("tid", "lo"))
+        occ = written(pieces.select("tid", "seg", "text").mapInArrow(_extract(k, min_len), _OCC), f"spans{level}").withColumn("place", F.xxhash64("tid", "lo"))
         met = (occ.groupBy("a").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.min("s").alias("s0"), F.max("s").alias("s1"))
                .filter("p0 <> p1").select("a", (F.col("s0") == F.col("s1")).alias("alike")))
         again = written(occ.join(met, "a"), f"met{level}")
         # one span for all places of an anchor: all of it is repeated, no need to sort
         alike = again.filter("alike").select("tid", "lo", "n").distinct()
-        kinds = (again.filter("not alike").groupBy("a", "s").agg(F.min(F.struct("tid", "lo", "n")).alias("rep"), F.min("place").alias("p0"), F.max("place").alias("p1"))
+        kinds = (again.filter("not alike").groupBy("a", "s").agg(F.min(F.struct("tid", "seg", "lo", "n")).alias("rep"), F.min("place").alias("p0"), F.max("place").alias("p1"))
                  .select("a", "s", "rep.*", (F.col("p0") != F.col("p1")).alias("multi")))
         kinds = written(kinds, f"kinds{level}")
         several = again.filter("not alike").join(kinds.filter("multi").select("a", "s"), ["a", "s"]).select("tid", "lo", "n").distinct()
         here = alike.unionByName(several)
-        hot = kinds.groupBy("a").agg(F.count("*").alias("spans")).filter(F.col("spans") > hot_spans).select("a")
-        cold = kinds.join(hot, "a", "left_anti")
-        size = cold.agg(F.sum(F.col("n") + (min_len - 1)).alias("b")).first()["b"] or 0
-        if size:
-            buckets = int(size // bucket_bytes) + 1
-            parts = cold.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int")).groupBy("tid").agg(F.collect_list(F.struct("bucket", "lo", "n", "multi")).alias("part"))
-            cut = _with_text(texts, parts, one).mapInArrow(_cut(min_len), "bucket int, tid binary, lo int, multi boolean, bytes binary")
-            found = cut.groupBy("bucket").applyInArrow(_bucket(min_len), "tid binary, lo int, n int")
-            here = here.unionByName(written(found, f"sorted{level}"))
         marks = here if marks is None else marks.unionByName(here)
-        rest = kinds.join(hot, "a", "left_semi")
-        if rest.isEmpty():
+        size = kinds.agg(F.sum(F.col("n") + (min_len - 1)).alias("b")).first()["b"] or 0
+        if not size:
+            break
+        hot = kinds.groupBy("a").agg(F.count("*").alias("spans")).filter(F.col("spans") > hot_spans).select("a", F.lit(-1).alias("hot"))
+        bucket = F.pmod(F.xxhash64("a"), F.lit(int(size // bucket_bytes) + 1)).cast("int")
+        parts = kinds.join(hot, "a", "left").withColumn("bucket", F.coalesce("hot", bucket)).groupBy("tid", "seg").agg(F.collect_list(F.struct("bucket", "lo", "n", "multi")).alias("part"))
+        if level == 0:  # of equal rows with one text, one is read
+            source = pieces.join(parts.drop("seg").join(one, "tid"), ["tid", "row"])
+        else:
+            source = pieces.join(parts, ["tid", "seg"])
+        cut = source.select("tid", "seg", "text", "part").mapInArrow(_cut(min_len), "bucket int, tid binary, lo int, multi boolean, bytes binary")
+        cut = written(cut.distinct() if level else cut, f"cut{level}")
+        found = cut.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket(min_len), "tid binary, lo int, n int")
+        marks = marks.unionByName(written(found, f"sorted{level}"))
+        pieces = cut.filter("bucket < 0").select("tid", F.col("lo").alias("seg"), F.col("bytes").alias("text"))
+        if pieces.isEmpty():
             break
-        segments = rest.groupBy("tid").agg(F.collect_list(F.struct("lo", "n")).alias("part"))
     return marks
 
 
-def _with_text(texts: DataFrame, parts: DataFrame, one: DataFrame) -> DataFrame:
-    """The texts of the listed keys, one row each."""
-    chosen = parts.join(one, "tid")
-    return texts.join(chosen, ["tid", "row"]).select("tid", "text", "part")
-
-
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
                        keep_text: bool = False, hot_spans: int = HOT_SPANS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Remove each byte covered by a ``min_len``-byte string that also starts anywhere else.

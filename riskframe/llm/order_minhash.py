@@ -31,6 +31,8 @@ SKETCHES = 32
 WIDTH = 2
 #: Texts of a bucket that are compared across classes at once (at most SMALL^2/2 pairs a bucket).
 SMALL = 12
+#: Classes of a larger bucket whose first and last texts are leaders in a round.
+LEADERS = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -281,7 +283,7 @@ def _links(base: DataFrame, texts: DataFrame, similarity: float, sketches: int,
         # large ones: against the first and the last text of some classes, which are done then
         rows = rows.filter(F.col("n") > small).select("key", "i", "rid", "root")
         classes = rows.groupBy("key", "root").agg(F.min("rid").alias("y0"), F.max("rid").alias("y1"))
-        chosen = classes.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("root"))).filter(F.col("k") <= small)
+        chosen = classes.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("root"))).filter(F.col("k") <= LEADERS)
         chosen = chosen.select("key", F.col("root").alias("ry"), F.explode(F.array_distinct(F.array("y0", "y1"))).alias("y"))
         found = found.unionByName(rows.join(chosen, "key").filter("root <> ry").select(F.col("rid").alias("x"), "y"))
         # the texts of the other classes: twice as many sketch values in a row must agree

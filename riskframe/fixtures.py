@@ -35,7 +35,8 @@ WEATHER_COLUMNS = ["prec", "tmax", "tmed", "tmin", "velmedia", "racha", "sol",
 
 
 def _pad6(c: Column) -> Column:
-    return F.lpad(c.cast("string"), 6, "0")
+    s = c.cast("string")
+    return F.when(F.length(s) < 6, F.lpad(s, 6, "0")).otherwise(s)
 
 
 def _coord(key: Column, mult: int, mod: int, base: float) -> Column:
@@ -243,7 +244,7 @@ def view(spark: SparkSession, d: str, name: str) -> DataFrame:
 # --------------------------------------------------------------------------- SQL side
 
 def _pad6_sql(expr: str) -> str:
-    return f"lpad(CAST({expr} AS VARCHAR), 6, '0')"
+    return f"(repeat('0', greatest(0, 6 - length(CAST({expr} AS VARCHAR)))) || CAST({expr} AS VARCHAR))"
 
 
 def _dms_sql(deg: str, minutes: str, sec: str, hemi: str) -> str:

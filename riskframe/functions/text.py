@@ -54,8 +54,9 @@ def drop_last_char(c: Column | str) -> Column:
 
 
 def normalize_code(c: Column | str, width: int = 6) -> Column:
-    """One canonical text form for municipality codes (left zero-padded)."""
-    return F.lpad(F.trim(_c(c).cast("string")), width, "0")
+    """One canonical text form for municipality codes (left zero-padded; longer codes stay whole)."""
+    s = F.trim(_c(c).cast("string"))
+    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
 
 
 def concat_codes(*cols: Column | str) -> Column:

@@ -133,7 +133,8 @@ def having_count(df: DataFrame, keys: list[str], min_count: int = 2) -> DataFram
 
 def occurrence_label(df: DataFrame, area_col: str = "haforestal", out: str = "ocurrencia") -> DataFrame:
     """1 when the burned area is positive; null or 'nan' area -> 0."""
-    return df.withColumn(out, F.when(F.col(area_col).try_cast("double") > 0, 1).otherwise(0).cast("long"))
+    area = F.col(area_col).try_cast("double")
+    return df.withColumn(out, F.when((area > 0) & ~F.isnan(area), 1).otherwise(0).cast("long"))
 
 
 # The named feature sets of the analysis (13 with mobility,

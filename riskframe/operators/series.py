@@ -42,8 +42,9 @@ def forward_fill(df: DataFrame, key: str, order: str, cols: Sequence[str]) -> Da
 
 def backward_fill(df: DataFrame, key: str, order: str, cols: Sequence[str]) -> DataFrame:
     """Next non-null value (fills leading nulls), within each series."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in cols})
+    # descending, so that the frame only grows: a frame to the end is computed anew for each row
+    w = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
 
 def series_index(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -44,7 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster the setting names a shared, durable folder and is used as is.
-    Only when it is unset (local tests) a scratch folder is created and set.
+    Only when it is unset and the master is local (tests) a scratch folder is created and set;
+    on a cluster executors would not share it, so that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="riskframe-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -257,3 +257,17 @@ def test_splits_are_exact_and_ordered(spark):
     assert r == {"train": 81, "test": 20}
     o = smp.split_ordered(df, F.col("k"), ["k"], 0.8)
     assert sorted(x.k for x in o.where("split = 'train'").collect()) == list(range(81))
+
+
+def test_long_codes_stay_distinct(spark):
+    from riskframe.functions.text import normalize_code
+    df = spark.createDataFrame([("100000",), ("1000001",), ("10000012",), (" 42",), (None,)], "c string")
+    assert [r[0] for r in df.select(normalize_code("c")).collect()] == ["100000", "1000001", "10000012", "000042", None]
+
+
+def test_nan_area_is_no_fire(spark):
+    from riskframe.operators.relational import occurrence_label
+    df = spark.createDataFrame([("nan",), ("0",), ("1.5",), (None,), ("x",)], "haforestal string")
+    assert [r.ocurrencia for r in occurrence_label(df).collect()] == [0, 0, 1, 0, 0]
+    num = spark.createDataFrame([(float("nan"),), (2.0,)], "haforestal double")
+    assert [r.ocurrencia for r in occurrence_label(num).collect()] == [0, 1]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed_input
+from .common import renamed_input, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -65,6 +65,7 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = base.select("id", "host", *[c.alias(name) for name, c in text_counts(F.col("text")).items()])
     df = _with_repeats(df, WINDOW)
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
+    df = written(df, "counts")  # read by the hosts' rates and by the documents
     # by host, then over the hosts: a few numbers each
     host = df.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed")).alias("f"))
     rate = F.col("f") / F.col("n")

@@ -91,6 +91,8 @@ def fx_stations(spark: SparkSession, d: str) -> DataFrame:
 def fx_municipalities(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
+    # the zones are the trips' destinations: the whole range of supplier keys
+    low, high = table(spark, d, "supplier").agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
     return c.select(
         _pad6(k).alias("codigo_municipio"),
         k.alias("cod_num"),
@@ -98,7 +100,7 @@ def fx_municipalities(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_nationkey").alias("comarca"),
         _coord(k, 6271, 2400, 40.5).alias("latitud"),
         _coord(k, 3571, 3000, 0.2).alias("longitud"),
-        (k % 100).alias("zona"),
+        (F.lit(low) + k % F.lit(high - low + 1)).alias("zona"),
     )
 
 
@@ -280,7 +282,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                c_name AS municipio, c_nationkey AS comarca,
                40.5 + ((c_custkey * 6271) % 2400) / 1000.0 AS latitud,
                0.2 + ((c_custkey * 3571) % 3000) / 1000.0 AS longitud,
-               c_custkey % 100 AS zona
+               (SELECT min(s_suppkey) FROM supplier)
+               + c_custkey % (SELECT max(s_suppkey) - min(s_suppkey) + 1 FROM supplier) AS zona
         FROM customer"""),
     "fx_comarcas": ((), """
         SELECT n_nationkey AS comarca, n_name AS nom_comarca, r_name AS provincia

@@ -3,8 +3,8 @@
 Trees, forests, boosted trees and the perceptron are MLlib estimators; the
 balanced forest (D3) and AdaBoost (D4) are loops of MLlib fits over
 hash-seeded samples / weight columns, with lineage cut by ``checkpoint()``
-into the cluster's checkpoint folder.  MLlib caps tree depth at 30, so the
-reference's depths 50/100 are capped (stated in the README).
+into the cluster's checkpoint folder.  MLlib grows trees to a depth of 30
+at most; a larger ``max_depth`` is an error (stated in the README).
 """
 
 from __future__ import annotations
@@ -21,16 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .sampling import first_n, hash_key, hash_text
+from .sampling import first_n, hash_key
 
-MAX_DEPTH = 30
+MAX_DEPTH = 30  # fixed value: MLlib's limit
+
+
+def _depth(max_depth: int) -> int:
+    if max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth is {max_depth}; MLlib grows trees to a depth of {MAX_DEPTH} at most")
+    return max_depth
 
 
 def decision_tree(features: str = "features", label: str = "ocurrencia", weight: str | None = None,
                   max_depth: int = 10, min_leaf: int = 5, impurity: str = "entropy", seed: int = 123):
     """D1 (+D9 class weights through ``weight``)."""
     dt = DecisionTreeClassifier(featuresCol=features, labelCol=label, impurity=impurity,
-                                maxDepth=min(max_depth, MAX_DEPTH), minInstancesPerNode=min_leaf, seed=seed)
+                                maxDepth=_depth(max_depth), minInstancesPerNode=min_leaf, seed=seed)
     return dt.setWeightCol(weight) if weight else dt
 
 
@@ -38,7 +44,7 @@ def random_forest(features: str = "features", label: str = "ocurrencia", weight:
                   n_trees: int = 100, max_depth: int = 10, min_leaf: int = 10, seed: int = 123):
     """D2."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=n_trees,
-                                maxDepth=min(max_depth, MAX_DEPTH), minInstancesPerNode=min_leaf, seed=seed)
+                                maxDepth=_depth(max_depth), minInstancesPerNode=min_leaf, seed=seed)
     return rf.setWeightCol(weight) if weight else rf
 
 
@@ -46,7 +52,7 @@ def gbt(features: str = "features", label: str = "ocurrencia", max_iter: int = 5
         step: float = 0.1, seed: int = 123):
     """Binary logistic-loss boosted trees."""
     return GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter,
-                         maxDepth=min(max_depth, MAX_DEPTH), stepSize=step, lossType="logistic", seed=seed)
+                         maxDepth=_depth(max_depth), stepSize=step, lossType="logistic", seed=seed)
 
 
 def mlp(n_features: int, features: str = "features", label: str = "ocurrencia", hidden: int = 29,
@@ -93,10 +99,10 @@ def balanced_forest(train: DataFrame, keys: Sequence[str], features: str = "feat
     models = []
     for i in range(n_trees):
         maj = train.where(F.col(label) != minority)
-        part = first_n(maj, counts[minority], hash_key(keys, seed + i), hash_text(keys, seed + i))
+        part = first_n(maj, counts[minority], hash_key(keys, seed + i))
         sample = train.where(F.col(label) == minority).unionByName(part)
         rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=1, bootstrap=True,
-                                    featureSubsetStrategy="sqrt", maxDepth=min(max_depth, MAX_DEPTH),
+                                    featureSubsetStrategy="sqrt", maxDepth=_depth(max_depth),
                                     minInstancesPerNode=min_leaf, seed=seed + i)
         models.append(rf.fit(sample))
     return models
@@ -131,6 +137,8 @@ def adaboost(train: DataFrame, features: str = "features", label: str = "ocurren
         err = pred.agg((F.sum(F.col("_w") * F.col("_miss")) / F.sum("_w")).alias("e")).first()["e"]
         err = min(max(float(err), 1e-12), 1 - 1e-12)
         if err >= 0.5:
+            if not rounds:
+                raise ValueError(f"the first stump has a weighted error of {err:.3f}: nothing to boost")
             break
         alpha = rate * math.log((1 - err) / err)
         rounds.append((m, alpha))

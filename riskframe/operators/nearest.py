@@ -16,6 +16,10 @@ lat/lon grid and the answer stays exact:
    larger; at the last level a block spans the whole globe, so it always
    certifies.
 
+Longitudes are taken in [-180, 180].  At every level the stations near the
+180th meridian are present a second time on its other side (longitude +-360),
+so a block that reaches over the meridian holds them as well.
+
 Work per point is the number of stations in its block; the residue that
 reaches the coarse levels is only the points far from every station.
 Ties are broken by the station key (smallest wins), as a total order.
@@ -96,8 +100,13 @@ def nearest_station(points: DataFrame, stations: DataFrame, *,
     resolved: list[DataFrame] = []
     for level, g in enumerate(sizes):
         last = level == len(sizes) - 1
-        cells = st.withColumns({"_cy": F.floor(F.col("_s_lat") / g),
-                                "_cx": F.floor(F.col("_s_lon") / g)})
+        # a block reaches at most 2 g over the meridian
+        turns = F.array_compact(F.array(F.lit(0.0), F.when(F.col("_s_lon") <= 2 * g - 180.0, F.lit(360.0)),
+                                        F.when(F.col("_s_lon") >= 180.0 - 2 * g, F.lit(-360.0))))
+        cells = (st.withColumn("_turn", F.explode(turns))
+                 .withColumns({"_cy": F.floor(F.col("_s_lat") / g),
+                               "_cx": F.floor((F.col("_s_lon") + F.col("_turn")) / g)})
+                 .drop("_turn"))
         probe = (pending
                  .withColumns({"_pcy": F.floor(F.col("_p_lat") / g),
                                "_pcx": F.floor(F.col("_p_lon") / g)})

@@ -1,11 +1,8 @@
 """Projections, filters, joins, sorting, de-duplication and unions
 (P1–P16, J1–J5, J8, J9, O1–O6, U1).
 
-Every function is ``DataFrame -> DataFrame`` and adds no action, except
-``broadcast_if_small``, which counts a (materialised) dimension once and
-hints a broadcast only below a row limit.  Otherwise join strategy is left to
-Catalyst/AQE; nothing here forces a broadcast of a side whose size is not
-checked.
+Every function is ``DataFrame -> DataFrame`` and adds no action.  Join
+strategy is left to Catalyst/AQE, which broadcasts from measured sizes.
 """
 
 from __future__ import annotations
@@ -194,13 +191,6 @@ def join_normalized(left: DataFrame, right: DataFrame, left_code: str, right_cod
     return l.join(r, "_code", how).drop("_code")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast hint behind a checked size: one count of ``df`` (meant for
-    materialised dimension tables, where it is cheap); larger inputs are
-    left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def fan_out(station_fact: DataFrame, bridge: DataFrame, station_key: str = "indicativo") -> DataFrame:
     """Copy each station row to every municipality served by the station."""
     return station_fact.join(bridge, station_key, "inner")

@@ -1,20 +1,23 @@
 """Learning-data sampling.
 
-Every sample is exact and repeatable: rows are ordered by a 60-bit key taken
-from ``md5(concat_ws('|', keys..., seed))`` (or by an explicit order), and
-"the first n rows" is found without a global single-task window:
-
-* the n-th smallest key is located by histogram narrowing —
-  one grouped count per pass over ``buckets`` ranges of the key, until the
-  range holding the boundary has at most ``exact_limit`` rows, which are
-  then ranked exactly.  Two passes suffice for 10^12 rows with 4096 buckets.
-  Only bucket counts (at most ``buckets`` numbers) reach the driver.
-  (A plain ``orderBy().limit(n)`` would send n rows from *every* partition
-  into one task; it is kept only as an opt-in for tiny inputs.)
+Every sample is exact and repeatable.  Rows are ordered by a key (60 bits of
+``md5(concat_ws('|', keys..., seed))``, or a key of the caller's), then by a
+hash of all their columns; rows that agree in both are copies and stand for
+each other.  "The first n rows" ends at a cut (key, row hash, copies):
+
+* the cut is located by histogram narrowing, one grouped count per pass over
+  ``buckets`` ranges, until the range before it holds the first n rows exactly
+  or a single value; only bucket counts (at most ``buckets`` numbers) reach the
+  driver, and log(rows) / log(buckets) + 1 passes suffice for distinct keys;
+* the rows are then told apart by a filter on (key, row hash): no window, no
+  join, no sort, and every row is on one side exactly once;
+* copies that the cut divides are counted by one grouped aggregate and dealt
+  out from their count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,51 +32,66 @@ def hash_key(keys: Sequence[str], seed: int | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS_HEX), 16, 10).cast("long")
 
 
-def hash_text(keys: Sequence[str], seed: int | str) -> Column:
-    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
-
-
-def _boundary(df: DataFrame, key: str, n: int, buckets: int, exact_limit: int) -> tuple[int, int, int]:
-    """Return (lo, hi, below): the rank-n row has lo <= key < hi and exactly
-    ``below`` rows have key < lo; the range [lo, hi) holds <= exact_limit rows."""
-    lo, hi, below = 0, 1 << (4 * KEY_BITS_HEX), 0
+def _narrow(df: DataFrame, key: str, lo: int, hi: int, n: int, buckets: int) -> tuple[int, int, int]:
+    """Narrow [lo, hi) to the range of ``key`` that holds the n-th row (n >= 1): (lo, hi, below), with
+    ``below`` rows under lo.  It ends at a range of one value, or one whose rows all belong to the first n."""
+    below = 0
     while True:
-        width = hi - lo
-        step = max(1, -(-width // buckets))
-        rows = (df.where((F.col(key) >= lo) & (F.col(key) < hi))
-                .groupBy(F.floor((F.col(key) - F.lit(lo)) / F.lit(step)).alias("b"))
+        step = max(1, -(-(hi - lo) // buckets))
+        bucket = F.call_function("div", F.col(key) - F.lit(lo), F.lit(step))
+        rows = (df.where(F.col(key).between(lo, hi - 1)).groupBy(bucket.alias("b"))
                 .agg(F.count(F.lit(1)).alias("c")).collect())
-        counts = sorted((int(r.b), int(r.c)) for r in rows)
-        cum = below
-        for b, c in counts:
-            if cum + c >= n:
-                new_lo, new_hi = lo + b * step, min(hi, lo + (b + 1) * step)
-                lo, hi, below = new_lo, new_hi, cum
-                if c <= exact_limit or step == 1:
+        for b, c in sorted((int(r.b), int(r.c)) for r in rows):
+            if below + c >= n:
+                lo, hi = lo + b * step, min(hi, lo + (b + 1) * step)
+                if below + c == n or step == 1:
                     return lo, hi, below
                 break
-            cum += c
-        else:  # fewer than n rows in total
-            return hi, hi, cum
+            below += c
+        else:
+            raise RuntimeError("the rows changed between two passes; sample a written table")
 
 
-def first_n(df: DataFrame, n: int, order_key: Column, tie: Column | None = None,
-            buckets: int = 4096, exact_limit: int = 2_000_000, topk_limit: int = 0) -> DataFrame:
-    """The ``n`` rows with the smallest ``order_key`` (a non-negative long),
-    ties broken by ``tie``.  Exact; see the module doc for the plan."""
+def _dealt(df: DataFrame, n: int, order_key: Column, buckets: int) -> DataFrame:
+    """``df`` with a boolean ``_first``: true for its first ``n`` rows.  A null order key is an error."""
+    cols = df.columns
+    keyed = df.withColumns({"_k": order_key.cast("long"), "_h": F.shiftrightunsigned(F.xxhash64(*cols), 1)})
+    size = keyed.agg(F.count(F.lit(1)).alias("n"), F.count("_k").alias("keys"), F.min("_k").alias("lo"),
+                     F.max("_k").alias("hi")).first()
+    if size["keys"] < size["n"]:
+        raise ValueError(f"{size['n'] - size['keys']} rows have no order key")
+    if n <= 0 or n >= size["n"]:
+        return df.withColumn("_first", F.lit(n > 0))
+    lo, hi, below = _narrow(keyed, "_k", size["lo"], size["hi"] + 1, n, buckets)
+    inside = keyed.where(F.col("_k").between(lo, hi - 1))
+    left, tied = n - below, inside.count()
+    if left == tied:
+        return keyed.withColumn("_first", F.col("_k") <= hi - 1).select(*cols, "_first")
+    # one key value, more rows than are wanted: the row hash decides
+    h_lo, h_hi, h_below = _narrow(inside, "_h", 0, 1 << 63, left, buckets)
+    edge = (F.col("_k") == lo) & F.col("_h").between(h_lo, h_hi - 1)
+    first = (F.col("_k") < lo) | ((F.col("_k") == lo) & (F.col("_h") <= h_hi - 1))
+    left -= h_below
+    copies = keyed.where(edge).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    if copies.agg(F.sum("_n")).first()[0] == left:
+        return keyed.withColumn("_first", first).select(*cols, "_first")
+    # rows of one hash: copies of one row, but for a collision of 63 bits
+    block = 1 << 16
+    w = Window.orderBy(*cols)  # one row for each different row of that hash
+    numbered = (copies.withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
+                .withColumn("_block", F.explode(F.expr(f"sequence(0L, (_n - 1) div {block})")))
+                .repartition("_block")
+                .withColumn("_i", F.explode(F.expr(f"sequence(_block * {block}, least(_n, (_block + 1) * {block}) - 1)"))))
+    split = numbered.select(*cols, (F.col("_before") + F.col("_i") < left).alias("_first"))
+    return keyed.where(~edge).select(*cols, first.alias("_first")).unionByName(split)
+
+
+def first_n(df: DataFrame, n: int, order_key: Column, buckets: int = 4096) -> DataFrame:
+    """The ``n`` rows with the smallest ``order_key`` (a long; ties in the order of a hash of all columns).
+    Exact; see the module doc for the plan."""
     if n <= 0:
         return df.limit(0)
-    tie = tie if tie is not None else order_key
-    cols = df.columns
-    keyed = df.withColumns({"_k": order_key, "_t": tie})
-    if n <= topk_limit:
-        return keyed.orderBy("_k", "_t").limit(n).select(*cols)
-    lo, hi, below = _boundary(keyed, "_k", n, buckets, exact_limit)
-    sure = keyed.where(F.col("_k") < lo)
-    edge = keyed.where((F.col("_k") >= lo) & (F.col("_k") < hi))
-    w = Window.orderBy("_k", "_t")  # at most exact_limit rows
-    edge = edge.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n - below).drop("_r")
-    return sure.unionByName(edge).select(*cols)
+    return _dealt(df, n, order_key, buckets).where("_first").drop("_first")
 
 
 def downsample(df: DataFrame, label: str, n_negative: int, keys: Sequence[str], seed: int = 123,
@@ -81,7 +99,7 @@ def downsample(df: DataFrame, label: str, n_negative: int, keys: Sequence[str],
     """M1: all positives plus ``n_negative`` hash-chosen negatives."""
     neg = df.where(F.col(label) == negative)
     pos = df.where(F.col(label) != negative)
-    chosen = first_n(neg, n_negative, hash_key(keys, seed), hash_text(keys, seed))
+    chosen = first_n(neg, n_negative, hash_key(keys, seed))
     return pos.unionByName(chosen)
 
 
@@ -96,30 +114,22 @@ def undersample_parity(df: DataFrame, label: str, keys: Sequence[str], seed: int
     out = df.where(F.col(label) == minority)
     for m in majority:
         part = df.where(F.col(label) == m)
-        out = out.unionByName(first_n(part, counts[minority], hash_key(keys, seed), hash_text(keys, seed)))
+        out = out.unionByName(first_n(part, counts[minority], hash_key(keys, seed)))
     return out
 
 
 def split_random(df: DataFrame, keys: Sequence[str], fraction: float = 0.8, seed: int = 123,
                  out: str = "split") -> DataFrame:
     """M4: exact ``ceil(fraction * n)`` rows to 'train' by hash order, rest 'test'."""
-    import math
-    n = df.count()
-    k = math.ceil(fraction * n)
-    train = first_n(df, k, hash_key(keys, seed), hash_text(keys, seed)).withColumn(out, F.lit("train"))
-    test = df.join(train.select(*keys), list(keys), "left_anti").withColumn(out, F.lit("test"))
-    return train.unionByName(test)
+    return split_ordered(df, hash_key(keys, seed), fraction, out)
 
 
-def split_ordered(df: DataFrame, order_key: Column, keys: Sequence[str], fraction: float = 0.8,
-                  out: str = "split") -> DataFrame:
-    """M5: the first ``ceil(fraction * n)`` rows of an explicit order -> 'train'."""
-    import math
-    n = df.count()
-    k = math.ceil(fraction * n)
-    train = first_n(df, k, order_key).withColumn(out, F.lit("train"))
-    test = df.join(train.select(*keys), list(keys), "left_anti").withColumn(out, F.lit("test"))
-    return train.unionByName(test)
+def split_ordered(df: DataFrame, order_key: Column, fraction: float = 0.8, out: str = "split",
+                  buckets: int = 4096) -> DataFrame:
+    """M5: the first ``ceil(fraction * n)`` rows of an explicit order -> 'train', the rest -> 'test'.
+    Every row is returned once; rows of one key may be divided."""
+    dealt = _dealt(df, math.ceil(fraction * df.count()), order_key, buckets)
+    return dealt.withColumn(out, F.when(F.col("_first"), "train").otherwise("test")).drop("_first")
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -159,7 +169,7 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int =
     kk = min(k, n_min - 1)
     nn = knn_self(mino, key, feats, kk, grid=grid, cell=cell)
     q, extra = divmod(n_new, n_min)
-    plus = first_n(mino.select(key), extra, hash_key([key], f"{seed}-extra"), hash_text([key], f"{seed}-extra"))
+    plus = first_n(mino.select(key), extra, hash_key([key], f"{seed}-extra"))
     plus = plus.withColumn("_plus", F.lit(1))
     reps = mino.join(plus, key, "left").withColumn("_n", F.lit(q) + F.coalesce("_plus", F.lit(0)))
     copies = reps.where(F.col("_n") > 0).withColumn("copia", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))

@@ -156,23 +156,29 @@ def job_features(occurrence: DataFrame, bridge: DataFrame, terrain: DataFrame) -
                       "peligro", "vulner", "ocurrencia")
 
 
-def mobility_per_station_day(mobility: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Mobility of the municipalities a station serves, summed per day."""
-    j = mobility.join(bridge.select(F.col("codigo_municipio").alias("cod_municipio"), "indicativo"),
-                      "cod_municipio")
-    return j.groupBy("fecha", "indicativo").agg(
-        F.sum("total_viajes").alias("total_viajes_estacion"),
-        F.sum("total_viajes_km").alias("total_viajes_km_estacion"))
+def zone_stations(municipalities: DataFrame, bridge: DataFrame) -> DataFrame:
+    """The stations of a zone: those that serve any of its municipalities, each once."""
+    return (municipalities.select("codigo_municipio", F.col("zona").alias("destino"))
+            .join(bridge.select("codigo_municipio", "indicativo"), "codigo_municipio")
+            .select("destino", "indicativo").distinct())
 
 
-def job_features_mobility(features: DataFrame, mobility: DataFrame, bridge: DataFrame) -> DataFrame:
+def mobility_per_station_day(mobility: DataFrame, stations_of_zone: DataFrame) -> DataFrame:
+    """Mobility of the zones a station serves, summed per day (Q5: a zone total
+    reaches every station of the zone, and each of them once)."""
+    return mobility.join(stations_of_zone, "destino").groupBy("fecha", "indicativo").agg(
+        round_half_up(F.sum("total_viajes"), 4).alias("total_viajes_estacion"),
+        round_half_up(F.sum("total_viajes_km"), 4).alias("total_viajes_km_estacion"))
+
+
+def job_features_mobility(features: DataFrame, mobility: DataFrame, stations_of_zone: DataFrame) -> DataFrame:
     """E7 (flagship): the feature table with mobility per station-day (left)."""
-    mob = mobility_per_station_day(mobility, bridge)
+    mob = mobility_per_station_day(mobility, stations_of_zone)
     return features.join(mob, ["fecha", "indicativo"], "left")
 
 
 def job_features_mobility_from_parts(occurrence: DataFrame, bridge: DataFrame, terrain: DataFrame,
-                                     mobility: DataFrame) -> DataFrame:
+                                     mobility: DataFrame, stations_of_zone: DataFrame) -> DataFrame:
     """E7 with the mobility join moved below the fan-out.
 
     Mobility is keyed by (day, station), which the fan-out preserves, so
@@ -181,12 +187,12 @@ def job_features_mobility_from_parts(occurrence: DataFrame, bridge: DataFrame, t
     then only probe small dimensions (broadcast by AQE).  Same rows as
     ``job_features_mobility(job_features(...), ...)``.
     """
-    mob = mobility_per_station_day(mobility, bridge)
+    mob = mobility_per_station_day(mobility, stations_of_zone)
     occ = occurrence.join(mob, ["fecha", "indicativo"], "left")
-    b = rel.broadcast_if_small(bridge.select("codigo_municipio", "indicativo"))
-    t = rel.broadcast_if_small(terrain.select(
+    b = bridge.select("codigo_municipio", "indicativo")
+    t = terrain.select(
         F.col("cod_municipio").alias("codigo_municipio"), "municipio", "altitud",
-        "porcentaje_pendiente_total", "alto_riesgo", "peligro", "vulner"))
+        "porcentaje_pendiente_total", "alto_riesgo", "peligro", "vulner")
     out = rel.fan_out(occ, b, "indicativo").join(t, "codigo_municipio", "left")
     return out.select("fecha", "indicativo", "municipio", F.col("codigo_municipio").alias("cod_municipio"),
                       *fx.WEATHER_COLUMNS, "altitud", "porcentaje_pendiente_total", "alto_riesgo",
@@ -218,7 +224,7 @@ TERRAIN_COLS = ["altitud", "porcentaje_pendiente_total", "alto_riesgo", "peligro
 
 
 def job_clean_from_parts(occurrence: DataFrame, bridge: DataFrame, terrain: DataFrame,
-                         mobility: DataFrame) -> DataFrame:
+                         mobility: DataFrame, stations_of_zone: DataFrame) -> DataFrame:
     """E8 without building the feature table first.
 
     ``job_clean(job_features_mobility(...))`` fans every station-day out to
@@ -233,8 +239,8 @@ def job_clean_from_parts(occurrence: DataFrame, bridge: DataFrame, terrain: Data
     per_station = (bridge.select("codigo_municipio", "indicativo").join(t, "codigo_municipio", "left")
                    .groupBy("indicativo").agg(*[F.max(c).alias(c) for c in TERRAIN_COLS]))
     days = occurrence.select("fecha", "indicativo", *fx.WEATHER_COLUMNS, "ocurrencia")
-    df = days.join(per_station, "indicativo").join(mobility_per_station_day(mobility, bridge),
-                                                   ["fecha", "indicativo"], "left")
+    df = days.join(per_station, "indicativo").join(
+        mobility_per_station_day(mobility, stations_of_zone), ["fecha", "indicativo"], "left")
     return _clean_tail(add_calendar(df, "fecha"))
 
 
@@ -274,14 +280,15 @@ def features_fx(spark: SparkSession, d: str, bridge: DataFrame | None = None) ->
 
 def features_mobility_fx(spark: SparkSession, d: str) -> DataFrame:
     bridge = bridge_fx(spark, d)
-    mob = mobility_fx(spark, d).select("fecha", "cod_municipio", "total_viajes", "total_viajes_km")
+    mob = mobility_fx(spark, d).select("fecha", "destino", "total_viajes", "total_viajes_km")
     return job_features_mobility_from_parts(occurrence_fx(spark, d, bridge), bridge,
-                                            terrain_fx(spark, d, materialized=True), mob)
+                                            terrain_fx(spark, d, materialized=True), mob,
+                                            zone_stations(fx.fx_municipalities(spark, d), bridge))
 
 
 def clean_fx(spark: SparkSession, d: str) -> DataFrame:
     bridge = bridge_fx(spark, d)
-    mob = mobility_fx(spark, d).select("fecha", "cod_municipio", "total_viajes", "total_viajes_km")
+    mob = mobility_fx(spark, d).select("fecha", "destino", "total_viajes", "total_viajes_km")
     return job_clean_from_parts(occurrence_fx(spark, d, bridge), bridge, terrain_fx(spark, d, materialized=True),
-                                mob)
+                                mob, zone_stations(fx.fx_municipalities(spark, d), bridge))
 

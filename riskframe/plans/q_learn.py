@@ -99,7 +99,7 @@ def q_split_random(spark, d):
 def q_split_ordered(spark, d):
     """M5/Q15: first 80 % in (date, station) order -> train."""
     order = F.unix_date("fecha").cast("long") * F.lit(1 << 32) + F.col("indicativo")
-    return smp.split_ordered(_base(spark, d).select("fecha", "indicativo"), order, KEYS, 0.8)
+    return smp.split_ordered(_base(spark, d).select("fecha", "indicativo"), order, 0.8)
 
 
 @register("split_time", sj.with_jobs("clean") + f"""

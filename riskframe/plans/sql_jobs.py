@@ -93,10 +93,14 @@ MOBILITY_DEPS = ("fx_trips", "fx_municipalities")
 
 FEATURES_MOBILITY = {
     "mob_st": """
-        SELECT m.fecha, b.indicativo, sum(m.total_viajes) AS total_viajes_estacion,
-               sum(m.total_viajes_km) AS total_viajes_km_estacion
-        FROM mobility m JOIN bridge b ON m.cod_municipio = b.codigo_municipio
-        GROUP BY m.fecha, b.indicativo""",
+        SELECT m.fecha, z.indicativo,
+               CAST(round(CAST(sum(m.total_viajes) AS DECIMAL(38,10)), 4) AS DOUBLE) AS total_viajes_estacion,
+               CAST(round(CAST(sum(m.total_viajes_km) AS DECIMAL(38,10)), 4) AS DOUBLE) AS total_viajes_km_estacion
+        FROM mobility m
+        JOIN (SELECT DISTINCT f.zona, b.indicativo
+              FROM fx_municipalities f JOIN bridge b ON f.codigo_municipio = b.codigo_municipio) z
+          ON m.destino = z.zona
+        GROUP BY m.fecha, z.indicativo""",
     "features_mobility": """
         SELECT f.*, ms.total_viajes_estacion, ms.total_viajes_km_estacion
         FROM features f LEFT JOIN mob_st ms ON f.fecha = ms.fecha AND f.indicativo = ms.indicativo""",

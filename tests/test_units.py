@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from riskframe.functions import geo
@@ -101,8 +102,8 @@ def test_dedup_by_key_keeps_first_in_order(spark):
 def test_first_n_exact_through_histogram_path(spark):
     df = spark.range(0, 5000).withColumn("g", F.lit(1))
     key = smp.hash_key(["id"], 9)
-    got = smp.first_n(df, 1234, key, smp.hash_text(["id"], 9), buckets=16, exact_limit=50, topk_limit=10)
-    expect = [r.id for r in df.withColumn("h", smp.hash_text(["id"], 9)).orderBy("h").limit(1234).collect()]
+    got = smp.first_n(df, 1234, key, buckets=16)
+    expect = [r.id for r in df.withColumn("h", key).orderBy("h").limit(1234).collect()]
     assert sorted(r.id for r in got.collect()) == sorted(expect)
 
 
@@ -255,7 +256,7 @@ def test_splits_are_exact_and_ordered(spark):
     df = spark.range(0, 101).withColumnRenamed("id", "k")
     r = {row.split: row["count"] for row in smp.split_random(df, ["k"], 0.8, 7).groupBy("split").count().collect()}
     assert r == {"train": 81, "test": 20}
-    o = smp.split_ordered(df, F.col("k"), ["k"], 0.8)
+    o = smp.split_ordered(df, F.col("k"), 0.8)
     assert sorted(x.k for x in o.where("split = 'train'").collect()) == list(range(81))
 
 
@@ -271,3 +272,47 @@ def test_nan_area_is_no_fire(spark):
     assert [r.ocurrencia for r in occurrence_label(df).collect()] == [0, 0, 1, 0, 0]
     num = spark.createDataFrame([(float("nan"),), (2.0,)], "haforestal double")
     assert [r.ocurrencia for r in occurrence_label(num).collect()] == [0, 1]
+
+
+def test_splits_keep_every_row_once_on_ties_nulls_and_negative_keys(spark):
+    def sizes(df):
+        got = {r.split: r["count"] for r in df.groupBy("split").count().collect()}
+        return got.get("train", 0), got.get("test", 0)
+    tied = spark.createDataFrame([(1, i % 5) for i in range(10)], "k long, v long")  # one key, five rows twice
+    assert sizes(smp.split_random(tied, ["k"], 0.5, 7)) == (5, 5)
+    assert sizes(smp.split_ordered(tied, F.col("k"), 0.7)) == (7, 3)
+    out = smp.split_ordered(tied, F.col("k"), 0.3)
+    assert sorted(r.v for r in out.collect()) == sorted(r.v for r in tied.collect())
+    copies = spark.createDataFrame([(1,)] * 10, "k long")
+    assert sizes(smp.split_ordered(copies, F.col("k"), 0.3)) == (3, 7)
+    nulls = spark.createDataFrame([(i if i else None,) for i in range(10)], "k long")
+    assert sizes(smp.split_random(nulls, ["k"], 0.8, 7)) == (8, 2)
+    old = smp.split_ordered(spark.range(-10, 0).toDF("k"), F.col("k"), 0.8)
+    assert sorted(r.k for r in old.where("split = 'train'").collect()) == list(range(-10, -2))
+    with pytest.raises(ValueError):
+        smp.split_ordered(nulls, F.col("k"), 0.8)
+    assert sizes(smp.split_random(tied.limit(0), ["k"], 0.8, 7)) == (0, 0)
+
+
+def test_nearest_station_across_the_180th_meridian(spark):
+    pts = spark.createDataFrame([("p", 0.0, 179.9), ("q", 10.0, -179.99), ("r", 0.0, 0.1), ("s", 89.9, 5.0)],
+                                "pid string, latitud double, longitud double")
+    st = spark.createDataFrame([(1, 0.0, 179.65), (2, 0.0, -179.95), (3, 10.0, 179.8), (4, 89.95, -175.0)],
+                               "sid long, latitud double, longitud double")
+    got = {r.pid: r.sid for r in nearest_station(pts, st, point_key="pid", station_key="sid").collect()}
+    assert got == {"p": 2, "q": 3, "r": 4, "s": 4}
+
+
+def test_depth_beyond_the_limit_is_an_error():
+    from riskframe.operators import models
+    with pytest.raises(ValueError):
+        models.decision_tree(max_depth=50)
+
+
+def test_zone_total_reaches_every_station_of_the_zone_once(spark):
+    from riskframe.plans import jobs
+    munis = spark.createDataFrame([("a", 7), ("b", 7), ("c", 7)], "codigo_municipio string, zona long")
+    bridge = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "codigo_municipio string, indicativo long")
+    mob = spark.createDataFrame([("d", 7, 15.0, 3.0)], "fecha string, destino long, total_viajes double, total_viajes_km double")
+    out = jobs.mobility_per_station_day(mob, jobs.zone_stations(munis, bridge)).collect()
+    assert sorted((r.indicativo, r.total_viajes_estacion) for r in out) == [(1, 15.0), (2, 15.0)]

@@ -28,9 +28,10 @@ MIN_Z = 3.0
 THRESHOLD = 0.7
 
 
-def choose_terms(index: np.ndarray, who: np.ndarray, y: np.ndarray, size: int, most: int, min_z: float) -> np.ndarray:
-    """Hash values whose share of texts differs most between the labels (z of two proportions)."""
-    pairs = np.unique(who * size + index)  # a term once per text
+def choose_terms(parts: list[np.ndarray], y: np.ndarray, size: int, most: int, min_z: float) -> np.ndarray:
+    """Hash values whose share of texts differs most between the labels (z of two proportions).
+    ``parts`` hold text * size + term, each pair once in a part."""
+    pairs = np.unique(np.concatenate(parts))  # a term once per text
     text, term = pairs // size, pairs % size
     total = np.bincount(term, minlength=size).astype(float)
     hits = np.bincount(term, weights=y[text].astype(float), minlength=size)
@@ -78,8 +79,8 @@ def _present(col, bits: int, slot: np.ndarray, rows: int, d: int, start: int = 0
 
 def _train(bits: int, most: int, factors: int, epochs: int, rate: float, l2: float, min_z: float):
     def run(texts, y) -> bytes:
-        parts = [(index, who + first) for first, _, index, who in text_terms(texts, bits, 1)]
-        terms = choose_terms(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), y, 1 << bits, most, min_z)
+        parts = [np.unique((who + first) * (1 << bits) + index) for first, _, index, who in text_terms(texts, bits, 1)]
+        terms = choose_terms(parts, y, 1 << bits, most, min_z)
         slot = np.full(1 << bits, -1, np.int32)
         slot[terms] = np.arange(len(terms))
         bias, w, v = train_fm(_present(texts, bits, slot, len(y), len(terms)), y.astype(float), factors, epochs, rate, l2)

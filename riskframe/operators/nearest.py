@@ -4,7 +4,7 @@ The reference pairs every municipality with every station, computes a
 per-row Python geodesic and ranks the pairs.  Here the pairing is pruned by a
 lat/lon grid and the answer stays exact:
 
-1. level 0 puts stations in square cells of ``cell_deg`` degrees; every
+1. level 0 puts stations in square cells sized from the stations; every
    point looks only at the 3x3 block of cells around its own cell (an
    equi-join on the cell id, so it shuffles or broadcasts like any join);
 2. the best candidate is certified when its distance is strictly below a
@@ -27,6 +27,8 @@ Ties are broken by the station key (smallest wins), as a total order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +61,21 @@ def _outside_lower_bound(lat: Column, lon: Column, cy: Column, cx: Column, g: fl
     return F.least(lb_lat, lb_lon)
 
 
+def cell_size(stations: DataFrame, lat: str, lon: str) -> float:
+    """First cell size: about two evenly spread stations in a cell, 20 in a block.  At least
+    0.001 degrees (stations at one spot), at most 90 (one station, or none)."""
+    r = stations.agg(F.count(F.lit(1)).alias("n"), (F.max(lat) - F.min(lat)).alias("dy"), (F.max(lon) - F.min(lon)).alias("dx")).first()
+    if r["n"] < 2:
+        return 90.0
+    return min(90.0, max(0.001, 1.5 * math.sqrt(max(r["dy"], 0.001) * max(r["dx"], 0.001) / r["n"])))
+
+
 def nearest_station(points: DataFrame, stations: DataFrame, *,
                     point_key: str, station_key: str,
                     point_lat: str = "latitud", point_lon: str = "longitud",
                     station_lat: str = "latitud", station_lon: str = "longitud",
                     station_cols: list[str] | None = None,
-                    cell_deg: float = 0.25, growth: int = 4,
+                    cell_deg: float | None = None, growth: int = 4,
                     station_key_as: str | None = None,
                     distance_col: str = "distancia_m", materialize: bool = False) -> DataFrame:
     """One row per point: the point's columns, the nearest station's key
@@ -74,6 +85,10 @@ def nearest_station(points: DataFrame, stations: DataFrame, *,
     Points and stations with a null coordinate take no part in the pairing;
     such points are returned with null station columns.
 
+    ``cell_deg`` is the first cell size in degrees; by default it follows from the
+    stations' number and extent (:func:`cell_size`, a one-row aggregate that runs
+    at once), so that a block holds about as many stations at any scale.
+
     ``materialize=True`` writes each level's result as a table in the shared
     checkpoint folder (``spark.checkpoint.dir``) and stops as soon as no
     point is pending:
@@ -94,7 +109,7 @@ def nearest_station(points: DataFrame, stations: DataFrame, *,
         F.col(point_lon).cast("double").alias("_p_lon"),
     ).where(F.col("_p_lat").isNotNull() & F.col("_p_lon").isNotNull())
 
-    sizes = _levels(cell_deg, growth)
+    sizes = _levels(cell_deg or cell_size(st, "_s_lat", "_s_lon"), growth)
     offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     candidate = F.struct(F.col("_d"), F.col("_s_key"), *[F.col(f"_s_{c}") for c in station_cols])
     resolved: list[DataFrame] = []

@@ -33,16 +33,23 @@ def exact_quantiles(long_df: DataFrame, group: str, value: str, probs: Sequence[
     spark = long_df.sparkSession
     data = long_df.select(F.col(group).cast("string").alias("_g"), F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    stats = {r._g: (r.n, r.lo, r.hi) for r in
-             data.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"),
-                                    F.max("_v").alias("hi")).collect()}
+    # ranges are narrowed over the finite values; infinities are counted on either side
+    finite = F.abs("_v") < F.lit(math.inf)
+    stats = {r._g: (r.n, r.lo, r.hi, r.below, r.above) for r in
+             data.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(finite, F.col("_v"))).alias("lo"),
+                                    F.max(F.when(finite, F.col("_v"))).alias("hi"),
+                                    F.count_if(F.col("_v") == -math.inf).alias("below"),
+                                    F.count_if(F.col("_v") == math.inf).alias("above")).collect()}
     # one target per needed order statistic: [group, rank, lo, hi, below, count_in_range, value]
     targets: dict[tuple[str, int], list] = {}
-    for g, (n, lo, hi) in stats.items():
+    for g, (n, lo, hi, below, above) in stats.items():
         for p in probs:
             pos = p * (n - 1)
             for r in {math.floor(pos), math.ceil(pos)}:
-                targets[(g, r)] = [lo, hi, 0, n, lo if lo == hi else None]
+                if r < below or r >= n - above:
+                    targets[(g, r)] = [None, None, 0, n, -math.inf if r < below else math.inf]
+                else:
+                    targets[(g, r)] = [lo, hi, below, n - below - above, lo if lo == hi else None]
     schema = "_tg string, _tid long, _lo double, _hi double"
     keys = list(targets)
     for _ in range(64):  # each pass shrinks a range by ~buckets; 64 passes exceed double precision
@@ -52,8 +59,9 @@ def exact_quantiles(long_df: DataFrame, group: str, value: str, probs: Sequence[
             break
         tdf = spark.createDataFrame(
             [(keys[i][0], i, targets[keys[i]][0], targets[keys[i]][1]) for i in active], schema)
-        width = (F.col("_hi") - F.col("_lo"))
-        b = F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / width * buckets).cast("long"))
+        half = lambda c: F.col(c) / 2  # noqa: E731 - the difference of two finite halves is finite
+        b = F.least(F.lit(buckets - 1),
+                    F.floor((half("_v") - half("_lo")) / (half("_hi") - half("_lo")) * buckets).cast("long"))
         rows = (data.join(F.broadcast(tdf), F.col("_g") == F.col("_tg"))
                 .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                 .groupBy("_tid", b.alias("_b"))
@@ -72,6 +80,8 @@ def exact_quantiles(long_df: DataFrame, group: str, value: str, probs: Sequence[
                         t[4] = mn
                     break
                 cum += c
+    else:
+        raise RuntimeError("a quantile's range did not narrow")
     pending = [i for i, t in enumerate(keys) if targets[t][4] is None]
     if pending:
         tdf = spark.createDataFrame(
@@ -85,7 +95,7 @@ def exact_quantiles(long_df: DataFrame, group: str, value: str, probs: Sequence[
                 "_tid", "_v").collect():
             targets[keys[r._tid]][4] = r._v
     out: dict[tuple[str, float], float | None] = {}
-    for g, (n, _, _) in stats.items():
+    for g, (n, *_) in stats.items():
         for p in probs:
             pos = p * (n - 1)
             lo_r, hi_r = math.floor(pos), math.ceil(pos)

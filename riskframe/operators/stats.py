@@ -86,8 +86,8 @@ def _beta_cf(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < eps:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"incomplete beta function of {a}, {b}, {x}: no convergence")
 
 
 def _beta_reg(a: float, b: float, x: float) -> float:
@@ -127,8 +127,9 @@ def acf(df: DataFrame, series_key: str, order_col: str, cols: Sequence[str], nla
 
     acf_k = sum_t (x_t - m)(x_{t+k} - m) / sum_t (x_t - m)^2 over the series'
     rows in order (divisor n on both sides, i.e. statsmodels' default).  One
-    window sort per series computes the mean and the ``nlags`` leads; the
-    products are unpivoted and summed by (series, variable, lag).  A series is
+    window sort per series computes the mean and the ``nlags`` leads; their
+    products are summed as columns on the same partitioning, and only the sums
+    are unpivoted to a row per lag.  A series is
     one station's daily values, so a window partition is bounded by the
     calendar, not by the data volume.
     """
@@ -138,16 +139,13 @@ def acf(df: DataFrame, series_key: str, order_col: str, cols: Sequence[str], nla
     centred = lf.withColumn("_x", F.col("valor") - F.avg("valor").over(w_all))
     leads = centred.select(series_key, "variable", "_x",
                            *[F.lead("_x", k).over(w_ord).alias(f"_l{k}") for k in range(1, nlags + 1)])
-    prods = leads.select(series_key, "variable",
-                         F.posexplode(F.array(*[F.col("_x") * F.col("_x")] +
-                                              [F.col("_x") * F.col(f"_l{k}") for k in range(1, nlags + 1)]))
-                         .alias("lag", "_p"))
-    sums = prods.groupBy(series_key, "variable", "lag").agg(F.sum("_p").alias("_c"))
-    c0 = sums.where(F.col("lag") == 0).select(series_key, "variable", F.col("_c").alias("_c0"))
-    return (sums.where(F.col("lag") > 0).join(c0, [series_key, "variable"])
-            .where(F.col("_c0") > 0)
+    lags = [str(k) for k in range(1, nlags + 1)]
+    sums = leads.groupBy(series_key, "variable").agg(
+        F.sum(F.col("_x") * F.col("_x")).alias("_c0"),
+        *[F.coalesce(F.sum(F.col("_x") * F.col(f"_l{k}")), F.lit(0.0)).alias(k) for k in lags]).where(F.col("_c0") > 0)
+    return (sums.unpivot([series_key, "variable", "_c0"], lags, "lag", "_c")
             .select(series_key, "variable", F.col("lag").cast("long").alias("lag"),
-                    (F.coalesce(F.col("_c"), F.lit(0.0)) / F.col("_c0")).alias("acf")))
+                    (F.col("_c") / F.col("_c0")).alias("acf")))
 
 
 def _durbin_levinson(r: np.ndarray) -> np.ndarray:

@@ -102,7 +102,7 @@ def station_overrides(municipalities: DataFrame) -> DataFrame:
 
 
 def job_station_bridge(municipalities: DataFrame, stations: DataFrame,
-                       overrides: DataFrame | None = None, cell_deg: float = 0.25,
+                       overrides: DataFrame | None = None, cell_deg: float | None = None,
                        materialize: bool = True) -> DataFrame:
     """Every municipality's nearest station (exact, grid-pruned).
 

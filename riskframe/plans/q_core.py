@@ -459,7 +459,7 @@ def q_correlated_pairs(spark, d):
     return stats.correlated_pairs(c, 0.5)
 
 
-_LEV = ["prec", "tmed", "velmedia", "rhum", "sol"]
+_LEV = ["prec", "tmax", "tmed", "tmin", "velmedia", "rhum", "sol"]
 _LEV_LONG = " UNION ALL ".join(f"SELECT ocurrencia, '{c}' AS variable, CAST({c} AS DOUBLE) AS valor FROM occurrence "
                                f"WHERE {c} IS NOT NULL" for c in _LEV)
 
@@ -490,8 +490,8 @@ def q_levene_test(spark, d):
     return stats.levene_test(jobs.occurrence_fx(spark, d), "ocurrencia", _LEV)
 
 
-_ACF = ["tmed", "prec", "velmedia"]
-_NLAGS = 10
+_ACF = ["tmed", "prec", "velmedia", "tmax", "tmin", "rhum", "sol"]
+_NLAGS = 60
 
 
 @register("acf", WITH("fx_weather", extra={
@@ -507,7 +507,7 @@ _NLAGS = 10
     FROM sums s JOIN sums z ON z.indicativo = s.indicativo AND z.variable = s.variable AND z.lag = 0
     WHERE s.lag > 0 AND z.s > 0""")
 def q_acf(spark, d):
-    """Autocorrelation per station series, lags 1..10."""
+    """Autocorrelation per station series, lags 1..60."""
     return stats.acf(fx.fx_weather(spark, d), "indicativo", "fecha", _ACF, _NLAGS).withColumn("acf", r6("acf"))
 
 

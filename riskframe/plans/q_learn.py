@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -41,15 +42,17 @@ _CLEAN_TABLES: dict[tuple[str, str], str] = {}
 
 def _clean_table(spark, d):
     """The cleaned table (E8) written once per application and data folder
-    under the shared checkpoint folder, then read by every model query."""
+    under the shared checkpoint folder, then read by the sampling, split and model
+    queries.  A data folder that changes needs a new application."""
     from ..sources.files import scratch_path
     key = (spark.sparkContext.applicationId, d)
     path = _CLEAN_TABLES.get(key)
     if path is not None:
         try:
             return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - the folder was cleared: write it again
-            pass
+        except AnalysisException as e:  # the folder was cleared: write it again
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     path = scratch_path(spark, "clean")
     _base(spark, d).write.mode("overwrite").parquet(path)
     _CLEAN_TABLES[key] = path
@@ -66,7 +69,7 @@ def _clean_table(spark, d):
     WHERE rn <= {N_NEGATIVE}""")
 def q_downsample_fixed(spark, d):
     """M1: all positives + 3029 hash-chosen negatives (exact, repeatable)."""
-    b = _base(spark, d).select("fecha", "indicativo", LABEL)
+    b = _clean_table(spark, d).select("fecha", "indicativo", LABEL)
     return smp.downsample(b, LABEL, N_NEGATIVE, KEYS, SEED)
 
 
@@ -79,7 +82,7 @@ def q_downsample_fixed(spark, d):
     WHERE rn <= (SELECT n FROM pos)""")
 def q_undersample_parity(spark, d):
     """M2: majority cut to the minority's size."""
-    b = _base(spark, d).select("fecha", "indicativo", LABEL)
+    b = _clean_table(spark, d).select("fecha", "indicativo", LABEL)
     return smp.undersample_parity(b, LABEL, KEYS, SEED)
 
 
@@ -89,7 +92,7 @@ def q_undersample_parity(spark, d):
              count(*) OVER () AS n FROM clean)""")
 def q_split_random(spark, d):
     """M4: exact 80/20 split by hash order."""
-    return smp.split_random(_base(spark, d).select("fecha", "indicativo"), KEYS, 0.8, SEED)
+    return smp.split_random(_clean_table(spark, d).select("fecha", "indicativo"), KEYS, 0.8, SEED)
 
 
 @register("split_ordered", sj.with_jobs("clean") + """
@@ -99,14 +102,14 @@ def q_split_random(spark, d):
 def q_split_ordered(spark, d):
     """M5/Q15: first 80 % in (date, station) order -> train."""
     order = F.unix_date("fecha").cast("long") * F.lit(1 << 32) + F.col("indicativo")
-    return smp.split_ordered(_base(spark, d).select("fecha", "indicativo"), order, 0.8)
+    return smp.split_ordered(_clean_table(spark, d).select("fecha", "indicativo"), order, 0.8)
 
 
 @register("split_time", sj.with_jobs("clean") + f"""
     SELECT fecha, indicativo, CASE WHEN fecha < DATE '{CUTOFF}' THEN 'train' ELSE 'test' END AS split FROM clean""")
 def q_split_time(spark, d):
     """M6: calendar split."""
-    return feat.split_time(_base(spark, d).select("fecha", "indicativo"), "fecha", CUTOFF)
+    return feat.split_time(_clean_table(spark, d).select("fecha", "indicativo"), "fecha", CUTOFF)
 
 
 _STD = ["prec", "tmed", "velmedia", "rhum", "altitud", "porcentaje_pendiente_total", "total_viajes_estacion"]
@@ -120,7 +123,7 @@ _STD = ["prec", "tmed", "velmedia", "rhum", "altitud", "porcentaje_pendiente_tot
     " FROM sp CROSS JOIN st")
 def q_standardize(spark, d):
     """M7: standardised with train mean and population deviation."""
-    b = feat.split_time(_base(spark, d), "fecha", CUTOFF).select("fecha", "indicativo", "split", *_STD)
+    b = feat.split_time(_clean_table(spark, d), "fecha", CUTOFF).select("fecha", "indicativo", "split", *_STD)
     out = feat.standardize(b, _STD)
     return out.withColumns({c: r6(c) for c in _STD})
 
@@ -143,7 +146,7 @@ def _ohe_arr(c: str) -> str:
     "SELECT fecha, indicativo, " + ", ".join(_ohe_arr(c) for c in CATS) + " FROM ix")
 def q_one_hot(spark, d):
     """M8/Q14: indexes fitted once on train (alphabetical, unseen -> last)."""
-    b = feat.split_time(_base(spark, d), "fecha", CUTOFF)
+    b = feat.split_time(_clean_table(spark, d), "fecha", CUTOFF)
     out = feat.one_hot(b, CATS)
     return out.select("fecha", "indicativo", *[x for c in CATS for x in (f"{c}_idx", f"{c}_ohe")])
 
@@ -154,7 +157,7 @@ def q_one_hot(spark, d):
     FROM clean GROUP BY ocurrencia""")
 def q_class_weights(spark, d):
     """Balanced class weights n / (k * n_c)."""
-    return smp.class_weights(_base(spark, d), LABEL)
+    return smp.class_weights(_clean_table(spark, d), LABEL)
 
 
 _MOB = ["total_viajes_estacion", "total_viajes_km_estacion"]
@@ -170,7 +173,7 @@ _NALL = 2 + len(sj._MAX_COLS)
       WHERE fecha BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'""")
 def q_analysis_subsets(spark, d):
     """The four analysis views (row and column counts)."""
-    subs = feat.analysis_subsets(_base(spark, d), "fecha", WINDOW, _MOB)
+    subs = feat.analysis_subsets(_clean_table(spark, d), "fecha", WINDOW, _MOB)
     out = None
     for name, df in subs.items():
         part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(

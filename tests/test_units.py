@@ -170,6 +170,24 @@ def test_smote_reaches_parity(spark):
     assert set(r.y for r in syn.collect()) == {1}
 
 
+def test_exact_quantiles_with_infinite_and_huge_values(spark):
+    from riskframe.operators.quantiles import exact_quantiles
+    inf = float("inf")
+    x = [-inf, -inf, -1.5e308, *map(float, range(50)), 1.5e308, inf]
+    df = spark.createDataFrame([("a", v) for v in x] + [("b", inf)], "g string, v double")
+    ps = [0.0, 10 / 54, 0.5, 53 / 54, 1.0]
+    got = exact_quantiles(df, "g", "v", ps, buckets=4, exact_limit=3)
+    assert [got[("a", p)] for p in ps] == [-inf, 7.0, 24.0 , 1.5e308, inf] and got[("b", 0.5)] == inf
+
+
+def test_first_cell_follows_the_stations(spark):
+    from riskframe.operators.nearest import cell_size
+    at = lambda rows: cell_size(spark.createDataFrame(rows, "y double, x double"), "y", "x")
+    grid = lambda n: [(10.0 * i / n, 10.0 * j / n) for i in range(n) for j in range(n)]
+    assert at(grid(20)) == pytest.approx(at(grid(10)) / 2, rel=0.1)
+    assert at([(1.0, 1.0)]) == 90.0 and at([(1.0, 1.0)] * 5) >= 0.001
+
+
 def test_exact_quantiles_distributed_match_numpy(spark):
     from riskframe.operators.quantiles import exact_quantiles
     rnd = np.random.default_rng(5)

@@ -236,8 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = base.select("tid", "row", "text").mapInArrow(_sketches(k, sketches, width), "tid binary, row long, n_words long, keys array<long>")
     texts = each.groupBy("tid").agg(F.min(F.struct("row", "n_words", "keys")).alias("t")).select("tid", "t.*")
     texts = written(texts.withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    links = _links(base, texts, similarity, sketches, small)
-    roots = _roots(links)
+    roots = _classes(base, texts, similarity, sketches, small)
     named = texts.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("tid", "n_words", F.coalesce("root", "rid").alias("root"))
     ids = base.groupBy("tid").agg(F.min("id").alias("id"))
     best = named.join(ids, "tid").groupBy("root").agg(F.min("id").alias("class_id"))
@@ -245,8 +244,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return base.select("id", "tid").join(classes, "tid").select(F.col("id").alias(id_col), "tid", "class_id", "n_words")
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    return connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links (x, y): only the roots that these join are relabelled.
+    A root is the smallest node of its class and is listed itself; texts without a link are not."""
+    at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    ends = links.join(at("x"), "x", "left").join(at("y"), "y", "left").select(F.coalesce("rx", "x").alias("u"), F.coalesce("ry", "y").alias("v"))
+    joined = connected_components(ends)
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(joined.join(roots, "node", "left_anti")), "classes")
 
 
 def _verified(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -257,7 +262,8 @@ def _verified(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return written(both.mapInArrow(_align(similarity), "x long, y long"), "links")
 
 
-def _links(base: DataFrame, texts: DataFrame, similarity: float, sketches: int, small: int) -> DataFrame:
+def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int, small: int) -> DataFrame:
+    """(node, root) of the texts that have a link."""
     # every text with its sketch values that another text has too
     rows = texts.select("rid", F.posexplode("keys").alias("i", "key"))
     lead = rows.groupBy("key").agg(F.min("rid").alias("y"), F.max("rid").alias("last")).filter("y <> last").select("key", "y")
@@ -268,14 +274,14 @@ def _links(base: DataFrame, texts: DataFrame, similarity: float, sketches: int,
     pairs = written(rows.filter("rid <> y").select(F.col("rid").alias("x"), "y").distinct(), "pairs")
     links = _verified(held, pairs, similarity)
     rows = rows.select("key", "i", "rid")
-    roots, agree = _roots(links), 1
+    roots, agree = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), 1
     while True:
         # buckets that still hold more than one class
         seen = rows.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("key", "i", "rid", F.coalesce("root", "rid").alias("root"))
         mixed = seen.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", "n")
         rows = written(seen.join(mixed, "key"), "open")
         if rows.isEmpty():
-            return links
+            return roots
         # small buckets: all pairs across classes
         few = rows.filter(F.col("n") <= small).select("key", "rid", "root")
         other = few.select("key", F.col("rid").alias("y"), F.col("root").alias("ry"))
@@ -299,5 +305,4 @@ def _links(base: DataFrame, texts: DataFrame, similarity: float, sketches: int,
             pairs = pairs.unionByName(found)
             new = _verified(held, found, similarity)
             if not new.isEmpty():
-                links = links.unionByName(new)
-                roots = _roots(links)
+                roots = _merged(roots, new)

@@ -335,6 +335,8 @@ def repeats(texts: DataFrame, min_len: int = MIN_LEN, hot_spans: int = HOT_SPANS
         occ = written(pieces.select("tid", "seg", "text").mapInArrow(_extract(k, min_len), _OCC), f"spans{level}").withColumn("place", F.xxhash64("tid", "lo"))
         met = (occ.groupBy("a").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.min("s").alias("s0"), F.max("s").alias("s1"))
                .filter("p0 <> p1").select("a", (F.col("s0") == F.col("s1")).alias("alike")))
+        # written, so that the join below it deals out both sides itself and splits a hot anchor
+        met = written(met, f"anchors{level}")
         again = written(occ.join(met, "a"), f"met{level}")
         # one span for all places of an anchor: all of it is repeated, no need to sort
         alike = again.filter("alike").select("tid", "lo", "n").distinct()

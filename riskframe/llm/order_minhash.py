@@ -10,8 +10,8 @@ text from the start.
 Candidates: each text is compared with the smallest text of each of its sketch values (a star,
 never all pairs of a group).  Buckets that then still hold more than one class are opened
 further: in small ones all texts of different classes are compared; in larger ones each text is
-compared with the first and the last text of some other classes, and the texts of the remaining
-classes go to buckets of twice as many sketch values in a row, until every bucket is done.
+first compared with the first and the last text of some other classes, and then with every text
+of another class that shares one of its rarest words, as every pair that passes must.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ WIDTH = 2
 SMALL = 12
 #: Classes of a larger bucket whose first and last texts are leaders in a round.
 LEADERS = 3
+#: Rounds with leaders before the remaining classes of large buckets are compared in full.
+ROUNDS = 2
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -265,7 +267,7 @@ def _verified(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
 def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int, small: int) -> DataFrame:
     """(node, root) of the texts that have a link."""
     # every text with its sketch values that another text has too
-    rows = texts.select("rid", F.posexplode("keys").alias("i", "key"))
+    rows = texts.select("rid", F.explode("keys").alias("key"))
     lead = rows.groupBy("key").agg(F.min("rid").alias("y"), F.max("rid").alias("last")).filter("y <> last").select("key", "y")
     rows = written(rows.join(lead, "key"), "met")
     needed = texts.join(rows.select("rid").distinct(), "rid").select("rid", "tid", "row")
@@ -273,32 +275,31 @@ def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int
     # each text against the smallest of its bucket
     pairs = written(rows.filter("rid <> y").select(F.col("rid").alias("x"), "y").distinct(), "pairs")
     links = _verified(held, pairs, similarity)
-    rows = rows.select("key", "i", "rid")
-    roots, agree = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), 1
-    while True:
+    rows = rows.select("key", "rid")
+    roots = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    for turn in range(ROUNDS + 1):
         # buckets that still hold more than one class
-        seen = rows.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("key", "i", "rid", F.coalesce("root", "rid").alias("root"))
+        seen = rows.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))
         mixed = seen.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", "n")
         rows = written(seen.join(mixed, "key"), "open")
         if rows.isEmpty():
             return roots
-        # small buckets: all pairs across classes
-        few = rows.filter(F.col("n") <= small).select("key", "rid", "root")
-        other = few.select("key", F.col("rid").alias("y"), F.col("root").alias("ry"))
-        found = few.join(other, "key").filter("rid > y and root <> ry").select(F.col("rid").alias("x"), "y")
-        # large ones: against the first and the last text of some classes, which are done then
-        rows = rows.filter(F.col("n") > small).select("key", "i", "rid", "root")
-        classes = rows.groupBy("key", "root").agg(F.min("rid").alias("y0"), F.max("rid").alias("y1"))
-        chosen = classes.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("root"))).filter(F.col("k") <= LEADERS)
-        chosen = chosen.select("key", F.col("root").alias("ry"), F.explode(F.array_distinct(F.array("y0", "y1"))).alias("y"))
-        found = found.unionByName(rows.join(chosen, "key").filter("root <> ry").select(F.col("rid").alias("x"), "y"))
-        # the texts of the other classes: twice as many sketch values in a row must agree
-        rest = rows.join(chosen.select("key", F.col("ry").alias("root")).distinct(), ["key", "root"], "left_anti").select("key", "i", "rid")
-        if agree < sketches:
-            agree *= 2
-            longer = F.slice(F.concat("keys", "keys"), F.col("i") + 1, agree)
-            rest = rest.join(texts.select("rid", "keys"), "rid").select(F.xxhash64(longer).alias("key"), "i", "rid")
-        rows = written(rest, "split")
+        large = rows.filter(F.col("n") > small).select("key", "rid", "root")
+        if turn < ROUNDS:
+            # large buckets: against the first and the last text of some classes, which joins most of a family
+            classes = large.groupBy("key", "root").agg(F.min("rid").alias("y0"), F.max("rid").alias("y1"))
+            chosen = classes.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("root"))).filter(F.col("k") <= LEADERS)
+            chosen = chosen.select("key", F.col("root").alias("ry"), F.explode(F.array_distinct(F.array("y0", "y1"))).alias("y"))
+            found = large.join(chosen, "key").filter("root <> ry").select(F.col("rid").alias("x"), "y")
+        else:
+            # then every pair of different classes that can pass
+            found = _possible(held, texts, large.select("rid", "root").distinct(), similarity)
+        if not turn:
+            # small buckets: all pairs across classes
+            few = rows.filter(F.col("n") <= small).select("key", "rid", "root")
+            other = few.select("key", F.col("rid").alias("y"), F.col("root").alias("ry"))
+            found = found.unionByName(few.join(other, "key").filter("rid > y and root <> ry").select(F.col("rid").alias("x"), "y"))
+        rows = written(large.select("key", "rid"), "large")
         found = found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
         found = written(found.join(pairs, ["x", "y"], "left_anti"), "pairs")
         if not found.isEmpty():
@@ -306,3 +307,42 @@ def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int
             new = _verified(held, found, similarity)
             if not new.isEmpty():
                 roots = _merged(roots, new)
+    return roots
+
+
+def _labelled_words():
+    schema = pa.schema([("rid", pa.int64()), ("words", pa.list_(pa.int64()))])
+
+    def run(batches):
+        tables = _tables(1 << 20)
+        for batch in batches:
+            for i, j, data, off in _text_blocks(batch.column("text"), 1 << 20):
+                hashes, owner = word_hashes(data, off[1:], tables)
+                cut = np.searchsorted(owner, np.arange(j - i + 1))
+                words = [labelled_kmers(hashes[cut[t]: cut[t + 1]], 1).view(np.int64) for t in range(j - i)]
+                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.concatenate(words)))
+                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(i, j - i), lists], schema=schema)
+    return run
+
+
+def _possible(held: DataFrame, texts: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) of different classes of ``some`` (rid, root) that share a sketch value and may
+    pass the alignment; none that passes is left out.
+
+    With e edits at most, e of a text's words are not in the other one, in any alignment; so
+    two texts that pass share one of their e + 1 rarest words (a word's repetitions numbered)."""
+    words = held.join(some, "rid").select("rid", "text").mapInArrow(_labelled_words(), "rid long, words array<long>")
+    words = written(words.select("rid", F.size("words").alias("n"), F.explode("words").alias("word")), "words")
+    times = words.groupBy("word").agg(F.count("*").alias("times"))
+    ranked = words.join(times, "word").withColumn("k", F.row_number().over(Window.partitionBy("rid").orderBy("times", "word")))
+    rare = ranked.filter((F.col("k") <= F.floor(F.col("n") * (1 - similarity) + 1e-9) + 1) & (F.col("times") > 1)).select("word", "rid", "n")
+    rare = written(rare.join(some, "rid"), "rare")
+    classes = rare.groupBy("word", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
+    other = classes.select("word", F.col("root").alias("ry"), F.col("n0").alias("m0"), F.col("n1").alias("m1"))
+    fit = lambda a, b: F.col(b) - F.col(a) <= F.floor(F.col(b) * (1 - similarity) + 1e-9)
+    both = classes.join(other, "word").filter((F.col("root") < F.col("ry")) & fit("n1", "m0") & fit("m1", "n0")).select("word", "root", "ry")
+    second = rare.select("word", F.col("root").alias("ry"), F.col("rid").alias("y"), F.col("n").alias("m"))
+    pairs = both.join(rare, ["word", "root"]).join(second, ["word", "ry"]).filter(fit("n", "m") & fit("m", "n"))
+    pairs = pairs.select(F.col("rid").alias("x"), "y").distinct()
+    keys = lambda end: texts.select(F.col("rid").alias(end), F.col("keys").alias(f"k{end}"))
+    return pairs.join(keys("x"), "x").join(keys("y"), "y").filter(F.arrays_overlap("kx", "ky")).select("x", "y")

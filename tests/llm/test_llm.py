@@ -126,6 +126,37 @@ def test_near_duplicates_are_one_class(spark):
     assert order_minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_large_buckets_by_brute_force(spark):
+    """Families of edited copies that drift, all with one passage: every link counts, wherever in its bucket."""
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(4000)]
+    pick = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage, texts = pick(60), []
+    for _ in range(12):
+        family = [pick(60)]
+        while len(family) < 14:  # a copy of any earlier one with up to a third of its own words changed
+            own = list(rng.choice(family))
+            for _ in range(rng.randrange(12, 21)):
+                own[rng.randrange(60)] = rng.choice(vocab)
+            family.append(own)
+        texts += [passage + own for own in family]
+    rng.shuffle(texts)
+    tables, seed = suffix._tables(1 << 20), order_minhash.seeds(order_minhash.SKETCHES)
+    keys = []
+    for t in texts:
+        data = np.frombuffer(" ".join(t).encode(), np.uint8)
+        words = order_minhash.word_hashes(data, np.array([len(data)]), tables)[0]
+        keys.append(set(order_minhash.sketch(order_minhash.labelled_kmers(words, 5), seed, order_minhash.WIDTH).tolist()))
+    root = list(range(len(texts)))
+    for y in range(len(texts)):
+        for x in range(y):
+            if root[x] != root[y] and keys[x] & keys[y] and order_minhash.word_distance(texts[x], texts[y], 24) <= 24:
+                low, high = sorted((root[x], root[y]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -295,6 +295,18 @@ def test_templates_and_slots(spark):
     assert template_decontam.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_values_of_other_lengths_and_contradictions(spark):
+    item = "Our friend saw that Bob and his sister paid for the old car with money that 1,000 people had given to them in the spring"
+    two = "a shop sells pens for 3 coins and books for 5 coins each so that we ask how much both of them cost together"
+    filler = " ".join(f"plain{i}" for i in range(70))
+    long = "The crate has 12 bolts in it and nobody knows why. " + filler + " The other crate has 12 nuts."
+    rows = [(1, "so " + item.replace("Bob", "Mary Ann")), (2, item.replace("1,000", "1 000")), (3, two.replace("3", "4").replace("5", "4")), (4, long.replace("12", "13", 1)),
+            (5, long.replace("The other", "This other")), (6, "Then Paul said Paul " + item)]
+    bench = spark.createDataFrame([(1, item), (2, two), (3, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in template_decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1): False, (2, 1): False, (3, 2): False, (4, 3): False, (5, 3): False, (6, 1): True}
+
+
 def test_all_exact_benchmark_passages_are_found(spark, table):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     held = {(r.doc_id, r.item_id) for r in table.join(bench.withColumnRenamed("text", "b"), F.expr("contains(text, b)")).collect()}

@@ -4,7 +4,8 @@ Words are cut at white space and stripped of punctuation at both ends.  Numbers,
 words and units after a number become typed placeholders; windows of such template words are
 hash-joined with those of the benchmark; a value of the item must then have the same value of the
 document wherever it stands, so a question with other numbers or names is found and an unrelated
-text of the same shape is not.  Numbers or names in a row are one placeholder.
+text of the same shape is not.  Numbers or names in a row are one placeholder.  Items without
+such a window are searched word by word.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs hou
          "kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent pound pounds mph kmh").split()
 _NUMBER = r"^[$€£+-]?[0-9]+([.,:/][0-9]+)*%?$"
 _NAME = r"^\p{Lu}\p{L}*$"
+#: Scripts written without spaces: each character is a word.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def words(text: Column) -> Column:
     """Words without punctuation at their ends; those of punctuation only are dropped."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)(^|[\s])[^\w$€£+\s-]+|[^\w%\s]+(?=\s|$)", " "), r"(?U)\s+")
+    apart = F.regexp_replace(F.coalesce(text, F.lit("")), _UNSPACED, " $1 ")
+    parts = F.split(F.regexp_replace(apart, r"(?U)(^|[\s])[^\w$€£+\s-]+|[^\w%\s]+(?=\s|$)", " "), r"(?U)\s+")
     return F.filter(parts, lambda w: w != "")
 
 
@@ -77,6 +81,25 @@ def _slots(z: Column, first: Column, last: Column) -> Column:
             .when(first | last, F.array(single(F.lit(None).cast("string"), F.lit(None).cast("string")))).otherwise(F.array(single(F.array_join(a, " "), F.array_join(b, " ")))))
 
 
+def _word_by_word(base: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """id, row, item of the items (item, iw) whose words stand in a document in a row: found by their
+    first words, ``window`` at most, and then compared in full."""
+    items = items.withColumn("n", F.least(F.size("iw"), F.lit(window))).withColumn("h", F.xxhash64(F.slice("iw", 1, F.col("n"))))
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())
+    if not lengths:
+        return base.select("id", "row").crossJoin(items.select("item")).limit(0)
+    split = base.select("id", "row", words(F.col("text")).alias("dw"))
+    of = lambda n: F.transform("dw", lambda _, i: F.when(i <= F.size("dw") - n, F.struct(i.alias("pos"), F.xxhash64(F.slice("dw", i + 1, n)).alias("h"))))
+    starts = F.flatten(F.array(*[of(n) for n in lengths]))
+    at = split.select("id", "row", F.explode(F.filter(starts, lambda x: x.isNotNull())).alias("w")).select("id", "row", "w.pos", "w.h")
+    keys = items.select("h").distinct()
+    if keys.count() <= BROADCAST_WINDOWS:
+        keys = F.broadcast(keys)
+    hit = at.join(keys, "h").distinct().alias("h")
+    found = split.alias("b").join(hit, (F.col("b.row") == F.col("h.row")) & F.col("b.id").eqNullSafe(F.col("h.id"))).select("b.id", "b.row", "b.dw", "h.pos", "h.h")
+    return found.join(items, "h").filter(F.slice("dw", F.col("pos") + 1, F.size("iw")) == F.col("iw")).select("id", "row", "item").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, matches: int = MATCHES) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds: the id, item id, row (hash of id
@@ -85,7 +108,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A pair is reported if at least ``matches`` windows of the item match (or half of them, whichever
     is less), in order and near each other, and each slot value of the item has one value there.
     Where one has several, all windows with it are left out; then CONSISTENT of the item's windows
-    must remain as well.
+    must remain as well.  Items of fewer than ``window`` words, or without a window that holds
+    ``literals`` plain words, are reported where their words stand in a row (n_windows 1).
 
     Defined cases: null or empty texts, and items without words, match nothing; windows with fewer
     than ``literals`` plain words are left out; repeated rows are reported once per id and text;
@@ -98,6 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.withColumn("w", F.filter(_windows(F.col("ih"), window), lambda x: plain(x["pos"]) >= literals))
     # written, else the filters below would compute the words anew in every expression
     items = written(items.withColumn("rw", _run_words("iw")).select("item", "iw", "it", "w", "rw"), "items")
+    whole = items.filter((F.size("w") == 0) & (F.size("iw") > 0)).select("item", "iw")
     items = items.filter(F.size("w") > 0).withColumn("iw", F.col("rw")).withColumn("n_w", F.size("w")).withColumn("n_t", F.size("it"))
     items = items.withColumn("need", F.least(F.lit(matches), F.ceil(F.col("n_w") / 2)).cast("int"))
     items = items.select("item", "need", "n_w", "n_t", F.explode(F.transform("w", lambda x: F.struct(x["pos"].alias("ipos"), x["h"].alias("h"), F.slice("iw", x["pos"] + 1, window).alias("iw"), F.slice("it", x["pos"] + 1, window).alias("it")))).alias("w")).select("item", "need", "n_w", "n_t", "w.*")
@@ -131,6 +156,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     one = one.withColumn("left", F.filter("wins", lambda w: ~F.arrays_overlap(F.transform(w, lambda x: F.struct(x["t"], x["a"])), F.col("bad")))).withColumn("n", F.size("left"))
     one = one.filter((F.col("n") >= F.col("need")) & ((F.size("bad") == 0) | (F.col("n") >= CONSISTENT * F.col("n_w"))))
     one = one.withColumn("exact", F.forall("all", lambda z: F.coalesce(z["a"] == z["b"], F.lit(False))))
-    one = one.select(*of, "n", "exact")
+    one = one.select(*of, "n", "exact").unionByName(_word_by_word(base, whole, window).withColumns({"n": F.lit(1), "exact": F.lit(True)}))
     return (one.groupBy("id", "row", "item").agg(F.max("n").cast("long").alias("n_windows"), F.bool_or("exact").alias("exact"))
             .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "row", "n_windows", "exact"))

@@ -307,6 +307,14 @@ def test_values_of_other_lengths_and_contradictions(spark):
     assert got == {(1, 1): False, (2, 1): False, (3, 2): False, (4, 3): False, (5, 3): False, (6, 1): True}
 
 
+def test_short_and_placeholder_heavy_items(spark):
+    items = ["What is 2 + 2?", "12 + 30 = 42 and 7 + 8 = 15 and 9 + 9 = 18", "THE CAPITAL OF FRANCE IS PARIS AND THAT OF SPAIN IS MADRID", "The Old Man And The Sea", "东京是日本的首都，也是最大的城市。", "Madrid"]
+    rows = [(i, f"before, {t} after") for i, t in enumerate(items)] + [(10, "前面" + items[4] + "后面"), (11, "What is 2 + 3? 12 + 30 = 42 and 7 + 8 = 15 and 9 + 9 = 19; The Old Man and the Sea"), (12, None)]
+    bench = spark.createDataFrame(list(enumerate(items)) + [(90, None), (91, ""), (92, " .. ")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in template_decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {**{(i, i): True for i in range(len(items))}, (10, 4): True}
+
+
 def test_all_exact_benchmark_passages_are_found(spark, table):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     held = {(r.doc_id, r.item_id) for r in table.join(bench.withColumnRenamed("text", "b"), F.expr("contains(text, b)")).collect()}

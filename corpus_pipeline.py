@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays."""
     classes = order_minhash.near_duplicates(docs)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("_id")).agg(F.min("tid").alias("_tid"))
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_tid").agg(F.min("tid").alias("_tid"), F.min("class_id").alias("_id"))
     kept = docs.withColumn("_key", text_key(F.col("text"))).join(first, (F.col("_key") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return kept.dropDuplicates(["_tid", "_id"]).select(*docs.columns)
 

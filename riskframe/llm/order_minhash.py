@@ -222,7 +222,7 @@ def _align(similarity: float):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K_WORDS, similarity: float = SIMILARITY,
                     sketches: int = SKETCHES, width: int = WIDTH, small: int = SMALL) -> DataFrame:
     """One row per input row: the id, tid (128-bit key of the text), class_id (smallest id of its
-    class), n_words.
+    class), n_words, class_tid (smallest tid of its class, which tells classes apart whatever the ids are).
 
     Two texts are linked if they are equal, or share a sketch value and the edit distance of
     their word sequences is at most (1 - similarity) of the longer one; a class is a connected
@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = _classes(base, texts, similarity, sketches, small)
     named = texts.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("tid", "n_words", F.coalesce("root", "rid").alias("root"))
     ids = base.groupBy("tid").agg(F.min("id").alias("id"))
-    best = named.join(ids, "tid").groupBy("root").agg(F.min("id").alias("class_id"))
-    classes = named.join(best, "root").select("tid", "n_words", "class_id")
-    return base.select("id", "tid").join(classes, "tid").select(F.col("id").alias(id_col), "tid", "class_id", "n_words")
+    best = named.join(ids, "tid").groupBy("root").agg(F.min("id").alias("class_id"), F.min("tid").alias("class_tid"))
+    classes = named.join(best, "root").select("tid", "n_words", "class_id", "class_tid")
+    return base.select("id", "tid").join(classes, "tid").select(F.col("id").alias(id_col), "tid", "class_id", "n_words", "class_tid")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:

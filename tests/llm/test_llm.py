@@ -362,6 +362,15 @@ def test_language_by_fused_evidence(spark, table):
 
 # --- pipeline ---------------------------------------------------------------------------------
 
+def test_near_duplicates_of_missing_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(50)) for _ in range(4))
+    rows = [(1, a), (2, a), (1, b), (None, c), (None, c + " more"), (None, d), (None, d)]
+    got = cp.near_duplicates(spark, docs(spark, rows), SF).collect()
+    assert len(got) == 4 and {(r.doc_id, r.text) for r in got} >= {(1, a), (1, b), (None, d)}
+
+
 def test_pipeline_stages_follow_each_other(spark, table):
     import corpus_pipeline as cp
     at, rows = table, table.count()

@@ -27,6 +27,8 @@ TEMPER = 30.0
 #: Weight of the wider level's rates, in documents.
 PRIOR_DOCS = 50.0
 MIN_POSTERIOR = 0.5
+#: Documents that must declare a language for it to be known.
+MIN_DECLARED = 5
 MIX = 0.02
 _BLOCK = 1 << 20
 
@@ -109,6 +111,15 @@ def _rates(df: DataFrame, value: str, languages: list[str], smooth: float = 1.0)
     return counts.crossJoin(F.broadcast(total)).select(value, F.array(*[F.log((F.col(f"c{k}") + smooth) / (F.col(f"t{k}") + smooth * F.col("values"))) for k in range(len(languages))]).alias(f"e_{value}"))
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, float]:
+    """Share of each language's documents in a sample of ``most``: the rarest first, an equal part of the rest each."""
+    out, left = {}, most
+    for i, (k, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(counts) - i))
+        out[k], left = take / n, left - take
+    return out
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | str | None = "lang", host: Column | str | None = "source",
              languages: list[str] | None = None, max_rows: int = MAX_TRAINING_ROWS, bits: int = BITS, temper: float = TEMPER,
              prior_docs: float = PRIOR_DOCS, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
@@ -117,8 +128,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     declared: column or expression of the declared language (:func:`declared_in` for markup);
     host: column or expression of the host.  The text model is counted from declared documents, a
-    sample by hash of about ``max_rows``; scores, rates and priors cover every row, whole texts.
-    languages: those known; by default all that one per cent of the sample declares.
+    sample by hash of about ``max_rows``, taken language by language, so that rare ones are whole
+    before common ones share the rest; scores, rates and priors cover every row, whole texts.
+    languages: those known; by default all that MIN_DECLARED documents declare.
 
     Defined cases: a null or short text is judged by the other evidence; a null or unknown
     declaration, a null host or one without a dot adds nothing; ties go to the first language in
@@ -128,15 +140,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     spark = docs.sparkSession
     pick = lambda c: F.lit(None).cast("string") if c is None else (docs[f"`{c}`"] if isinstance(c, str) else c)
     base = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), F.lower(pick(declared)).alias("declared"), pick(host).alias("host"))
-    n = base.filter("declared is not null").count()
-    sample = base.filter("declared is not null")
-    if n > max_rows:
-        sample = sample.filter(F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    said = base.filter("declared is not null").groupBy("declared").count()
+    said = said.filter(F.col("count") >= MIN_DECLARED) if languages is None else said.filter(F.col("declared").isin(languages))
+    found = {r["declared"]: r["count"] for r in said.collect()}
     if languages is None:
-        found = sample.groupBy("declared").count().filter(F.col("count") >= max(1, min(n, max_rows) // 100)).limit(100).collect()
-        languages = sorted(r["declared"] for r in found)
+        languages = sorted(found)
+    share = shares(found, max_rows)
     number = F.array_position(F.array(*[F.lit(x) for x in languages]) if languages else F.array(F.lit("")), F.col("declared")) - 1
-    model = fit(sample.withColumn("y", number.cast("int")).filter("y >= 0").select("text", "y"), _train(bits, languages))
+    sample = base.withColumn("y", number.cast("int")).filter("y >= 0")
+    if any(x < 1 for x in share.values()):
+        most = F.get(F.array(*[F.lit(int(1_000_000 * share.get(x, 1.0))) for x in languages]), F.col("y"))
+        sample = sample.filter(F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1_000_000)) < most)
+    model = fit(sample.select("text", "y"), _train(bits, languages))
     counts = np.frombuffer(model, np.float32).reshape(len(languages), -1).astype(float) if model else np.zeros((0, 1 << bits))
     known = languages + ["und"]
     rates = spark.sparkContext.broadcast(log_rates(counts) if len(counts) else np.full((1, 1 << bits), -np.log(1 << bits)))

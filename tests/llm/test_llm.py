@@ -360,6 +360,14 @@ def test_language_by_fused_evidence(spark, table):
     assert [r[0] for r in page.select(language_id.declared_in(F.col("h"))).collect()] == ["de", None, None]
 
 
+def test_a_rare_language_is_known(spark):
+    rng = random.Random(10)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, text("abcdefgh"), "en", None, 0) for i in range(2500)] + [(9000 + i, text("ijklmnop"), "fi", None, 0) for i in range(12)] + [(9500, text("ijklmnop"), None, None, 0)]
+    got = {r.doc_id: (r.language, r.kept) for r in language_id.identify(spark.createDataFrame(rows, SCHEMA), max_rows=300).collect()}
+    assert {i: x for i, x in got.items() if i >= 9000} == {i: ("fi", True) for i in [*range(9000, 9012), 9500]} and got[0] == ("en", True)
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 def test_near_duplicates_of_missing_and_repeated_ids(spark):

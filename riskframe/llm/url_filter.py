@@ -54,11 +54,23 @@ def targets(html: Column) -> Column:
     return F.filter(F.concat(canonical, refresh), lambda u: u != "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. steps followed."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))).otherwise(path)
+
+
 def _absolute(target: Column, url: Column) -> Column:
-    """A target against the url of its page: absolute, //host/.. or /path; others are left out."""
+    """A target against the url of its page: absolute (scheme://..), //host/.., /path, ?query, or relative to
+    the page's folder; other schemes (mailto:) and pages without a scheme give none."""
     scheme = F.regexp_extract(url, r"^(?s)(.*?)://", 1)
-    return (F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), target)))
+    path, rest = F.regexp_extract(target, r"^(?s)([^?#]*)", 1), F.regexp_extract(target, r"^(?s)[^?#]*(.*)", 1)
+    folder = F.regexp_extract(path_of(url), r"^(?s)(.*/)", 1)
+    page = F.concat(F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url)), F.when(target.startswith("#"), F.regexp_extract(url, r"^(?s)[^?#]*(\?[^#]*)", 1)).otherwise(F.lit("")))
+    full = F.when(path.startswith("/"), path).when(path == "", page).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | ~url.contains("://"), F.lit(None))
+            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).otherwise(F.concat(scheme, F.lit("://"), host_of(url), _without_dots(full), rest)))
 
 
 def judged_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=None, redirects: DataFrame | None = None) -> DataFrame:

@@ -218,6 +218,14 @@ def test_rules_and_redirect_classes(spark):
     assert got[11] == ("notexample.org", "/en/1", "org/", "allow")
 
 
+def test_relative_targets(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://n.net/d/a.html?x#f", link.format("b.html")), (2, "http://n.net/d/b.html", link.format("../c")), (3, "http://n.net/c", link.format("?p=2")),
+            (4, "http://n.net/c?p=2", link.format("http://a.example.org/es/x")), (5, "http://m.net/x", link.format("/login?next=http://a.example.org/es/x")), (6, "http://m.net", link.format("mailto:a@n.net/c"))]
+    got = {r.page_id: r.verdict for r in url_filter.judged_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
+
+
 # --- classifiers ------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name, mod, part, label, least", [("op5_fm_toxicity", 3, 1, "toxic", 0.85), ("op10_ftrl_quality", 4, 2, "quality", 0.9)])

@@ -27,7 +27,7 @@ from .suffix import _mix, _tables, _text_blocks
 
 K_WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 32
+SKETCHES = 128
 WIDTH = 2
 #: Texts of a bucket that are compared across classes at once (at most SMALL^2/2 pairs a bucket).
 SMALL = 12
@@ -226,8 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are linked if they are equal, or share a sketch value and the edit distance of
     their word sequences is at most (1 - similarity) of the longer one; a class is a connected
-    component of the links.  Sketching is probabilistic: with 32 values of width 2, texts that
-    share 60 % of their k-mers meet with a probability above 0.9999, and 40 % above 0.99.
+    component of the links.  Sketching is probabilistic: with 128 values of width 2, texts that
+    share 60 % or 40 % of their k-mers meet with a probability above 0.9999; with a fifth of the words
+    changed at random places (edit similarity 0.8) 0.985 of 300-word texts met; none would if each fifth is.
 
     Defined cases: a null text is empty; texts without words are linked if equal only; texts
     with fewer than ``k`` words have one k-mer; rows with a null id take part (class_id is null

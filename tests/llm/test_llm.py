@@ -157,6 +157,18 @@ def test_large_buckets_by_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_sketches_meet_at_the_threshold_of_acceptance():
+    """Every fifth word on average is another one: edit similarity 0.8."""
+    rng, seed, met = np.random.default_rng(3), order_minhash.seeds(order_minhash.SKETCHES), 0
+    for _ in range(200):
+        a = rng.integers(1, 1 << 62, 300, dtype=np.uint64)
+        b = a.copy()
+        b[rng.permutation(300)[:60]] = rng.integers(1, 1 << 62, 60, dtype=np.uint64)
+        x, y = (order_minhash.sketch(order_minhash.labelled_kmers(w, 5), seed, order_minhash.WIDTH) for w in (a, b))
+        met += (x == y).any()
+    assert met >= 0.97 * 200
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import feistel_shard, fm_toxicity, ftrl_quality, host_rules, language_id, order_minhash, sentence_pieces, suffix, template_decontam, url_filter
+from . import (exact_whitening, feistel_shard, fm_toxicity, ftrl_quality, host_rules, language_id, order_minhash, periodic_runs, secret_scan, sentence_pieces,
+               suffix, template_decontam, url_filter)
 from .labelled import checksum
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,5 +78,30 @@ def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(scores, 4, 2, ftrl_quality.THRESHOLD)
 
 
+@_query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", *(count(b[0]) for b in secret_scan.BASE), "base_sha256", F.array_join(told, ",").alias("spans"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.rewritten(table(spark, sf_dir, "documents")))
+    # the first run of the greatest length / period; the products of two whole numbers are exact
+    higher = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), lambda top, r: F.when(higher(r, top), r).otherwise(top))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    out = found.withColumn("top", best)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+                      F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+@_query
+def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _scored(scores: DataFrame, mod: int, part: int, threshold: float) -> DataFrame:
     return scores.select("doc_id", (checksum(F.col("doc_id"), mod) == part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

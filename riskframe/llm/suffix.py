@@ -224,7 +224,7 @@ _OCC = "tid binary, seg int, a long, s long, lo int, n int"
 _OCC_ARROW = pa.schema([("tid", pa.binary()), ("seg", pa.int32()), ("a", pa.int64()), ("s", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 
 
-def _text_blocks(col, limit: int = 16 << 20):
+def _text_blocks(col, limit: int = 1 << 20):
     """The texts of a column in runs of up to ``limit`` bytes (a longer text alone)."""
     data, off = byte_view(col)
     i = 0
@@ -241,7 +241,7 @@ def _extract(k: int, min_len: int):
         for batch in batches:
             tid, seg = batch.column("tid"), batch.column("seg").to_numpy()
             for i, j, data, off in _text_blocks(batch.column("text")):
-                owner = np.repeat(np.arange(j - i), np.diff(off))
+                owner = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(off))
                 for who, lo, n, a, s in spans_of(data, off[1:], owner, k, min_len, tables):
                     begin = seg[who + i].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([tid.take(pa.array(who + i)), pa.array(begin), pa.array(a), pa.array(s), pa.array((lo - off[who] + begin).astype(np.int32)), pa.array(n.astype(np.int32))], schema=_OCC_ARROW)

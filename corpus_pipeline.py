@@ -16,33 +16,34 @@ from riskframe.session import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of an unknown language go; the others stay as they are."""
-    out = language_id.identify(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    return docs.join(out, (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_row")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    """Documents of an unknown language go; the others, null and empty texts' rows by the same
+    rule, stay as they are."""
+    return _without(docs, language_id.identify(docs).filter("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
+    """Of each class of near-duplicates the document with the smallest id stays.  Null and empty
+    texts are one class; null ids come first."""
     classes = order_minhash.near_duplicates(docs)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_tid").agg(F.min("tid").alias("_tid"), F.min("class_id").alias("_id"))
-    kept = docs.withColumn("_key", text_key(F.col("text"))).join(first, (F.col("_key") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_tid", "_id"]).select(*docs.columns)
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_tid").agg(F.min("tid").alias("tid"), F.min("class_id").alias("id"))
+    rows = _packed(docs).withColumn("key", text_key(F.col("doc.text")))
+    kept = rows.join(first, (F.col("key") == F.col("tid")) & F.col("doc.doc_id").eqNullSafe(F.col("id")))
+    return kept.dropDuplicates(["tid", "id"]).select("doc.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long passages that occur again are cut out; a document of which nothing is left goes."""
-    cut = suffix.suffix_array_dedup(docs.withColumn("_all", F.struct(*docs.columns)), id_col="_all", text_col="text", keep_text=True)
-    changed = cut.select("_all.*", "n_removed", "kept_text").filter("n_removed = 0 or trim(kept_text) <> ''")
-    new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
+    """Passages of 50 words or more stay in the first of the documents that hold them; a document
+    of which nothing is left goes.  Documents that share nothing stay as they are."""
+    cut = suffix.without_later_passages(docs).filter("not cut or trim(text) <> ''")
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return changed.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("rest")["n_chars"])
+    return cut.select(*(new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, re-parameterised or not, go."""
-    found = template_decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    return docs.join(found, (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_row")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return _without(docs, template_decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +51,18 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(docs)
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows as one column doc, so that names of the caller's columns clash with nothing."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"))
+
+
+def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The documents but those of which ``out`` has the doc_id and row (hash of id and text)."""
+    out = out.select(F.col("doc_id").alias("id"), F.col("row").alias("row")).distinct()
+    rows = _packed(docs)
+    return rows.join(out, (F.xxhash64("doc.doc_id", "doc.text") == F.col("row")) & F.col("doc.doc_id").eqNullSafe(F.col("id")), "left_anti").select("doc.*")
+
+
 STAGES = [("language_id", identify_language), ("order_minhash", near_duplicates), ("suffix_array", suffix_dedup), ("template_decontamination", decontaminate), ("sentencepiece", encode)]
 
 #: SQL expresses neither the sketches nor the cuts; tests hold the stages against plain versions.

@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import byte_view, renamed_input, text_key, written
 
 MIN_LEN = 400
+#: Passages between documents: words, and bytes, which 50 words have unless they are 3 letters long on average.
+PASSAGE_WORDS, PASSAGE_LEN = 50, 200
 #: Different spans of one anchor that one task sorts at most; beyond, a longer anchor deals them out.
 HOT_SPANS = 1500
 #: Bytes of spans in a bucket (a suffix array) on average.
@@ -131,9 +134,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return np.minimum(lcp, depth)
 
 
-def repeated_starts(spans: list[bytes], min_len: int) -> list[np.ndarray]:
+def repeated_starts(spans: list[bytes], min_len: int, owners: list[int] | None = None):
     """For each span the offsets at which a string of ``min_len`` bytes starts that starts at
-    another place of these spans too."""
+    another place of these spans too.  With ``owners``, a number per span: (these, those of them
+    whose string a span with a smaller owner holds too)."""
     text = np.frombuffer(b"".join(spans), np.uint8)
     begin = np.cumsum([0] + [len(s) for s in spans])
     wanted = np.zeros(len(text), bool)
@@ -141,12 +145,24 @@ def repeated_starts(spans: list[bytes], min_len: int) -> list[np.ndarray]:
         wanted[b: max(b, e - min_len + 1)] = True
     order = two_stage(text, wanted, min_len)
     equal = common_prefixes(text, order, min_len) >= min_len
-    hit = np.zeros(len(text), bool)
-    hit[order[:-1][equal]] = True
-    hit[order[1:][equal]] = True
-    at = np.flatnonzero(hit)
-    cut = np.searchsorted(at, begin)
-    return [at[cut[i]: cut[i + 1]] - begin[i] for i in range(len(spans))]
+
+    def by_span(places: np.ndarray) -> list[np.ndarray]:
+        hit = np.zeros(len(text), bool)
+        hit[places] = True
+        at = np.flatnonzero(hit)
+        cut = np.searchsorted(at, begin)
+        return [at[cut[i]: cut[i + 1]] - begin[i] for i in range(len(spans))]
+
+    all_of_them = by_span(np.concatenate([order[:-1][equal], order[1:][equal]]))
+    if owners is None:
+        return all_of_them
+    later = np.zeros(0, np.int64)
+    if len(order):
+        owner = np.array(owners, np.int64)[np.searchsorted(begin, order, "right") - 1]
+        group = np.concatenate([[0], np.cumsum(~equal)])
+        least = np.minimum.reduceat(owner, np.flatnonzero(np.concatenate([[True], ~equal])))
+        later = order[owner > least[group]]
+    return all_of_them, by_span(later)
 
 
 def runs(at: np.ndarray) -> list[tuple[int, int]]:
@@ -249,8 +265,8 @@ def _extract(k: int, min_len: int):
 
 
 def _cut(min_len: int):
-    """Bytes of the listed spans: columns tid, seg, text, part (bucket, lo, n, multi)."""
-    schema = pa.schema([("bucket", pa.int32()), ("tid", pa.binary()), ("lo", pa.int32()), ("multi", pa.bool_()), ("bytes", pa.binary())])
+    """Bytes of the listed spans: columns tid, seg, text, part (bucket, d, lo, n, multi)."""
+    schema = pa.schema([("bucket", pa.int32()), ("tid", pa.binary()), ("d", pa.int64()), ("lo", pa.int32()), ("multi", pa.bool_()), ("bytes", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -258,14 +274,16 @@ def _cut(min_len: int):
             for i, tid, seg, parts in zip(range(batch.num_rows), batch.column("tid"), batch.column("seg").to_pylist(), batch.column("part").to_pylist()):
                 raw = data[off[i]: off[i + 1]].tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([p["bucket"] for p in parts], pa.int32()), pa.array([tid.as_py()] * len(parts), pa.binary()), pa.array([p["lo"] for p in parts], pa.int32()),
+                    pa.array([p["bucket"] for p in parts], pa.int32()), pa.array([tid.as_py()] * len(parts), pa.binary()), pa.array([p["d"] for p in parts], pa.int64()), pa.array([p["lo"] for p in parts], pa.int32()),
                     pa.array([p["multi"] for p in parts], pa.bool_()), pa.array([raw[p["lo"] - seg: p["lo"] - seg + p["n"] + min_len - 1] for p in parts], pa.binary())], schema=schema)
     return run
 
 
-def _bucket(min_len: int):
-    """Suffix array of a bucket; repeated window starts of spans that are not known to repeat as a whole."""
-    schema = pa.schema([("tid", pa.binary()), ("lo", pa.int32()), ("n", pa.int32())])
+def _bucket(min_len: int, across: bool):
+    """Suffix array of a bucket; repeated window starts (tid, lo, n) of spans that are not known
+    to repeat as a whole.  With ``across`` also those, marked gone, that an earlier text holds
+    too; base is the span's start."""
+    schema = pa.schema([("tid", pa.binary()), ("lo", pa.int32()), ("n", pa.int32()), ("gone", pa.bool_()), ("base", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
         seen, pick = set(), []
@@ -276,8 +294,15 @@ def _bucket(min_len: int):
                 pick.append(i)
         spans = table.column("bytes").to_pylist()
         multi = table.column("multi").to_pylist()
-        out = [(tids[i], los[i] + f, c) for i, at in zip(pick, repeated_starts([spans[i] for i in pick], min_len)) if not multi[i] for f, c in runs(at)]
-        return pa.Table.from_arrays([pa.array([r[j] for r in out], schema.field(j).type) for j in range(3)], schema=schema)
+        told = lambda found, gone: [(tids[i], los[i] + f, c, gone, los[i]) for i, at in zip(pick, found) if gone or not multi[i] for f, c in runs(at)]
+        mine = [spans[i] for i in pick]
+        if across:
+            owner = table.column("d").to_pylist()
+            out = [told(x, gone) for x, gone in zip(repeated_starts(mine, min_len, [owner[i] for i in pick]), (False, True))]
+        else:
+            out = [told(repeated_starts(mine, min_len), False)]
+        out = [r for part in out for r in part]
+        return pa.Table.from_arrays([pa.array([r[j] for r in out], schema.field(j).type) for j in range(5)], schema=schema)
     return run
 
 
@@ -320,12 +345,15 @@ def _apply(min_len: int, with_text: bool):
 
 # --- the operator -----------------------------------------------------------------------------
 
-def repeats(texts: DataFrame, min_len: int = MIN_LEN, hot_spans: int = HOT_SPANS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeats(texts: DataFrame, min_len: int = MIN_LEN, hot_spans: int = HOT_SPANS, bucket_bytes: int = BUCKET_BYTES, across: bool = False) -> DataFrame:
     """Repeated windows between different places of different texts or of one text.
 
     texts: tid (128-bit key of the text), text.  Rows with the same tid are one text.
     Returns tid, lo, n: at lo, lo+1, .. lo+n-1 a string of ``min_len`` bytes starts that also
     starts elsewhere.  Copies of a whole text under one tid don't count here.
+
+    With ``across`` also gone: true for windows that an earlier text holds too (in the order of a hash of the keys).  A
+    window that is listed both ways is gone; one listed as not gone only is where its string stays.
     """
     marks = None
     # pieces of texts: at first whole texts, then the spans of hot anchors, which lie in a table
@@ -333,17 +361,19 @@ def repeats(texts: DataFrame, min_len: int = MIN_LEN, hot_spans: int = HOT_SPANS
     pieces = texts.withColumn("seg", F.lit(0))
     for level, k in enumerate(anchor_lengths(min_len)):
         occ = written(pieces.select("tid", "seg", "text").mapInArrow(_extract(k, min_len), _OCC), f"spans{level}").withColumn("place", F.xxhash64("tid", "lo"))
-        met = (occ.groupBy("a").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-               .filter("p0 <> p1").select("a", (F.col("s0") == F.col("s1")).alias("alike")))
+        occ = occ.withColumn("d", F.xxhash64("tid") if across else F.lit(0).cast("long"))  # texts in the order of a hash of their keys
+        met = (occ.groupBy("a").agg(F.min("place").alias("p0"), F.max("place").alias("p1"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("d").alias("d0"))
+               .filter("p0 <> p1").select("a", (F.col("s0") == F.col("s1")).alias("alike"), "d0"))
         # written, so that the join below it deals out both sides itself and splits a hot anchor
         met = written(met, f"anchors{level}")
         again = written(occ.join(met, "a"), f"met{level}")
         # one span for all places of an anchor: all of it is repeated, no need to sort
-        alike = again.filter("alike").select("tid", "lo", "n").distinct()
-        kinds = (again.filter("not alike").groupBy("a", "s").agg(F.min(F.struct("tid", "seg", "lo", "n")).alias("rep"), F.min("place").alias("p0"), F.max("place").alias("p1"))
+        alike = again.filter("alike").select("tid", "lo", "n", (F.col("d") > F.col("d0")).alias("gone")).distinct()
+        kinds = (again.filter("not alike").groupBy("a", "s").agg(F.min(F.struct("d", "tid", "seg", "lo", "n")).alias("rep"), F.min("place").alias("p0"), F.max("place").alias("p1"))
                  .select("a", "s", "rep.*", (F.col("p0") != F.col("p1")).alias("multi")))
         kinds = written(kinds, f"kinds{level}")
-        several = again.filter("not alike").join(kinds.filter("multi").select("a", "s"), ["a", "s"]).select("tid", "lo", "n").distinct()
+        held = again.filter("not alike").join(kinds.filter("multi").select("a", "s", F.col("d").alias("first"), F.col("lo").alias("base")), ["a", "s"])
+        several = held.select("tid", "lo", "n", (F.col("d") > F.col("first")).alias("gone")).distinct()
         here = alike.unionByName(several)
         marks = here if marks is None else marks.unionByName(here)
         size = kinds.agg(F.sum(F.col("n") + (min_len - 1)).alias("b")).first()["b"] or 0
@@ -351,15 +381,19 @@ def repeats(texts: DataFrame, min_len: int = MIN_LEN, hot_spans: int = HOT_SPANS
             break
         hot = kinds.groupBy("a").agg(F.count("*").alias("spans")).filter(F.col("spans") > hot_spans).select("a", F.lit(-1).alias("hot"))
         bucket = F.pmod(F.xxhash64("a"), F.lit(int(size // bucket_bytes) + 1)).cast("int")
-        parts = kinds.join(hot, "a", "left").withColumn("bucket", F.coalesce("hot", bucket)).groupBy("tid", "seg").agg(F.collect_list(F.struct("bucket", "lo", "n", "multi")).alias("part"))
+        parts = kinds.join(hot, "a", "left").withColumn("bucket", F.coalesce("hot", bucket)).groupBy("tid", "seg").agg(F.collect_list(F.struct("bucket", "d", "lo", "n", "multi")).alias("part"))
         if level == 0:  # of equal rows with one text, one is read
             source = pieces.join(parts.drop("seg").join(one, "tid"), ["tid", "row"])
         else:
             source = pieces.join(parts, ["tid", "seg"])
-        cut = source.select("tid", "seg", "text", "part").mapInArrow(_cut(min_len), "bucket int, tid binary, lo int, multi boolean, bytes binary")
+        cut = source.select("tid", "seg", "text", "part").mapInArrow(_cut(min_len), "bucket int, tid binary, d long, lo int, multi boolean, bytes binary")
         cut = written(cut.distinct() if level else cut, f"cut{level}")
-        found = cut.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket(min_len), "tid binary, lo int, n int")
-        marks = marks.unionByName(written(found, f"sorted{level}"))
+        found = cut.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket(min_len, across), "tid binary, lo int, n int, gone boolean, base int")
+        found = written(found, f"sorted{level}")
+        marks = marks.unionByName(found.drop("base"))
+        if across:  # what a span loses, its copies in the same text lose too
+            twins = held.filter("d = first and lo <> base").select("tid", "base", F.col("lo").alias("twin")).distinct()
+            marks = marks.unionByName(found.filter("gone").join(twins, ["tid", "base"]).select("tid", (F.col("lo") - F.col("base") + F.col("twin")).alias("lo"), "n", "gone"))
         pieces = cut.filter("bucket < 0").select("tid", F.col("lo").alias("seg"), F.col("bytes").alias("text"))
         if pieces.isEmpty():
             break
@@ -384,9 +418,78 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = base.withColumn("tid", text_key(F.col("text"))).withColumn("row", F.xxhash64("id"))
     marks = repeats(base.filter(F.octet_length("text") >= min_len), min_len, hot_spans, bucket_bytes)
     copies = base.groupBy("tid").agg((F.count("*") > 1).alias("whole"))
-    ranges = marks.distinct().groupBy("tid").agg(F.collect_list(F.struct("lo", "n")).alias("part"))
+    ranges = marks.select("tid", "lo", "n").distinct().groupBy("tid").agg(F.collect_list(F.struct("lo", "n")).alias("part"))
     marked = copies.join(ranges, "tid", "left").filter("whole or part is not null")
     kind = dict(base.dtypes)["id"]
     out = (base.select("id", "text", "tid").join(marked, "tid", "left").select("id", "text", "part", F.coalesce("whole", F.lit(False)).alias("whole"))
            .mapInArrow(_apply(min_len, keep_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>" + (", kept_text string" if keep_text else "")))
     return out.withColumnRenamed("id", id_col)
+
+
+def _later_passages(min_len: int, min_words: int):
+    """Cut passages that an earlier text holds: columns rest, text, part (lo, n) or null."""
+    def run(batches):
+        for batch in batches:
+            data, off = byte_view(batch.column("text"))
+            texts, removed = [], []
+            for i, parts in enumerate(batch.column("part").to_pylist()):
+                raw = data[off[i]: off[i + 1]].tobytes()
+                pieces, at = [], 0
+                for b, e in passages(raw, parts or (), min_len, min_words):
+                    pieces.append(raw[at:b])
+                    at = e
+                texts.append(b"".join([*pieces, raw[at:]]).decode("utf-8") if at else None)
+                removed.append(at > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pc.coalesce(pa.array(texts, batch.column("text").type), batch.column("text")), pa.array(removed, pa.bool_())], names=["rest", "text", "cut"])
+    return run
+
+
+def passages(raw: bytes, parts, min_len: int, min_words: int) -> list[tuple[int, int]]:
+    """Stretches of whole words, ``min_words`` or more, that the listed windows (lo, n) cover."""
+    if not parts:
+        return []
+    starts = np.zeros(len(raw) + 1, bool)
+    for p in parts:
+        starts[p["lo"]: p["lo"] + p["n"]] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], _covered(starts, min_len).astype(np.int8), [0]])))
+    out = []
+    for b, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        e = min(e, len(raw))
+        while b < e and b and not raw[b - 1: b].isspace() and not raw[b: b + 1].isspace():
+            b += 1  # the rest of a word that begins before
+        while e > b and e < len(raw) and not raw[e - 1: e].isspace() and not raw[e: e + 1].isspace():
+            e -= 1
+        if b < e < len(raw) and b and not raw[b - 1: b].isspace() and not raw[e: e + 1].isspace():
+            e -= 1  # one blank stays between the words around
+        if len(raw[b:e].split()) >= min_words:
+            out.append((b, e))
+    return out
+
+
+def _covered(starts: np.ndarray, width: int) -> np.ndarray:
+    """Places within ``width`` from a start on."""
+    step = np.zeros(len(starts) + width, np.int32)
+    step[:len(starts)] += starts
+    step[width:] -= starts
+    return np.cumsum(step)[:len(starts)] > 0
+
+
+def without_later_passages(docs: DataFrame, text_col: str = "text", min_len: int = PASSAGE_LEN, min_words: int = PASSAGE_WORDS,
+                           hot_spans: int = HOT_SPANS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Passages that several texts hold stay in one of them, the first by a hash of its text key.
+
+    A byte goes if a string of ``min_len`` bytes covers it that an earlier text holds too, so it
+    stands, in the same surroundings, in an earlier text that keeps it; only whole words go, and
+    only stretches of ``min_words`` of them or more.  What a text repeats by itself stays.
+    Returns rest (struct of the caller's other columns), text, cut (whether anything went).
+
+    Defined cases: null, empty and short texts stay as they are; rows with one text are one text
+    and are cut alike; an empty table gives an empty result; columns may have any name.
+    """
+    others = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
+    base = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("rest"), docs[f"`{text_col}`"].alias("text"))
+    base = base.withColumn("tid", text_key(F.col("text"))).withColumn("row", F.xxhash64("rest"))
+    marks = repeats(base.filter(F.octet_length("text") >= min_len).select("tid", "row", "text"), min_len, hot_spans, bucket_bytes, across=True)
+    touched = marks.filter("gone").groupBy("tid").agg(F.collect_set(F.struct("lo", "n")).alias("part"))
+    kind = base.schema["rest"].dataType.simpleString()
+    return base.join(touched, "tid", "left").select("rest", "text", "part").mapInArrow(_later_passages(min_len, min_words), f"rest {kind}, text string, cut boolean")

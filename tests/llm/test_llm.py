@@ -388,6 +388,79 @@ def test_a_rare_language_is_known(spark):
     assert {i: x for i, x in got.items() if i >= 9000} == {i: ("fi", True) for i in [*range(9000, 9012), 9500]} and got[0] == ("en", True)
 
 
+# --- passages between documents ---------------------------------------------------------------
+
+def later_windows_plainly(texts, n):
+    """Per text the window starts that an earlier text (by the operator's order) holds too, and
+    those that it is the first of several to hold."""
+    holders = defaultdict(set)
+    for t, (_, raw) in texts.items():
+        for p in range(len(raw) - n + 1):
+            holders[raw[p: p + n]].add(texts[t][0])
+    gone, stay = {}, {}
+    for t, (d, raw) in texts.items():
+        at = range(len(raw) - n + 1)
+        gone[t] = {p for p in at if min(holders[raw[p: p + n]]) < d}
+        stay[t] = {p for p in at if len(holders[raw[p: p + n]]) > 1} - gone[t]
+    return gone, stay
+
+
+def test_later_windows_of_texts_by_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ab cdeé") for _ in range(n))
+    hot, shared = word(40), [word(90) for _ in range(4)]
+    texts = [word(30) + hot + word(30) for _ in range(50)] + [word(20) + rng.choice(shared)[rng.randrange(20): 40 + rng.randrange(50)] + word(rng.randrange(20)) for _ in range(60)]
+    texts += [shared[0] + word(9) + shared[0], word(5) + shared[0] + shared[0] + word(5), word(50) * 3, "a" * 200, "b" + "a" * 150]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("tid"), F.lit(0).cast("long").alias("row"), "text").distinct()
+    keyed = {r["tid"]: (r["d"], r["text"].encode()) for r in frame.withColumn("d", F.xxhash64("tid")).collect()}
+    keyed = {bytes(k): v for k, v in keyed.items()}
+    for hot_spans in (1500, 8):
+        gone, stay = later_windows_plainly(keyed, 30)
+        told, kept = defaultdict(set), defaultdict(set)
+        for r in suffix.repeats(frame, 30, hot_spans, 2000, across=True).collect():
+            (told if r["gone"] else kept)[bytes(r["tid"])] |= set(range(r["lo"], r["lo"] + r["n"]))
+        for t in keyed:
+            assert told[t] == gone[t]
+            # what only this text repeats may be listed to stay too
+            assert stay[t] <= kept[t] | told[t]
+
+
+def test_passages_stay_in_one_document(spark):
+    rng = random.Random(13)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passage, short = words(60), words(30)
+    rows = [(i, f"{words(40)} {passage} {words(30)}") for i in range(12)] + [(20 + i, f"{words(40)} {short} {words(30)}") for i in range(4)]
+    own = words(55)
+    rows += [(30, f"{own} {words(9)} {own}"), (31, None), (31, ""), (None, words(80)), (32, passage), (33, "x"), (34, words(70) + "é")]
+    frame = spark.createDataFrame([(i, t, 1, "c", "t", 2) for i, t in rows], "doc_id long, text string, rest int, cut string, tid string, row int")
+    import corpus_pipeline as cp
+    out = cp.suffix_dedup(spark, frame, SF)
+    assert out.columns == frame.columns
+    got = {(r["doc_id"], len(r["text"]) if r["text"] else r["text"]): r["text"] for r in out.collect()}
+    kept = [t for t in got.values() if t and passage in t]
+    assert len(kept) == 1 and not any(w in t for w in [" ".join(passage.split()[5:25])] for t in got.values() if t and t != kept[0])
+    texts = dict((i, t) for i, t in rows)
+    for (i, _), t in got.items():
+        if i is None or i >= 20 and i != 32:
+            assert t == texts[i] or i == 31
+        elif i != 32 and t != kept[0]:
+            assert t.split() == texts[i].replace(passage, "").split()
+    assert len(got) in (len(rows), len(rows) - 1)  # the document that is the passage goes unless it is the one that keeps it
+
+
+def test_stages_with_clashing_columns(spark):
+    import corpus_pipeline as cp
+    names = ["_id", "_row", "_tid", "_key", "n_removed", "kept_text", "id", "row", "tid", "doc", "key", "text_", "part", "n_words", "class_id"]
+    base = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40")
+    wide = base.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for _, stage in cp.STAGES[:-1]:
+        plain = sorted(r["doc_id"] for r in stage(spark, base, SF).collect())
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns
+        assert sorted(r["doc_id"] for r in got.collect()) == plain
+        assert stage(spark, wide.limit(0), SF).count() == 0
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 def test_near_duplicates_of_missing_and_repeated_ids(spark):
@@ -410,8 +483,14 @@ def test_pipeline_stages_follow_each_other(spark, table):
         at = out
     last = cp.STAGES[-1][1](spark, at, SF)
     assert last.count() == rows and last.filter("not round_trip").count() == 0
-    left = cut_plainly([(r.doc_id, r.text) for r in at.collect()], 400)
-    assert sum(r[2] for r in left) == 0
+    holders = defaultdict(set)
+    for r in at.collect():
+        words = (r.text or "").split()
+        for i in range(len(words) - 50):
+            window = " ".join(words[i: i + 51])
+            if len(window.encode()) >= suffix.PASSAGE_LEN:
+                holders[window].add((r.doc_id, r.text))
+    assert holders and all(len(x) == 1 for x in holders.values())
     assert cp.run(spark, SF).count() == rows
 
 

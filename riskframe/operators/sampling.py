@@ -148,8 +148,9 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int =
           grid: Sequence[str] | None = None, cell: float | None = None) -> DataFrame:
     """M3: SMOTE over-sampling of the minority class up to the majority's size.
 
-    Neighbours are the exact k nearest minority rows (``knn_self``, no
-    all-pairs join).  Each minority row makes ``q`` or ``q + 1`` synthetic rows
+    Neighbours are the exact k nearest minority rows: by pivot partitions over
+    all features (``knn_pivots``), or on a grid of two of them (``knn_self``)
+    where ``grid`` or ``cell`` is given; no all-pairs join.  Each minority row makes ``q`` or ``q + 1`` synthetic rows
     (``q = n_new // n_min``; the ``n_new % n_min`` rows with the smallest
     hash make one more), each one ``x + u * (x_nn - x)`` with the neighbour
     and ``u`` drawn from a hash of (row, copy, seed): exact and repeatable.
@@ -157,6 +158,7 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int =
     features); other columns are null.
     """
     from .knn import knn_self
+    from .pivots import knn_pivots
 
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     minority = min(counts, key=lambda c: (counts[c], str(c)))
@@ -167,7 +169,7 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int =
     if n_new <= 0 or n_min < 2:
         return mino.limit(0).withColumn("copia", F.lit(0).cast("long")).withColumn(label, F.lit(minority))
     kk = min(k, n_min - 1)
-    nn = knn_self(mino, key, feats, kk, grid=grid, cell=cell)
+    nn = knn_self(mino, key, feats, kk, grid=grid, cell=cell) if grid or cell else knn_pivots(mino, key, feats, kk)
     q, extra = divmod(n_new, n_min)
     plus = first_n(mino.select(key), extra, hash_key([key], f"{seed}-extra"))
     plus = plus.withColumn("_plus", F.lit(1))

@@ -358,12 +358,36 @@ def q_job_train_eval(spark, d):
 
 
 def _smote_input(spark, d):
-    """Training rows of the time split, standardised numeric features."""
+    """Training rows of the time split, numeric features standardised and rounded to six places."""
     b = feat.split_time(_clean_table(spark, d), "fecha", CUTOFF)
-    b = feat.standardize(b, NUMERIC).where("split = 'train'")
+    b = feat.standardize(b, NUMERIC).where("split = 'train'").withColumns({c: r6(c) for c in NUMERIC})
     return b.withColumn("row_key", F.concat_ws("|", F.col("indicativo").cast("string"), F.col("fecha").cast("string")))
 
 
+def _hex(text: str, digits: int) -> str:
+    """SQL of a number from the first hex digits of a digest."""
+    return f"CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT)"
+
+
+_SMOTE_K = 5
+_SMOTE = {
+    "sp": f"SELECT *, CASE WHEN fecha < DATE '{CUTOFF}' THEN 'train' ELSE 'test' END AS split FROM clean",
+    "st": "SELECT " + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in NUMERIC) + " FROM sp WHERE split = 'train'",
+    "tr": "SELECT concat_ws('|', CAST(indicativo AS VARCHAR), CAST(fecha AS VARCHAR)) AS row_key, ocurrencia, " + ", ".join(
+        f"{s6(f'CASE WHEN sd_{c} > 0 THEN ({c} - mu_{c}) / sd_{c} ELSE 0.0 END')} AS {c}" for c in NUMERIC) + " FROM sp CROSS JOIN st WHERE split = 'train'",
+    "sizes": "SELECT ocurrencia, count(*) AS n FROM tr GROUP BY ocurrencia",
+    "want": "SELECT arg_min(ocurrencia, (n, CAST(ocurrencia AS VARCHAR))) AS label, min(n) AS n_min, max(n) - min(n) AS n_new FROM sizes",
+    "mino": "SELECT tr.* FROM tr JOIN want ON tr.ocurrencia = want.label",
+    "dist": "SELECT a.row_key, b.row_key AS nn_key, sqrt(" + " + ".join(["0.0", *(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NUMERIC)]) +
+            ") AS d FROM mino a JOIN mino b ON a.row_key <> b.row_key WHERE " + " AND ".join(f"a.{c} IS NOT NULL AND b.{c} IS NOT NULL" for c in NUMERIC),
+    "nn": f"SELECT * FROM (SELECT row_key, nn_key, row_number() OVER (PARTITION BY row_key ORDER BY d, nn_key) AS nn_rank FROM dist) WHERE nn_rank <= {_SMOTE_K}",
+    "reps": f"SELECT mino.*, n_new // n_min + CASE WHEN row_number() OVER (ORDER BY {_hex(f"concat_ws('|', row_key, '{SEED}-extra')", 15)}) <= n_new % n_min THEN 1 ELSE 0 END AS n, n_min FROM mino CROSS JOIN want",
+    "cop": "SELECT *, unnest(range(n)) AS copia FROM reps",
+    "drawn": f"SELECT *, {_hex(f"concat_ws('|', row_key, CAST(copia AS VARCHAR), '{SEED}')", 8)} % least({_SMOTE_K}, n_min - 1) + 1 AS pick, "
+             f"{_hex(f"concat_ws('|', row_key, CAST(copia AS VARCHAR), '{SEED}') || 'u'", 13)} / {float(16 ** 13)} AS u FROM cop",
+}
+
+
 @register("smote_counts", sj.with_jobs("clean", extra={
     "tr": f"SELECT ocurrencia FROM clean WHERE fecha < DATE '{CUTOFF}'",
     "c": "SELECT ocurrencia, count(*) AS n FROM tr GROUP BY ocurrencia"}) + """
@@ -371,13 +395,15 @@ def _smote_input(spark, d):
 def q_smote_counts(spark, d):
     """M3: class counts of the training rows after SMOTE (parity)."""
     b = _smote_input(spark, d)
-    syn = smp.smote(b, LABEL, "row_key", NUMERIC, k=5, seed=SEED)
+    syn = smp.smote(b, LABEL, "row_key", NUMERIC, k=_SMOTE_K, seed=SEED)
     both = b.select(LABEL).unionByName(syn.select(LABEL))
     return both.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("smote_rows")
+@register("smote_rows", sj.with_jobs("clean", extra=_SMOTE) + "SELECT c.row_key, CAST(c.copia AS BIGINT) AS copia, c.ocurrencia, " + ", ".join(
+    f"{s6(f'c.{c} + c.u * (o.{c} - c.{c})')} AS {c}" for c in NUMERIC) +
+    " FROM drawn c JOIN nn ON nn.row_key = c.row_key AND nn.nn_rank = c.pick JOIN mino o ON o.row_key = nn.nn_key")
 def q_smote_rows(spark, d):
-    """M3: the synthetic minority rows themselves."""
+    """M3: the synthetic minority rows themselves (against every pair of minority rows in SQL)."""
     b = _smote_input(spark, d)
-    return smp.smote(b, LABEL, "row_key", NUMERIC, k=5, seed=SEED)
+    return smp.smote(b, LABEL, "row_key", NUMERIC, k=_SMOTE_K, seed=SEED).withColumns({c: r6(c) for c in NUMERIC})

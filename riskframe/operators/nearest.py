@@ -1,8 +1,8 @@
 """Nearest-station join without a cross join.
 
-The reference pairs every municipality with every station, computes a
-per-row Python geodesic and ranks the pairs.  Here the pairing is pruned by a
-lat/lon grid and the answer stays exact:
+The stations' density decides the cells: :mod:`quadtree` is the way that is
+taken by default.  Where ``cell_deg`` is given, for stations that are spread
+evenly, a lat/lon grid prunes the pairing, and the answer is exact too:
 
 1. level 0 puts stations in square cells sized from the stations; every
    point looks only at the 3x3 block of cells around its own cell (an
@@ -85,15 +85,13 @@ def nearest_station(points: DataFrame, stations: DataFrame, *,
     Points and stations with a null coordinate take no part in the pairing;
     such points are returned with null station columns.
 
-    ``cell_deg`` is the first cell size in degrees; by default it follows from the
-    stations' number and extent (:func:`cell_size`, a one-row aggregate that runs
-    at once), so that a block holds about as many stations at any scale.
+    By default the stations' quadtree is searched; its cells are written while the
+    plan is made.  With ``cell_deg`` a grid with cells of that size in degrees
+    (:func:`cell_size` has one that follows from the stations' number and extent).
 
-    ``materialize=True`` writes each level's result as a table in the shared
-    checkpoint folder (``spark.checkpoint.dir``) and stops as soon as no
-    point is pending:
-    the levels then run as separate small jobs instead of one plan in which
-    every level repeats its predecessors.
+    ``materialize=True`` writes the pairing (of the grid, each level's) as a table in the
+    shared checkpoint folder (``spark.checkpoint.dir``), so that it isn't planned again by
+    every later use; the grid then stops as soon as no point is pending.
     """
     station_cols = station_cols or []
     st = stations.select(
@@ -109,7 +107,14 @@ def nearest_station(points: DataFrame, stations: DataFrame, *,
         F.col(point_lon).cast("double").alias("_p_lon"),
     ).where(F.col("_p_lat").isNotNull() & F.col("_p_lon").isNotNull())
 
-    sizes = _levels(cell_deg or cell_size(st, "_s_lat", "_s_lon"), growth)
+    if cell_deg is None:
+        from .quadtree import nearest_by_tree
+        found = nearest_by_tree(pending.toDF("pid", "lat", "lon"), st.withColumnsRenamed({"_s_key": "key", "_s_lat": "lat", "_s_lon": "lon"}))
+        found = found.select(F.col("pid").alias(point_key), F.col("best.key").alias(station_key_as or station_key),
+                             *[F.col(f"best._s_{c}").alias(c) for c in station_cols], F.col("best.dist").alias(distance_col))
+        return points.join(_materialize(found, "nearest") if materialize else found, point_key, "left")
+
+    sizes = _levels(cell_deg, growth)
     offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     candidate = F.struct(F.col("_d"), F.col("_s_key"), *[F.col(f"_s_{c}") for c in station_cols])
     resolved: list[DataFrame] = []

@@ -68,3 +68,60 @@ def test_share_of_pairs_falls_with_the_rows(spark):
         assert w["n"] == n
         share.append(w["pairs"] / n / n)
     assert share[1] < 0.7 * share[0] and share[1] < 0.2
+
+
+# --- nearest station ----------------------------------------------------------------------------
+
+def spots(n, seed):
+    """90 % of the stations in a spot of 0.01 degrees, the others all over the globe."""
+    rng = np.random.default_rng(seed)
+    crowd = int(0.9 * n)
+    lat = np.concatenate([41.3 + rng.random(crowd) * 0.01, rng.uniform(-90, 90, n - crowd)])
+    lon = np.concatenate([2.1 + rng.random(crowd) * 0.01, rng.uniform(-180, 180, n - crowd)])
+    return lat, lon
+
+
+def arc(lat1, lon1, lat2, lon2):
+    a, b = np.radians(lat1), np.radians(lat2)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6371008.8 * np.arcsin(np.minimum(1, np.sqrt(h)))
+
+
+def places(spark, lat, lon, name):
+    return spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(zip(lat, lon))], f"{name} long, lat double, lon double")
+
+
+def test_quadtree_is_exact_and_bounded_on_a_crowded_spot(spark):
+    from riskframe.operators.quadtree import leaves_in_reach, nearest_by_tree, station_tree
+    rng = np.random.default_rng(4)
+    a, b = spots(300, 5)
+    c, d = rng.uniform(-90, 90, 100), rng.uniform(-180, 180, 100)
+    plat, plon = np.concatenate([a[:200] + 1e-4, c, [90.0, -90.0, 0.0, 0.0]]), np.concatenate([b[:200] + 1e-4, d, [0.0, 7.0, 180.0, -180.0]])
+    points = places(spark, plat, plon, "pid")
+    work = []
+    for n in (2000, 16000):
+        lat, lon = spots(n, 6)
+        lat[-1], lon[-1] = lat[0], lon[0]  # a second station at one place
+        got = {r.pid: (r.best.key, r.best.dist) for r in nearest_by_tree(points, places(spark, lat, lon, "key")).collect()}
+        assert len(got) == len(plat)
+        for i, (y, x) in enumerate(zip(plat, plon)):
+            dist = arc(y, x, lat, lon)
+            assert got[i][1] <= dist.min() + 1e-6 and dist[got[i][0]] <= dist.min() + 1e-6 and got[i][0] != n - 1
+        placed, cells = station_tree(places(spark, lat, lon, "key"), 16)
+        leaves = cells.where("leaf")
+        assert leaves.agg({"n": "max"}).first()[0] <= 16 and leaves.agg({"n": "sum"}).first()[0] == n - 1
+        seen = leaves_in_reach(points, cells).join(leaves.select("level", "cell", "n"), ["level", "cell"])
+        work.append(seen.agg({"n": "sum"}).first()[0] / len(plat))
+    assert max(work) < 160 and work[1] < 2.5 * work[0]  # stations looked at by a point, of 2,000 and 16,000
+
+
+def test_quadtree_of_odd_tables(spark):
+    from riskframe.operators.nearest import nearest_station
+    near = lambda p, s: {r.pid: r.sid for r in nearest_station(p, s, point_key="pid", station_key="sid", point_lat="lat", point_lon="lon", station_lat="lat", station_lon="lon").collect()}
+    pts = spark.createDataFrame([(1, 10.0, 10.0), (2, None, 1.0), (3, 0.0, 181.0)], "pid long, lat double, lon double")
+    none = spark.createDataFrame([], "sid long, lat double, lon double")
+    assert near(pts, none) == {1: None, 2: None, 3: None} and near(pts.limit(0), none) == {}
+    one = spark.createDataFrame([(7, 0.0, -179.0), (8, None, 2.0), (5, 0.0, -179.0)], "sid long, lat double, lon double")
+    assert near(pts, one) == {1: 5, 2: None, 3: 5}
+    same = spark.createDataFrame([(i, 1.0, 1.0) for i in range(40)], "sid long, lat double, lon double")
+    assert near(pts, same) == {1: 0, 2: None, 3: 0}

@@ -10,6 +10,7 @@ from .. import fixtures as fx
 from ..functions.text import round_half_up
 from ..operators import evaluate as ev
 from ..operators import features as feat
+from ..operators import histtrees as ht
 from ..operators import models as md
 from ..operators import sampling as smp
 from ..sources.files import materialize
@@ -348,6 +349,112 @@ def q_adaboost(spark, d):
     return md.adaboost_score(rounds, te).select("fecha", "indicativo", LABEL, "prediction", "score")
 
 
+# ============================================================== boosting on binned features
+
+_BINS, _L2, _MIN_H = 16, 1.0, 1.0
+_TREE_COLS = [*NUMERIC, *CALENDAR]
+
+
+def _binned(spark, d):
+    """Training rows, test rows: features rounded to six places and cut into bins of equal width (the
+    cuts are those of the training rows)."""
+    b = feat.split_time(_clean_table(spark, d), "fecha", CUTOFF)
+    b = b.withColumns({c: F.round(F.col(c).cast("double"), 6) if c in CALENDAR else r6(c) for c in _TREE_COLS})
+    train = b.where("split = 'train'")
+    out = materialize(ht.binned(b, _TREE_COLS, ht.width_cuts(train, _TREE_COLS, _BINS)).select("fecha", "indicativo", LABEL, "split", "bins"), "binned")
+    return out.where("split = 'train'"), out.where("split = 'test'")
+
+
+_X = {c: (f"CAST({c} AS DOUBLE)" if c in CALENDAR else s6(c)) for c in _TREE_COLS}
+_BIN_SQL = {
+    "tr": f"SELECT row_number() OVER () AS id, CAST(ocurrencia AS DOUBLE) AS y, {', '.join(f'{x} AS {c}' for c, x in _X.items())} FROM clean WHERE fecha < DATE '{CUTOFF}' AND ocurrencia IS NOT NULL",
+    "edge": "SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in _TREE_COLS) + " FROM tr",
+    "cell": " UNION ALL ".join(
+        f"SELECT id, y, {i} AS f, CASE WHEN {c} IS NULL OR hi_{c} = lo_{c} THEN 0 ELSE len(list_filter(list_transform(range(1, {_BINS}), lambda b: lo_{c} + (hi_{c} - lo_{c}) * b / {_BINS}.0::DOUBLE), lambda e: e < {c})) END AS bin FROM tr CROSS JOIN edge"
+        for i, c in enumerate(_TREE_COLS)),
+}
+_NAME_SQL = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_TREE_COLS)) + " END"
+
+
+def _level_sql(rows: str) -> dict[str, str]:
+    """Best split of every node of a level; rows: id, node, g, h."""
+    return {
+        "hist": f"SELECT r.node, c.f, c.bin, sum(r.g) AS g, sum(r.h) AS h FROM {rows} r JOIN cell c USING (id) GROUP BY ALL",
+        "cum": "SELECT node, f, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER p AS gt, sum(h) OVER p AS ht, max(bin) OVER p AS last FROM hist "
+               "WINDOW w AS (PARTITION BY node, f ORDER BY bin), p AS (PARTITION BY node, f)",
+        "gains": f"SELECT node, f, bin, 0.5 * (gl * gl / (hl + {_L2}) + (gt - gl) * (gt - gl) / (ht - hl + {_L2}) - gt * gt / (ht + {_L2})) AS gain FROM cum WHERE bin < last AND hl >= {_MIN_H} AND ht - hl >= {_MIN_H}",
+        "best": "SELECT node, f, bin, gain FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 7) DESC, f, bin) AS rn FROM gains WHERE gain > 0) WHERE rn = 1",
+        "sums": f"SELECT node, sum(g) AS g, sum(h) AS h FROM {rows} GROUP BY node",
+    }
+
+
+def _first_tree_sql(depth: int) -> str:
+    """The nodes of a first boosted tree, level by level."""
+    parts = dict(_BIN_SQL)
+    parts["prior"] = "SELECT avg(y) AS p FROM tr"
+    parts["r0"] = "SELECT id, 1 AS node, p - y AS g, p * (1 - p) AS h FROM tr CROSS JOIN prior"
+    ends = []
+    for k in range(depth + 1):
+        for name, sql in _level_sql(f"r{k}").items():
+            for other in ("hist", "cum", "gains"):
+                sql = sql.replace(f"FROM {other}", f"FROM {other}{k}")
+            parts[f"{name}{k}"] = sql
+        if k < depth:
+            parts[f"r{k + 1}"] = (f"SELECT r.id, 2 * r.node + CASE WHEN c.bin <= b.bin THEN 0 ELSE 1 END AS node, r.g, r.h "
+                                  f"FROM r{k} r JOIN best{k} b USING (node) JOIN cell c ON c.id = r.id AND c.f = b.f")
+        leaf = f"SELECT s.node, CAST(NULL AS VARCHAR) AS feature, CAST(NULL AS INT) AS bin, 0.0 AS gain, -s.g / (s.h + {_L2}) AS weight FROM sums{k} s"
+        ends.append(leaf if k == depth else leaf + f" ANTI JOIN best{k} USING (node)")
+        if k < depth:
+            ends.append(f"SELECT node, {_NAME_SQL} AS feature, CAST(bin AS INT) AS bin, gain, 0.0 AS weight FROM best{k}")
+    return sj.with_jobs("clean", extra=parts) + f"SELECT 1 AS round, CAST(node AS INT) AS node, feature, bin, {s6('gain')} AS gain, {s6('weight')} AS weight FROM (" + " UNION ALL ".join(ends) + ")"
+
+
+@register("gbt_first_tree", _first_tree_sql(2))
+def q_gbt_first_tree(spark, d):
+    """The first tree of a second-order boosted model: splits, gains and leaf weights."""
+    train, _ = _binned(spark, d)
+    model = ht.boost_trees(train, LABEL, rounds=1, depth=2, l2=_L2, min_hessian=_MIN_H)
+    return ht.split_table(spark, model, _TREE_COLS).withColumns({"gain": r6("gain"), "weight": r6("weight")})
+
+
+@register("gbt_second_order")
+def q_gbt_second_order(spark, d):
+    """Test-set probabilities of a second-order boosted model (10 rounds of depth 3 here)."""
+    train, test = _binned(spark, d)
+    model = ht.boost_trees(train, LABEL, rounds=10, depth=3, l2=_L2, min_hessian=_MIN_H)
+    return ht.boosted_probability(model, test).select("fecha", "indicativo", LABEL, "p1")
+
+
+_RATE, _STUMP_ROUNDS = 0.1, 3
+
+
+def _stumps_sql() -> str:
+    parts = dict(_BIN_SQL)
+    parts["w1"] = "SELECT id, y, 1.0 / count(*) OVER () AS w FROM tr"
+    for k in range(1, _STUMP_ROUNDS + 1):
+        parts[f"h{k}"] = f"SELECT c.f, c.bin, sum(CASE WHEN w.y = 0 THEN w.w ELSE 0.0 END) AS a0, sum(CASE WHEN w.y = 1 THEN w.w ELSE 0.0 END) AS a1 FROM w{k} w JOIN cell c USING (id) GROUP BY ALL"
+        parts[f"c{k}"] = (f"SELECT f, bin, sum(a0) OVER w AS l0, sum(a1) OVER w AS l1, sum(a0) OVER p AS t0, sum(a1) OVER p AS t1, max(bin) OVER p AS last FROM h{k} "
+                          "WINDOW w AS (PARTITION BY f ORDER BY bin), p AS (PARTITION BY f)")
+        parts[f"g{k}"] = (f"SELECT *, (l0 * l0 + l1 * l1) / (l0 + l1) + ((t0 - l0) * (t0 - l0) + (t1 - l1) * (t1 - l1)) / (t0 + t1 - l0 - l1) AS score, "
+                          f"CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS lft, CASE WHEN t1 - l1 > t0 - l0 THEN 1 ELSE 0 END AS rgt FROM c{k} WHERE bin < last")
+        parts[f"s{k}"] = (f"SELECT f, bin, lft, rgt, error, {_RATE} * ln((1 - error) / error) AS alpha FROM (SELECT *, (CASE WHEN lft = 1 THEN l0 ELSE l1 END + CASE WHEN rgt = 1 THEN t0 - l0 ELSE t1 - l1 END) / (t0 + t1) AS error "
+                          f"FROM g{k} ORDER BY round(score, 10) DESC, f, bin LIMIT 1)")
+        parts[f"w{k + 1}"] = (f"SELECT id, y, v / sum(v) OVER () AS w FROM (SELECT w.id, w.y, w.w * exp(s.alpha * CASE WHEN CASE WHEN c.bin <= s.bin THEN s.lft ELSE s.rgt END <> w.y THEN 1 ELSE 0 END) AS v "
+                              f"FROM w{k} w CROSS JOIN s{k} s JOIN cell c ON c.id = w.id AND c.f = s.f)")
+    return sj.with_jobs("clean", extra=parts) + " UNION ALL ".join(
+        f"SELECT {k} AS round, {_NAME_SQL} AS feature, CAST(bin AS INT) AS bin, lft AS label_left, rgt AS label_right, {s6('error')} AS error, {s6('alpha')} AS alpha FROM s{k}" for k in range(1, _STUMP_ROUNDS + 1))
+
+
+@register("adaboost_stumps", _stumps_sql())
+def q_adaboost_stumps(spark, d):
+    """The first stumps of an AdaBoost model over binned features (1000 rounds by default)."""
+    train, _ = _binned(spark, d)
+    found = ht.boost_stumps(train, LABEL, rounds=_STUMP_ROUNDS, rate=_RATE)
+    rows = [(k + 1, _TREE_COLS[s.feature], s.bin, s.left, s.right, s.error, s.alpha) for k, s in enumerate(found)]
+    out = spark.createDataFrame(rows, "round int, feature string, bin int, label_left int, label_right int, error double, alpha double")
+    return out.withColumns({"error": r6("error"), "alpha": r6("alpha")})
+
+
 @register("job_train_eval")
 def q_job_train_eval(spark, d):
     """Train a boosted model on the time split, evaluate on the test years."""

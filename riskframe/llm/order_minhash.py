@@ -8,10 +8,10 @@ so texts agree in it only if they share these k-mers in the same order.  Equal t
 text from the start.
 
 Candidates: each text is compared with the smallest text of each of its sketch values (a star,
-never all pairs of a group).  Buckets that then still hold more than one class are opened
-further: in small ones all texts of different classes are compared; in larger ones each text is
-first compared with the first and the last text of some other classes, and then with every text
-of another class that shares one of its rarest words, as every pair that passes must.
+never all pairs of a group), and in hot buckets with two more texts of other classes.  What is
+left are texts of buckets that hold several classes.  Of these, every pair of different classes that
+can pass is found: with e edits at most, two texts share one of their e + 1 rarest words, and no
+more than e words of one are missing in the other, which bitmaps of their words bound from below.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ K_WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 128
 WIDTH = 2
-#: Texts of a bucket that are compared across classes at once (at most SMALL^2/2 pairs a bucket).
-SMALL = 12
-#: Classes of a larger bucket whose first and last texts are leaders in a round.
-LEADERS = 3
-#: Rounds with leaders before the remaining classes of large buckets are compared in full.
+#: Buckets of more texts are hot: their texts are compared with leaders first.
+SMALL = 64
+#: Rounds with leaders before the pairs that are left are searched in full.
 ROUNDS = 2
+#: Numbers of 64 bits in a text's bitmap of words.
+_SIGNS = 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -97,13 +97,21 @@ def sketch(kmers: np.ndarray, seeds: np.ndarray, width: int, block: int = 1 << 1
     m = len(seeds)
     best_v = np.zeros((m, 0), np.uint64)
     best_at = np.zeros((m, 0), np.int64)
+    rows, factors = np.arange(m), seeds | np.uint64(1)
     for x in range(0, len(kmers), block):
-        v = _mix(kmers[None, x: x + block] ^ seeds[:, None])
+        with np.errstate(over="ignore"):
+            v = (kmers[None, x: x + block] ^ seeds[:, None]) * factors[:, None]  # the k-mers are mixed already
         at = np.broadcast_to(np.arange(x, x + v.shape[1]), v.shape)
-        v, at = np.concatenate([best_v, v], 1), np.concatenate([best_at, at], 1)
+        if best_v.shape[1]:
+            v, at = np.concatenate([best_v, v], 1), np.concatenate([best_at, at], 1)
         if v.shape[1] > width:
-            low = np.argpartition(v, width - 1, axis=1)[:, :width]
-            v, at = np.take_along_axis(v, low, 1), np.take_along_axis(at, low, 1)
+            low = np.empty((m, width), np.int64)
+            low_v = np.empty((m, width), np.uint64)
+            for j in range(width):  # the smallest, one after the other
+                low[:, j] = v.argmin(axis=1)
+                low_v[:, j] = v[rows, low[:, j]]
+                v[rows, low[:, j]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            v, at = low_v, np.take_along_axis(at, low, 1)
         best_v, best_at = v, at
     best_at = np.sort(best_at, axis=1)
     key = seeds.copy()
@@ -170,6 +178,17 @@ def word_distance(a: list, b: list, most: int) -> int:
             shared += 1
     if max(n, m) - shared > most:
         return most + 1
+    # an edit undoes two pairs of neighbours at most
+    missing = len(b) - 1
+    pairs: dict = {}
+    for p in zip(a, a[1:]):
+        pairs[p] = pairs.get(p, 0) + 1
+    for p in zip(b, b[1:]):
+        if pairs.get(p, 0):
+            pairs[p] -= 1
+            missing -= 1
+    if missing > 2 * most or missing + n - m > 2 * most:
+        return most + 1
     goal, reach = n - m, {0: 0}
     i = 0
     while i < n and i < m and a[i] == b[i]:
@@ -177,7 +196,8 @@ def word_distance(a: list, b: list, most: int) -> int:
     reach[0] = i
     for e in range(1, most + 1):
         now = {}
-        for d in range(max(-e, -m), min(e, n) + 1):
+        # what is further off the last diagonal than edits are left can't come back
+        for d in range(max(-e, -m, goal - (most - e)), min(e, n, goal + most - e) + 1):
             i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2))
             if i < 0:
                 continue
@@ -265,54 +285,61 @@ def _verified(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return written(both.mapInArrow(_align(similarity), "x long, y long"), "links")
 
 
+def _edits(longest: str, similarity: float) -> F.Column:
+    return F.floor(F.col(longest) * (1 - similarity) + 1e-9)
+
+
+def _fit(n: str, m: str, similarity: float) -> F.Column:
+    """Lengths that leave the edit distance a chance."""
+    longest = F.greatest(n, m)
+    return longest - F.least(n, m) <= F.floor(longest * (1 - similarity) + 1e-9)
+
+
 def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int, small: int) -> DataFrame:
     """(node, root) of the texts that have a link."""
     # every text with its sketch values that another text has too
-    rows = texts.select("rid", F.explode("keys").alias("key"))
-    lead = rows.groupBy("key").agg(F.min("rid").alias("y"), F.max("rid").alias("last")).filter("y <> last").select("key", "y")
-    rows = written(rows.join(lead, "key"), "met")
-    needed = texts.join(rows.select("rid").distinct(), "rid").select("rid", "tid", "row")
-    held = written(base.join(needed, ["tid", "row"]).select("rid", "text").dropDuplicates(["rid"]), "texts")
+    rows = texts.select("rid", F.col("n_words").alias("n"), F.explode("keys").alias("key"))
+    lead = rows.groupBy("key").agg(F.min(F.struct("rid", "n")).alias("y"), F.max("rid").alias("last"), F.count("*").alias("c")).filter("y.rid <> last")
+    rows = written(rows.join(lead.select("key", F.col("y.rid").alias("y"), F.col("y.n").alias("m"), "c"), "key"), "met")
+    needed = texts.join(rows.select("rid").distinct(), "rid").select("rid", "tid", "row", F.col("n_words").alias("n"))
+    held = written(base.join(needed, ["tid", "row"]).select("rid", "n", "text").dropDuplicates(["rid"]), "texts")
     # each text against the smallest of its bucket
-    pairs = written(rows.filter("rid <> y").select(F.col("rid").alias("x"), "y").distinct(), "pairs")
+    pairs = written(rows.filter("rid <> y").filter(_fit("n", "m", similarity)).select(F.col("rid").alias("x"), "y").distinct(), "pairs")
     links = _verified(held, pairs, similarity)
-    rows = rows.select("key", "rid")
     roots = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    for turn in range(ROUNDS + 1):
-        # buckets that still hold more than one class
-        seen = rows.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))
-        mixed = seen.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", "n")
-        rows = written(seen.join(mixed, "key"), "open")
-        if rows.isEmpty():
-            return roots
-        large = rows.filter(F.col("n") > small).select("key", "rid", "root")
-        if turn < ROUNDS:
-            # large buckets: against the first and the last text of some classes, which joins most of a family
-            classes = large.groupBy("key", "root").agg(F.min("rid").alias("y0"), F.max("rid").alias("y1"))
-            chosen = classes.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("root"))).filter(F.col("k") <= LEADERS)
-            chosen = chosen.select("key", F.col("root").alias("ry"), F.explode(F.array_distinct(F.array("y0", "y1"))).alias("y"))
-            found = large.join(chosen, "key").filter("root <> ry").select(F.col("rid").alias("x"), "y")
-        else:
-            # then every pair of different classes that can pass
-            found = _possible(held, texts, large.select("rid", "root").distinct(), similarity)
-        if not turn:
-            # small buckets: all pairs across classes
-            few = rows.filter(F.col("n") <= small).select("key", "rid", "root")
-            other = few.select("key", F.col("rid").alias("y"), F.col("root").alias("ry"))
-            found = found.unionByName(few.join(other, "key").filter("rid > y and root <> ry").select(F.col("rid").alias("x"), "y"))
-        rows = written(large.select("key", "rid"), "large")
-        found = found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    now = lambda t: t.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    # hot buckets: against a text of the first and of the last class of a text's fullest bucket
+    hot = rows.filter(F.col("c") > small).groupBy("rid", "n").agg(F.max(F.struct("c", "key"))["key"].alias("key"))
+    hot = written(hot, "hot")
+    for _ in range(ROUNDS if not hot.isEmpty() else 0):
+        seen = now(hot)
+        ends = seen.groupBy("key").agg(F.min(F.struct("root", "rid", "n")).alias("a"), F.max(F.struct("root", "rid", "n")).alias("b")).filter("a.root <> b.root")
+        both = seen.join(ends, "key")
+        met = [both.filter(F.col("root") != F.col(f"{e}.root")).select(F.col("rid").alias("u"), F.col(f"{e}.rid").alias("v"), "n", F.col(f"{e}.n").alias("m")).filter(_fit("n", "m", similarity)) for e in "ab"]
+        found = met[0].unionByName(met[1]).select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct()
         found = written(found.join(pairs, ["x", "y"], "left_anti"), "pairs")
-        if not found.isEmpty():
-            pairs = pairs.unionByName(found)
-            new = _verified(held, found, similarity)
-            if not new.isEmpty():
-                roots = _merged(roots, new)
-    return roots
+        pairs = pairs.unionByName(found)
+        new = _verified(held, found, similarity)
+        if new.isEmpty():
+            break
+        roots = _merged(roots, new)
+    # texts of buckets with several classes; a hot bucket's texts without asking
+    cold = now(rows.filter(F.col("c") <= small).select("key", "rid"))
+    mixed = cold.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    some = cold.join(mixed, "key").select("rid", "root").unionByName(now(hot).select("rid", "root")).distinct()
+    some = written(some, "open")
+    if some.isEmpty():
+        return roots
+    found = written(_possible(held, some, similarity).join(pairs, ["x", "y"], "left_anti"), "pairs")
+    new = _verified(held, found, similarity)
+    keys = lambda end: texts.select(F.col("rid").alias(end), F.col("keys").alias(f"k{end}"))
+    new = written(new.join(keys("x"), "x").join(keys("y"), "y").filter(F.arrays_overlap("kx", "ky")).select("x", "y"), "links")
+    return roots if new.isEmpty() else _merged(roots, new)
 
 
 def _labelled_words():
-    schema = pa.schema([("rid", pa.int64()), ("words", pa.list_(pa.int64()))])
+    """Each text's words, repetitions numbered, and a bitmap of them in _SIGNS numbers."""
+    schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("words", pa.list_(pa.int64())), ("signs", pa.list_(pa.int64()))])
 
     def run(batches):
         tables = _tables(1 << 20)
@@ -320,30 +347,47 @@ def _labelled_words():
             for i, j, data, off in _text_blocks(batch.column("text"), 1 << 20):
                 hashes, owner = word_hashes(data, off[1:], tables)
                 cut = np.searchsorted(owner, np.arange(j - i + 1))
-                words = [labelled_kmers(hashes[cut[t]: cut[t + 1]], 1).view(np.int64) for t in range(j - i)]
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.concatenate(words)))
-                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(i, j - i), lists], schema=schema)
+                words = [labelled_kmers(hashes[cut[t]: cut[t + 1]], 1) for t in range(j - i)]
+                signs = np.zeros((j - i, _SIGNS), np.uint64)
+                for t, w in enumerate(words):
+                    bit = w % np.uint64(64 * _SIGNS)
+                    np.bitwise_or.at(signs[t], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.concatenate(words).view(np.int64)))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * _SIGNS), pa.array(signs.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in ("rid", "n", "root")] + [lists, bits], schema=schema)
     return run
 
 
-def _possible(held: DataFrame, texts: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) of different classes of ``some`` (rid, root) that share a sketch value and may
-    pass the alignment; none that passes is left out.
+def _missing(one: str, other: str) -> F.Column:
+    """At least so many words of one are not in the other: bits of its map that the other's lacks."""
+    return sum((F.bit_count(F.col(f"{one}{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}{i}")))) for i in range(_SIGNS)), F.lit(0))
+
+
+def _possible(held: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y), x > y, of different classes of ``some`` (rid, root) that may pass the alignment;
+    none that passes is left out.
 
     With e edits at most, e of a text's words are not in the other one, in any alignment; so
     two texts that pass share one of their e + 1 rarest words (a word's repetitions numbered)."""
-    words = held.join(some, "rid").select("rid", "text").mapInArrow(_labelled_words(), "rid long, words array<long>")
-    words = written(words.select("rid", F.size("words").alias("n"), F.explode("words").alias("word")), "words")
-    times = words.groupBy("word").agg(F.count("*").alias("times"))
-    ranked = words.join(times, "word").withColumn("k", F.row_number().over(Window.partitionBy("rid").orderBy("times", "word")))
-    rare = ranked.filter((F.col("k") <= F.floor(F.col("n") * (1 - similarity) + 1e-9) + 1) & (F.col("times") > 1)).select("word", "rid", "n")
-    rare = written(rare.join(some, "rid"), "rare")
-    classes = rare.groupBy("word", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    other = classes.select("word", F.col("root").alias("ry"), F.col("n0").alias("m0"), F.col("n1").alias("m1"))
-    fit = lambda a, b: F.col(b) - F.col(a) <= F.floor(F.col(b) * (1 - similarity) + 1e-9)
-    both = classes.join(other, "word").filter((F.col("root") < F.col("ry")) & fit("n1", "m0") & fit("m1", "n0")).select("word", "root", "ry")
-    second = rare.select("word", F.col("root").alias("ry"), F.col("rid").alias("y"), F.col("n").alias("m"))
-    pairs = both.join(rare, ["word", "root"]).join(second, ["word", "ry"]).filter(fit("n", "m") & fit("m", "n"))
-    pairs = pairs.select(F.col("rid").alias("x"), "y").distinct()
-    keys = lambda end: texts.select(F.col("rid").alias(end), F.col("keys").alias(f"k{end}"))
-    return pairs.join(keys("x"), "x").join(keys("y"), "y").filter(F.arrays_overlap("kx", "ky")).select("x", "y")
+    bits = range(_SIGNS)
+    texts = held.join(some, "rid").select("rid", "n", "root", "text").mapInArrow(_labelled_words(), "rid long, n long, root long, words array<long>, signs array<long>")
+    texts = written(texts, "words")
+    words = texts.select("rid", "n", "root", F.explode("words").alias("word"))
+    # a word that one class alone has brings nothing together, but it is among the rarest
+    times = words.groupBy("word").agg(F.count("*").alias("times"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("word", "times")
+    mine = Window.partitionBy("rid")
+    ranked = words.join(times, "word").withColumn("k", F.row_number().over(mine.orderBy("times", "word"))).withColumn("s", F.count("*").over(mine))
+    rare = ranked.filter(F.col("k") <= _edits("n", similarity) + 1 - (F.col("n") - F.col("s"))).select("word", "rid")
+    rare = written(rare.join(texts.select("rid", "n", "root", *[F.col("signs")[i].alias(f"s{i}") for i in bits]), "rid"), "rare")
+    # first classes with classes: what all texts of one have and no text of the other has
+    classes = rare.groupBy("word", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), *[F.bit_and(f"s{i}").alias(f"all{i}") for i in bits], *[F.bit_or(f"s{i}").alias(f"any{i}") for i in bits])
+    other = classes.select("word", F.col("root").alias("ry"), F.col("n0").alias("m0"), F.col("n1").alias("m1"), *[F.col(f"{c}{i}").alias(f"y{c}{i}") for c in ("all", "any") for i in bits])
+    fit = lambda a, b: F.col(b) - F.col(a) <= _edits(b, similarity)
+    most = F.floor(F.greatest("n1", "m1") * (1 - similarity) + 1e-9)
+    apart = (_missing("all", "yany") <= most) & (_missing("yall", "any") <= most)
+    both = classes.join(other, "word").filter((F.col("root") < F.col("ry")) & fit("n1", "m0") & fit("m1", "n0") & apart).select("word", "root", "ry")
+    second = rare.select("word", F.col("root").alias("ry"), F.col("rid").alias("y"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in bits])
+    most = F.floor(F.greatest("n", "m") * (1 - similarity) + 1e-9)
+    near = fit("n", "m") & fit("m", "n") & (_missing("s", "t") <= most) & (_missing("t", "s") <= most)
+    pairs = written(both, "both").join(rare, ["word", "root"]).join(second, ["word", "ry"]).filter(near)
+    return pairs.select(F.greatest("rid", "y").alias("x"), F.least("rid", "y").alias("y")).distinct()

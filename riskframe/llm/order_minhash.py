@@ -34,7 +34,7 @@ SMALL = 64
 #: Rounds with leaders before the pairs that are left are searched in full.
 ROUNDS = 2
 #: Numbers of 64 bits in a text's bitmap of words.
-_SIGNS = 16
+_SIGNS = 8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -298,25 +298,27 @@ def _fit(n: str, m: str, similarity: float) -> F.Column:
 def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int, small: int) -> DataFrame:
     """(node, root) of the texts that have a link."""
     # every text with its sketch values that another text has too
-    rows = texts.select("rid", F.col("n_words").alias("n"), F.explode("keys").alias("key"))
-    lead = rows.groupBy("key").agg(F.min(F.struct("rid", "n")).alias("y"), F.max("rid").alias("last"), F.count("*").alias("c")).filter("y.rid <> last")
-    rows = written(rows.join(lead.select("key", F.col("y.rid").alias("y"), F.col("y.n").alias("m"), "c"), "key"), "met")
+    rows = texts.select("rid", F.explode("keys").alias("key"))
+    lead = rows.groupBy("key").agg(F.min("rid").alias("y"), F.max("rid").alias("last"), F.count("*").alias("c")).filter("y <> last").select("key", "y", "c")
+    rows = written(rows.join(lead, "key"), "met")
     needed = texts.join(rows.select("rid").distinct(), "rid").select("rid", "tid", "row", F.col("n_words").alias("n"))
     held = written(base.join(needed, ["tid", "row"]).select("rid", "n", "text").dropDuplicates(["rid"]), "texts")
+    length = lambda end, n: held.select(F.col("rid").alias(end), F.col("n").alias(n))
+    fitting = lambda t: t.join(length("x", "n"), "x").join(length("y", "m"), "y").filter(_fit("n", "m", similarity)).select("x", "y")
     # each text against the smallest of its bucket
-    pairs = written(rows.filter("rid <> y").filter(_fit("n", "m", similarity)).select(F.col("rid").alias("x"), "y").distinct(), "pairs")
+    pairs = written(fitting(rows.filter("rid <> y").select(F.col("rid").alias("x"), "y").distinct()), "pairs")
     links = _verified(held, pairs, similarity)
     roots = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     now = lambda t: t.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     # hot buckets: against a text of the first and of the last class of a text's fullest bucket
-    hot = rows.filter(F.col("c") > small).groupBy("rid", "n").agg(F.max(F.struct("c", "key"))["key"].alias("key"))
+    hot = rows.filter(F.col("c") > small).groupBy("rid").agg(F.max(F.struct("c", "key"))["key"].alias("key"))
     hot = written(hot, "hot")
     for _ in range(ROUNDS if not hot.isEmpty() else 0):
         seen = now(hot)
-        ends = seen.groupBy("key").agg(F.min(F.struct("root", "rid", "n")).alias("a"), F.max(F.struct("root", "rid", "n")).alias("b")).filter("a.root <> b.root")
+        ends = seen.groupBy("key").agg(F.min(F.struct("root", "rid")).alias("a"), F.max(F.struct("root", "rid")).alias("b")).filter("a.root <> b.root")
         both = seen.join(ends, "key")
-        met = [both.filter(F.col("root") != F.col(f"{e}.root")).select(F.col("rid").alias("u"), F.col(f"{e}.rid").alias("v"), "n", F.col(f"{e}.n").alias("m")).filter(_fit("n", "m", similarity)) for e in "ab"]
-        found = met[0].unionByName(met[1]).select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct()
+        met = [both.filter(F.col("root") != F.col(f"{e}.root")).select(F.col("rid").alias("u"), F.col(f"{e}.rid").alias("v")) for e in "ab"]
+        found = fitting(met[0].unionByName(met[1]).select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct())
         found = written(found.join(pairs, ["x", "y"], "left_anti"), "pairs")
         pairs = pairs.unionByName(found)
         new = _verified(held, found, similarity)

@@ -153,8 +153,9 @@ def test_large_buckets_by_brute_force(spark):
             if root[x] != root[y] and keys[x] & keys[y] and order_minhash.word_distance(texts[x], texts[y], 24) <= 24:
                 low, high = sorted((root[x], root[y]))
                 root = [low if r == high else r for r in root]
-    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
-    assert [got[i] for i in range(len(texts))] == root
+    for small in (order_minhash.SMALL, 6):  # without hot buckets, and with many
+        got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), small=small).collect()}
+        assert [got[i] for i in range(len(texts))] == root
 
 
 def test_sketches_meet_at_the_threshold_of_acceptance():

@@ -128,7 +128,8 @@ class Codec:
         self.penalty = min((s for s, k in zip(pieces.score, pieces.kind) if k == 1), default=0.0) - UNKNOWN_PENALTY
         self.out = [bytes([int(t[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else t.replace(MARK, " ").encode() for t, k in zip(pieces.text, pieces.kind)]
         self.whole = all(MARK not in t.lstrip(MARK) for t, k in zip(pieces.text, pieces.kind) if k in (1, 4, 5))
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.low = set(self.byte_id.values())
+        self.seen: dict[str, tuple[bytes, bytes, int]] = {}
 
     def viterbi(self, text: str) -> tuple[int, ...]:
         """Ids of the cut with the largest sum of scores; of equal sums the first found wins."""
@@ -163,38 +164,53 @@ class Codec:
             n = part
         return tuple(reversed(ids))
 
-    def encode(self, text: str) -> list[int]:
+    def _part(self, key: str) -> tuple[bytes, bytes, int]:
+        """Ids (as int32), decoded bytes and number of byte pieces of the cut of ``key``."""
+        ids = self.viterbi(key)
+        return np.array(ids, np.int32).tobytes(), b"".join([self.out[i] for i in ids]), sum(i in self.low for i in ids)
+
+    def parts(self, text: str) -> list[tuple[bytes, bytes, int]]:
+        """What ``_part`` gives for each word in turn; joined, that of the whole text, since no piece
+        goes over the marks in front of a word."""
         if not text:
             return []
-        marked = MARK + text.replace(" ", MARK)
+        marked = text.replace(" ", MARK)
         if not self.whole:
-            return list(self.viterbi(marked))
-        ids: list[int] = []
-        seen = self.seen
-        gap = ""
-        for word in marked.split(MARK)[1:]:
-            # a word with the marks in front of it; marks alone go to the next word
+            return [self._part(MARK + marked)]
+        seen, words = self.seen, marked.split(MARK)
+        got = list(map(seen.get, words))
+        if None not in got:
+            return got
+        got, gap = [], ""
+        for word in words:
+            # a word is remembered with the further marks in front of it; marks alone go to the next word
             if not word:
                 gap += MARK
                 continue
-            key = gap + MARK + word
-            gap = ""
-            got = seen.get(key)
-            if got is None:
-                got = self.viterbi(key)
-                if len(key) <= 100:
+            key, gap = gap + word, ""
+            one = seen.get(key)
+            if one is None:
+                one = self._part(MARK + key)
+                if len(key) < 100:
                     if len(seen) >= self.memory:
                         seen.clear()
-                    seen[key] = got
-            ids.extend(got)
+                    seen[key] = one
+            got.append(one)
         if gap:
-            ids.extend(self.viterbi(gap))
-        return ids
+            got.append(self._part(gap))
+        return got
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(b"".join([p[0] for p in self.parts(text)]), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Text of the pieces: bytes joined (invalid ones as U+FFFD), marks as spaces, without the one in front."""
         out = self.out
-        text = b"".join([out[i] for i in ids]).decode("utf-8", "replace")
+        return self.text(b"".join([out[i] for i in ids]))
+
+    @staticmethod
+    def text(raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -218,13 +234,12 @@ def _encode(model, keep: list[str]):
             texts = batch.column("text")
             for x in range(0, batch.num_rows, 512):
                 ids, n_bytes, same, sha = [], [], [], []
-                low = set(codec.byte_id.values())
                 for t in texts.slice(x, 512):
                     text = t.as_py() or ""
-                    got = codec.encode(text)
-                    back = codec.decode(got)
-                    ids.append(np.array(got, np.int32))
-                    n_bytes.append(sum(map(low.__contains__, got)))
+                    parts = codec.parts(text)
+                    back = codec.text(b"".join([p[1] for p in parts]))
+                    ids.append(np.frombuffer(b"".join([p[0] for p in parts]), np.int32))
+                    n_bytes.append(sum([p[2] for p in parts]))
                     same.append(back == text)
                     sha.append(hashlib.md5(back.encode("utf-8", "replace")).hexdigest())
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))

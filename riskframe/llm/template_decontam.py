@@ -29,10 +29,12 @@ CONSISTENT = 2 / 3
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs hour hours day days week weeks month months year years "
          "minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles gram grams "
          "kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent pound pounds mph kmh").split()
-_NUMBER = r"^[$€£+-]?[0-9]+([.,:/][0-9]+)*%?$"
-_NAME = r"^\p{Lu}\p{L}*$"
-#: Scripts written without spaces: each character is a word.
-_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+# A number or a name as a whole word of words joined by one space.
+_NUMBER = r"(^| )[$€£+-]?[0-9]+(?:[.,:/][0-9]+)*%?(?= |$)"
+_NAME = r"(^| )\p{Lu}\p{L}*(?= |$)"
+#: Scripts written without spaces: each character is a word.  None has characters below U+0E00; the
+#: range is asked first, since a script's test is slow.
+_UNSPACED = r"([\u0E00-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]])"
 
 
 def words(text: Column) -> Column:
@@ -47,7 +49,9 @@ def with_template(df: DataFrame, text: str, ws: str, out: str) -> DataFrame:
     The steps are columns, since an array expression named inside a lambda would be computed
     again for each element."""
     df = df.withColumn(ws, words(F.col(text)))
-    df = df.withColumn("_kind", F.transform(ws, lambda w: F.when(w.rlike(_NUMBER), F.lit("<num>")).when(w.rlike(_NAME), F.lit("<name>")).otherwise(F.lower(w))))
+    # numbers and names are replaced in the words joined again: two passes over a text, not two a word
+    kinds = F.lower(F.regexp_replace(F.regexp_replace(F.array_join(ws, " "), _NUMBER, "$1<num>"), _NAME, "$1<name>"))
+    df = df.withColumn("_kind", F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(F.split(kinds, " ")))
     is_unit = lambda t, i: (i > 0) & (F.get("_kind", i - 1) == "<num>") & t.isin(UNITS)
     return df.withColumn(out, F.transform("_kind", lambda t, i: F.when(is_unit(t, i), F.lit("<unit>")).otherwise(t))).drop("_kind")
 

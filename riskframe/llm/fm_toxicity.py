@@ -2,12 +2,15 @@
 
 Besides a weight, each term has a vector; the products of the vectors of the terms that a text
 holds score their pairs, such as an insult next to a group's name, which a sum of single weights
-misses.  Terms are hashed words; the model keeps the hash values whose rate differs most between
-the labels in the training sample.
+misses.  Terms are hashed words, word shapes, pairs of shapes and repeated words
+(``linear_features``); every term of the training sample takes part, also one that is as frequent
+under both labels.  A text is its terms, once each, scaled to length 1.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,94 +22,131 @@ from .linear_features import text_terms
 
 BITS = 20
 MAX_TRAINING_ROWS = 20_000
-TERMS = 256
 FACTORS = 8
-EPOCHS = 30
-RATE = 0.05
-L2 = 1e-4
-MIN_Z = 3.0
+#: Texts that training takes in all its passes, and the bounds on the passes.
+STEPS = 60_000
+PASSES = (4, 40)
+RATE = 0.1
+#: On the weights (absolute values) and on the vectors (squares).
+L1 = 2.0
+L2 = 1e-2
 THRESHOLD = 0.7
 
+#: Terms of texts in a row: (term numbers, first place of each text and the end, values).
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def dense_rows(x: np.ndarray) -> Rows:
+    """The rows of a matrix as ``Rows``."""
+    row, col = np.nonzero(x)
+    return col, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))]), x[row, col].astype(float)
+
+
+def _sums(a: np.ndarray, off: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, 0, dtype=float)])
+    return total[off[1:]] - total[off[:-1]]
+
 
-def choose_terms(parts: list[np.ndarray], y: np.ndarray, size: int, most: int, min_z: float) -> np.ndarray:
-    """Hash values whose share of texts differs most between the labels (z of two proportions).
-    ``parts`` hold text * size + term, each pair once in a part."""
-    pairs = np.unique(np.concatenate(parts))  # a term once per text
-    text, term = pairs // size, pairs % size
-    total = np.bincount(term, minlength=size).astype(float)
-    hits = np.bincount(term, weights=y[text].astype(float), minlength=size)
-    n, n1 = len(y), max(1, int(y.sum()))
-    n0 = max(1, n - n1)
-    share = total / n
-    z = (hits / n1 - (total - hits) / n0) / np.sqrt(np.maximum(share * (1 - share) * (1 / n1 + 1 / n0), 1e-12))
-    z[total < 5] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:most]
-    return np.sort(best[np.abs(z[best]) >= min_z])
+def _forward(rows: Rows, bias: float, w: np.ndarray, v: np.ndarray):
+    index, off, x = rows
+    xv = v[index] * x[:, None]
+    s = _sums(xv, off)
+    return bias + _sums(w[index] * x, off) + 0.5 * ((s * s).sum(1) - _sums((xv * xv).sum(1), off)), s, xv
 
 
 def fm_scores(x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
     """bias + sum w x + sum over pairs <v_i, v_j> x_i x_j, in linear time by the square of the sum."""
-    s = x @ v
-    return bias + x @ w + 0.5 * ((s * s).sum(1) - (x * x) @ (v * v).sum(1))
+    return _forward(dense_rows(x), bias, w, v)[0]
 
 
-def train_fm(x: np.ndarray, y: np.ndarray, factors: int, epochs: int, rate: float, l2: float, batch: int = 256):
-    """Adaptive gradient descent on the logistic loss; repeatable."""
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def train_rows(rows: Rows, y: np.ndarray, d: int, factors: int, epochs: int, rate: float, l1: float, l2: float, batch: int = 64):
+    """Bias, weights and vectors of ``d`` terms by the logistic loss; repeatable.  Only the terms of a
+    batch are touched.  A weight follows the regularised leader, so that it stays 0 until the evidence
+    exceeds ``l1``; a vector takes gradient steps with a rate of its own, which falls as it learns."""
+    index, off, x = rows
     rng = np.random.default_rng(1)
-    d = x.shape[1]
-    p = [np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))]), np.zeros(d), rng.normal(0, 0.05, (d, factors))]
-    seen = [np.full_like(a, 1e-6) for a in p]
+    w, z, n = np.zeros(d), np.zeros(d), np.zeros(d)
+    v, seen = rng.normal(0, 0.01, (d, factors)), np.full(d, 1e-2)
+    bias, bias_seen = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), 1.0
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for b in range(0, len(y), batch):
-            xb, yb = x[order[b: b + batch]], y[order[b: b + batch]]
-            e = (1 / (1 + np.exp(-np.clip(fm_scores(xb, p[0][0], p[1], p[2]), -35, 35))) - yb) / len(yb)
-            s = xb @ p[2]
-            grads = [np.array([e.sum()]), xb.T @ e + l2 * p[1], xb.T @ (s * e[:, None]) - p[2] * ((xb * xb).T @ e)[:, None] + l2 * p[2]]
-            for a, g, h in zip(p, grads, seen):
-                h += g * g
-                a -= rate * g / np.sqrt(h)
-    return p[0][0], p[1], p[2]
-
-
-def _present(col, bits: int, slot: np.ndarray, rows: int, d: int, start: int = 0) -> np.ndarray:
-    x = np.zeros((rows, d), np.float32)
-    for first, _, index, who in text_terms(col, bits, 1):
-        at = slot[index]
-        x[first + who[at >= 0] - start, at[at >= 0]] = 1
-    return x
-
-
-def _train(bits: int, most: int, factors: int, epochs: int, rate: float, l2: float, min_z: float):
+            some = order[b: b + batch]
+            size = off[some + 1] - off[some]
+            own = np.repeat(np.arange(len(some)), size)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            at = off[some][own] + np.arange(len(own)) - ends[own]
+            terms, local = np.unique(index[at], return_inverse=True)
+            xb = x[at]
+            score, s, xv = _forward((local, ends, xb), bias, w[terms], v[terms])
+            e = _probability(score) - y[some]
+            g = np.bincount(local, e[own] * xb, len(terms))
+            z[terms] += g - (np.sqrt(n[terms] + g * g) - np.sqrt(n[terms])) / rate * w[terms]
+            n[terms] += g * g
+            w[terms] = -np.sign(z[terms]) * np.maximum(np.abs(z[terms]) - l1, 0) * rate / (1 + np.sqrt(n[terms]))
+            step = (e[own] * xb)[:, None] * (s[own] - xv)
+            gv = np.stack([np.bincount(local, step[:, k], len(terms)) for k in range(factors)], 1) + l2 * v[terms]
+            seen[terms] += (gv * gv).mean(1)
+            v[terms] -= rate * gv / np.sqrt(seen[terms])[:, None]
+            bias_seen += e.sum() ** 2
+            bias -= rate * e.sum() / np.sqrt(bias_seen)
+    return bias, w, v
+
+
+def train_fm(x: np.ndarray, y: np.ndarray, factors: int, epochs: int, rate: float, l2: float, l1: float = 0.0):
+    """``train_rows`` over the rows of a matrix."""
+    return train_rows(dense_rows(x), y, x.shape[1], factors, epochs, rate, l1, l2)
+
+
+def _text_rows(col, bits: int):
+    """Yields ``Rows`` of blocks of texts: each term once, of value 1 / root of their number."""
+    for _, n, index, who in text_terms(col, bits, 1):
+        pairs = np.unique(who.astype(np.int64) << bits | index)
+        size = np.bincount(pairs >> bits, minlength=n)
+        yield (pairs & (1 << bits) - 1).astype(np.int32), np.concatenate([[0], np.cumsum(size)]), np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
+
+
+def _train(bits: int, factors: int, rate: float, l1: float, l2: float):
     def run(texts, y) -> bytes:
-        parts = [np.unique((who + first) * (1 << bits) + index) for first, _, index, who in text_terms(texts, bits, 1)]
-        terms = choose_terms(parts, y, 1 << bits, most, min_z)
-        slot = np.full(1 << bits, -1, np.int32)
-        slot[terms] = np.arange(len(terms))
-        bias, w, v = train_fm(_present(texts, bits, slot, len(y), len(terms)), y.astype(float), factors, epochs, rate, l2)
-        return np.concatenate([[len(terms), bias], terms, w, v.ravel()]).astype(np.float64).tobytes()
+        parts = list(_text_rows(texts, bits))
+        terms, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+        passes = int(np.clip(STEPS // len(y), *PASSES))
+        bias, w, v = train_rows((index.astype(np.int32), off, np.concatenate([p[2] for p in parts])), y.astype(float), len(terms), factors, passes, rate, l1, l2)
+        out = io.BytesIO()
+        np.savez(out, bias=bias, terms=terms, w=w.astype(np.float32), v=v.astype(np.float32))
+        return out.getvalue()
     return run
 
 
-def _score(model, bits: int, factors: int):
+def _score(model, bits: int):
     def run(batches):
-        m = np.frombuffer(model.value, np.float64)
-        d = int(m[0])
-        terms, w, v = m[2: 2 + d].astype(np.int64), m[2 + d: 2 + 2 * d], m[2 + 2 * d:].reshape(d, factors)
-        slot = np.full(1 << bits, -1, np.int32)
-        slot[terms] = np.arange(d)
+        if model.value is None:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(batch.num_rows, 0.5))], names=["id", "score"])
+            return
+        m = np.load(io.BytesIO(model.value))
+        # terms that training did not meet are the last, of weight 0
+        w, v = (np.concatenate([m[a], np.zeros_like(m[a][:1])]) if len(m["terms"]) else np.zeros((1, *m[a].shape[1:]), np.float32) for a in ("w", "v"))
+        slot = np.full(1 << bits, len(w) - 1, np.int32)
+        slot[m["terms"]] = np.arange(len(w) - 1)
         for batch in batches:
-            z = fm_scores(_present(batch.column("text"), bits, slot, batch.num_rows, d).astype(float), m[1], w, v)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=["id", "score"])
+            z = [_forward((slot[index], off, x), float(m["bias"]), w, v)[0] for index, off, x in _text_rows(batch.column("text"), bits)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_probability(np.concatenate(z)) if z else np.zeros(0))], names=["id", "score"])
     return run
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", usable=None,
-                    max_rows: int = MAX_TRAINING_ROWS, bits: int = BITS, terms: int = TERMS, factors: int = FACTORS, epochs: int = EPOCHS) -> DataFrame:
+                    max_rows: int = MAX_TRAINING_ROWS, bits: int = BITS, factors: int = FACTORS) -> DataFrame:
     """One row per input row: the id and score, the probability of label 1.
 
     Trained on labelled documents for which ``usable(id)`` holds, a sample by hash of about
-    ``max_rows``; inputs of a score are the text's words only.  Every text is scored whole.
+    ``max_rows``, in more passes the smaller it is; inputs of a score are the text's words only.
+    Every text is scored whole.
 
     Defined cases: a null or empty text has the score of no terms; null labels are not used, of
     several labels of an id the largest counts; without training rows every score is 0.5; an empty
@@ -114,7 +154,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     rows = training_rows(docs, labels, label, id_col, text_col, usable or (lambda i: F.lit(True)), max_rows)
-    model = fit(rows, _train(bits, terms, factors, epochs, RATE, L2, MIN_Z)) or np.zeros(2).tobytes()
+    model = fit(rows, _train(bits, factors, RATE, L1, L2))
     base = renamed_input(docs, id=id_col, text=text_col)
-    out = base.mapInArrow(_score(spark.sparkContext.broadcast(model), bits, factors), f"id {dict(base.dtypes)['id']}, score double")
+    out = base.mapInArrow(_score(spark.sparkContext.broadcast(model), bits), f"id {dict(base.dtypes)['id']}, score double")
     return out.withColumnRenamed("id", id_col)

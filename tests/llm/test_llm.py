@@ -262,6 +262,35 @@ def test_factorization_machine_learns_a_pair_that_weights_miss():
     assert np.mean((fm_toxicity.fm_scores(x, b, w, v) > 0) == y) > 0.95
 
 
+def test_factorization_machine_sums_all_pairs():
+    rng = np.random.default_rng(4)
+    x, w, v = rng.normal(size=(20, 6)) * (rng.random((20, 6)) < 0.6), rng.normal(size=6), rng.normal(size=(6, 3))
+    want = [0.5 + r @ w + sum((v[i] @ v[j]) * r[i] * r[j] for i in range(6) for j in range(i)) for r in x]
+    assert np.allclose(fm_toxicity.fm_scores(x, 0.5, w, v), want)
+
+
+@pytest.mark.parametrize("fill", [6, 40])
+def test_toxicity_of_pairs_of_words_that_tell_nothing_alone(spark, fill):
+    """Every marked word is as frequent under both labels; all have one shape."""
+    rng = np.random.default_rng(9)
+    rows, y = [], {}
+    for i in range(3000):
+        a, b = i % 2, i // 2 % 2
+        rows.append((i, " ".join(rng.permutation([*(f"word{k}" for k in rng.integers(100, 1000, fill)), ("insulta", "insultb")[a], ("namings", "groupin")[b]]))))
+        y[i] = int(a == b)
+    labels = spark.createDataFrame([(i, t) for i, t in y.items()], "doc_id long, toxic int")
+    got = fm_toxicity.toxicity_scores(docs(spark, rows), labels, usable=lambda i: i % 5 != 0).filter("doc_id % 5 = 0").collect()
+    pos, neg = (np.array([r.score for r in got if y[r.doc_id] == k]) for k in (1, 0))
+    assert len(got) == 600 and np.mean(pos[:, None] > neg) > 0.95
+
+
+def test_toxicity_without_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    assert fm_toxicity.toxicity_scores(docs(spark, []), labels).count() == 0
+    got = fm_toxicity.toxicity_scores(docs(spark, [(0, None), (1, ""), (1, "")]), labels).collect()
+    assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
+
+
 def test_ftrl_separates():
     rng = np.random.default_rng(2)
     rows = [(np.array([rng.integers(0, 5) + 5 * (k % 2), 20]), np.ones(2)) for k in range(400)]

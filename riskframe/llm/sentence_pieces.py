@@ -22,8 +22,8 @@ from .common import renamed_input
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose cut a task remembers; when full it starts anew.
-MEMORY = 200_000
+#: Words of late whose cut a task remembers, and as many of those before them.
+MEMORY = 150_000
 #: Taken from the smallest score for a character of no piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -129,7 +129,9 @@ class Codec:
         self.out = [bytes([int(t[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else t.replace(MARK, " ").encode() for t, k in zip(pieces.text, pieces.kind)]
         self.whole = all(MARK not in t.lstrip(MARK) for t, k in zip(pieces.text, pieces.kind) if k in (1, 4, 5))
         self.low = set(self.byte_id.values())
+        # words met of late, and those before them: what is met again comes over when the first are full
         self.seen: dict[str, tuple[bytes, bytes, int]] = {}
+        self.before: dict[str, tuple[bytes, bytes, int]] = {}
 
     def viterbi(self, text: str) -> tuple[int, ...]:
         """Ids of the cut with the largest sum of scores; of equal sums the first found wins."""
@@ -138,22 +140,24 @@ class Codec:
         best, came, how = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         base, check, value, score = self.base, self.check, self.value, self.score
-        size, i = len(base), 0
+        i = 0
         while i < n:
             lead = raw[i]
             width = 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
             here, s, single = best[i], 0, False
-            for j in range(i, n):
-                t = base[s] + raw[j]
-                if t >= size or check[t] != s or (s and not base[s]):
+            # a state without children has base 0 and is nobody's check; the arrays go 256 beyond each base
+            for end, byte in enumerate(raw[i:], i + 1):
+                t = base[s] + byte
+                if check[t] != s:
                     break
                 s = t
-                if value[s] >= 0:
-                    end = j + 1
-                    single |= end == i + width
-                    total = here + score[value[s]]
+                piece = value[s]
+                if piece >= 0:
+                    if end == i + width:
+                        single = True
+                    total = here + score[piece]
                     if total > best[end]:
-                        best[end], came[end], how[end] = total, i, value[s]
+                        best[end], came[end], how[end] = total, i, piece
             if not single and here + self.penalty > best[i + width]:
                 best[i + width], came[i + width], how[i + width] = here + self.penalty, i, -1
             i += width
@@ -177,29 +181,35 @@ class Codec:
         marked = text.replace(" ", MARK)
         if not self.whole:
             return [self._part(MARK + marked)]
-        seen, words = self.seen, marked.split(MARK)
-        got = list(map(seen.get, words))
-        if None not in got:
+        words = marked.split(MARK)
+        if "" not in words:
+            got = list(map(self.seen.get, words))
+            for i, one in enumerate(got):
+                if one is None:
+                    got[i] = self._remembered(words[i])
             return got
         got, gap = [], ""
         for word in words:
-            # a word is remembered with the further marks in front of it; marks alone go to the next word
-            if not word:
+            # marks in front of a word, beside its own, go with it
+            if word:
+                got.append(self._remembered(gap + word))
+                gap = ""
+            else:
                 gap += MARK
-                continue
-            key, gap = gap + word, ""
-            one = seen.get(key)
-            if one is None:
-                one = self._part(MARK + key)
-                if len(key) < 100:
-                    if len(seen) >= self.memory:
-                        seen.clear()
-                    seen[key] = one
-            got.append(one)
         if gap:
             got.append(self._part(gap))
         return got
 
+    def _remembered(self, key: str) -> tuple[bytes, bytes, int]:
+        one = self.seen.get(key)
+        if one is None:
+            one = self.before.get(key) or self._part(MARK + key)
+            if len(key) < 100:
+                if len(self.seen) >= self.memory:
+                    self.before, self.seen = self.seen, {}
+                self.seen[key] = one
+        return one
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join([p[0] for p in self.parts(text)]), np.int32).tolist()
 

@@ -1,7 +1,7 @@
 """Statistics (A17–A21): correlation, Levene's test, ACF and PACF.
 
-All are aggregates over the data; only PACF runs Python, and it runs on the
-ACF *result* (at most ``nlags`` numbers per series), grouped by series.
+All are aggregates over the data.  PACF folds the ACF *result* (``nlags``
+numbers per series); only Levene's p-value runs Python, on a row per variable.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,37 +147,28 @@ def acf(df: DataFrame, series_key: str, order_col: str, cols: Sequence[str], nla
                     (F.col("_c") / F.col("_c0")).alias("acf")))
 
 
-def _durbin_levinson(r: np.ndarray) -> np.ndarray:
-    """PACF from autocorrelations r[1..p] (Durbin–Levinson recursion)."""
-    p = len(r)
-    out = np.zeros(p)
-    phi = np.zeros(p + 1)
-    v = 1.0
-    rr = np.concatenate([[1.0], r])
-    for k in range(1, p + 1):
-        if v <= 0:
-            out[k - 1:] = np.nan
-            break
-        a = (rr[k] - np.dot(phi[1:k], rr[k - 1:0:-1])) / v
-        new = phi.copy()
-        new[k] = a
-        new[1:k] = phi[1:k] - a * phi[k - 1:0:-1]
-        phi = new
-        v *= (1 - a * a)
-        out[k - 1] = a
-    return out
-
-
 def pacf(acf_rows: DataFrame, series_key: str) -> DataFrame:
-    """Partial autocorrelation from the ACF rows of each series
-    (``applyInPandas`` per (series, variable); each group holds ``nlags`` rows)."""
-    key_type = acf_rows.schema[series_key].dataType.simpleString()
-
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        vals = _durbin_levinson(pdf["acf"].to_numpy(dtype=float))
-        return pd.DataFrame({series_key: pdf[series_key].to_numpy(), "variable": pdf["variable"].to_numpy(),
-                             "lag": pdf["lag"].to_numpy(), "pacf": vals})
-
-    return acf_rows.groupBy(series_key, "variable").applyInPandas(
-        per_series, f"{series_key} {key_type}, variable string, lag long, pacf double")
+    """Partial autocorrelation from the ACF rows of each series and variable.
+
+    The Durbin–Levinson recursion as a fold over the array of a series' autocorrelations (``nlags``
+    numbers): phi holds the coefficients of the last order, v the share of variance they leave.
+    Once nothing is left, the further values are NaN.
+    """
+    nothing = F.array().cast("array<double>")
+    start = F.struct(F.lit(1.0).alias("v"), nothing.alias("phi"), nothing.alias("out"))
+
+    def order(state, k):
+        known = F.zip_with(state["phi"], F.reverse(F.slice("_r", 1, k - 1)), lambda p, r: p * r)
+        rest = F.get("_r", k - 1) - F.aggregate(known, F.lit(0.0), lambda t, x: t + x)
+        value = F.when(state["v"] <= 0, F.lit(float("nan"))).otherwise(F.try_divide(rest, state["v"]))
+        # a transform of one element names the value, else each use would compute it again
+        return F.get(F.transform(F.array(value), lambda a: F.struct(
+            (state["v"] * (1 - a * a)).alias("v"),
+            F.concat(F.zip_with(state["phi"], F.reverse(state["phi"]), lambda p, q: p - a * q), F.array(a)).alias("phi"),
+            F.concat(state["out"], F.array(a)).alias("out"))), F.lit(0))
+
+    series = acf_rows.groupBy(series_key, "variable").agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("_acf"))
+    series = series.withColumn("_r", F.transform("_acf", lambda x: x["acf"].cast("double")))
+    found = series.withColumn("_p", F.aggregate(F.sequence(F.lit(1), F.size("_r")), start, order, lambda state: state["out"]))
+    return (found.select(series_key, "variable", F.explode(F.arrays_zip(F.transform("_acf", lambda x: x["lag"]).alias("lag"), F.col("_p").alias("pacf"))).alias("_o"))
+            .select(series_key, "variable", F.col("_o.lag").alias("lag"), F.col("_o.pacf").alias("pacf")))

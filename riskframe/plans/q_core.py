@@ -494,7 +494,7 @@ _ACF = ["tmed", "prec", "velmedia", "tmax", "tmin", "rhum", "sol"]
 _NLAGS = 60
 
 
-@register("acf", WITH("fx_weather", extra={
+_ACF_SUMS = {
     "lf": " UNION ALL ".join(f"SELECT indicativo, fecha, '{c}' AS variable, CAST({c} AS DOUBLE) AS valor "
                              f"FROM fx_weather WHERE {c} IS NOT NULL" for c in _ACF),
     "c": "SELECT indicativo, variable, valor - avg(valor) OVER (PARTITION BY indicativo, variable) AS x, "
@@ -502,7 +502,10 @@ _NLAGS = 60
     "lags": f"SELECT unnest(range(0, {_NLAGS + 1})) AS lag",
     "sums": "SELECT a.indicativo, a.variable, l.lag, sum(a.x * b.x) AS s FROM c a CROSS JOIN lags l "
             "JOIN c b ON b.indicativo = a.indicativo AND b.variable = a.variable AND b.rn = a.rn + l.lag "
-            "GROUP BY a.indicativo, a.variable, l.lag"}) + f"""
+            "GROUP BY a.indicativo, a.variable, l.lag"}
+
+
+@register("acf", WITH("fx_weather", extra=_ACF_SUMS) + f"""
     SELECT s.indicativo, s.variable, CAST(s.lag AS BIGINT) AS lag, {s6('s.s / z.s')} AS acf
     FROM sums s JOIN sums z ON z.indicativo = s.indicativo AND z.variable = s.variable AND z.lag = 0
     WHERE s.lag > 0 AND z.s > 0""")
@@ -511,11 +514,22 @@ def q_acf(spark, d):
     return stats.acf(fx.fx_weather(spark, d), "indicativo", "fecha", _ACF, _NLAGS).withColumn("acf", r6("acf"))
 
 
-@register("pacf")
+_PACF_STEPS = _ACF_SUMS | {
+    "rs": "SELECT s.indicativo, s.variable, list(s.s / z.s ORDER BY s.lag) AS r FROM sums s JOIN sums z ON z.indicativo = s.indicativo "
+          "AND z.variable = s.variable AND z.lag = 0 WHERE s.lag > 0 AND z.s > 0 GROUP BY s.indicativo, s.variable",
+    "steps": "SELECT indicativo, variable, r, CAST(0 AS BIGINT) AS k, CAST(1 AS DOUBLE) AS v, CAST([] AS DOUBLE[]) AS phi, CAST(NULL AS DOUBLE) AS a FROM rs "
+             "UNION ALL SELECT indicativo, variable, r, k + 1, v * (1 - b * b), "
+             "list_append(list_transform(range(1, k + 1), lambda j: phi[j] - b * phi[k + 1 - j]), b), b FROM ("
+             "SELECT *, (r[k + 1] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j])), 0)) / v AS b "
+             "FROM steps WHERE k < len(r))"}
+
+
+@register("pacf", WITH("fx_weather", extra=_PACF_STEPS).replace("WITH", "WITH RECURSIVE", 1) + f"""
+    SELECT indicativo, variable, k AS lag, {s6('a')} AS pacf FROM steps WHERE k > 0""")
 def q_pacf(spark, d):
     """Partial autocorrelation (Durbin–Levinson on the ACF rows)."""
     a = stats.acf(fx.fx_weather(spark, d), "indicativo", "fecha", _ACF, _NLAGS)
-    return stats.pacf(a, "indicativo")
+    return stats.pacf(a, "indicativo").withColumn("pacf", r6("pacf"))
 
 
 # ============================================================== windows / series

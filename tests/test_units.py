@@ -128,10 +128,24 @@ def test_levene_and_acf_match_numpy(spark):
         assert abs(got[kk] - (xc[:-kk] * xc[kk:]).sum() / (xc * xc).sum()) < 1e-9
 
 
-def test_pacf_of_ar1_acf():
-    r = np.array([0.5 ** k for k in range(1, 6)])
-    p = stats._durbin_levinson(r)
-    assert abs(p[0] - 0.5) < 1e-12 and np.all(np.abs(p[1:]) < 1e-12)
+def plain_pacf(r):
+    """Partial autocorrelations by solving each order's Yule-Walker equations."""
+    full = np.concatenate([[1.0], r])
+    return [np.linalg.solve(full[np.abs(np.subtract.outer(np.arange(k), np.arange(k)))], full[1: k + 1])[-1] for k in range(1, len(r) + 1)]
+
+
+def test_pacf_of_ar1_acf(spark):
+    x = np.random.default_rng(3).normal(size=200).cumsum()
+    x -= x.mean()
+    series = {"ar1": [0.5 ** k for k in range(1, 6)], "walk": [float(x[:-k] @ x[k:] / (x @ x)) for k in range(1, 31)], "one": [0.25], "all": [1.0, 1.0, 1.0]}
+    rows = [(key, "v", lag, r) for key, values in series.items() for lag, r in enumerate(values, 1)]
+    got = {}
+    for r in stats.pacf(spark.createDataFrame(rows, "st string, variable string, lag long, acf double"), "st").collect():
+        got.setdefault(r.st, {})[r.lag] = r.pacf
+    got = {key: np.array([v[k] for k in sorted(v)]) for key, v in got.items()}
+    assert abs(got["ar1"][0] - 0.5) < 1e-12 and np.all(np.abs(got["ar1"][1:]) < 1e-12)
+    assert np.allclose(got["walk"], plain_pacf(series["walk"])) and list(got["one"]) == [0.25]
+    assert got["all"][0] == 1.0 and np.all(np.isnan(got["all"][1:]))
 
 
 def test_classification_report_never_predicted_class(spark):

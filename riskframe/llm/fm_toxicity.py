@@ -30,6 +30,8 @@ RATE = 0.1
 #: On the weights (absolute values) and on the vectors (squares).
 L1 = 2.0
 L2 = 1e-2
+#: One training text in so many is kept for the calibration of the scores.
+SLICE = 5
 THRESHOLD = 0.7
 
 #: Terms of texts in a row: (term numbers, first place of each text and the end, values).
@@ -97,6 +99,25 @@ def train_rows(rows: Rows, y: np.ndarray, d: int, factors: int, epochs: int, rat
     return bias, w, v
 
 
+def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of scores, so that they are log odds: a logistic fit by Newton steps, halved
+    while they do not help; targets are a little inside 0 and 1, so that it ends on separate labels."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.stack([z, np.ones_like(z)], 1)
+    loss = lambda c: np.logaddexp(0, x @ c).sum() - t @ (x @ c)
+    at = np.array([1.0, 0.0])
+    for _ in range(100):
+        q = _probability(x @ at)
+        step = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + 1e-9 * np.eye(2), x.T @ (q - t))
+        while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        at = at - step
+        if np.abs(step).max() <= 1e-9:
+            break
+    return (at[0], at[1]) if at[0] > 0 else (1.0, 0.0)
+
+
 def train_fm(x: np.ndarray, y: np.ndarray, factors: int, epochs: int, rate: float, l2: float, l1: float = 0.0):
     """``train_rows`` over the rows of a matrix."""
     return train_rows(dense_rows(x), y, x.shape[1], factors, epochs, rate, l1, l2)
@@ -110,13 +131,28 @@ def _text_rows(col, bits: int):
         yield (pairs & (1 << bits) - 1).astype(np.int32), np.concatenate([[0], np.cumsum(size)]), np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
 
 
+def _taken(rows: Rows, which: np.ndarray) -> Rows:
+    """The marked texts of ``rows``."""
+    size = np.diff(rows[1])
+    of = np.repeat(which, size)
+    return rows[0][of], np.concatenate([[0], np.cumsum(size[which])]), rows[2][of]
+
+
 def _train(bits: int, factors: int, rate: float, l1: float, l2: float):
     def run(texts, y) -> bytes:
         parts = list(_text_rows(texts, bits))
         terms, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
         passes = int(np.clip(STEPS // len(y), *PASSES))
-        bias, w, v = train_rows((index.astype(np.int32), off, np.concatenate([p[2] for p in parts])), y.astype(float), len(terms), factors, passes, rate, l1, l2)
+        rows, y = (index.astype(np.int32), off, np.concatenate([p[2] for p in parts])), y.astype(float)
+        # scores of texts that a first training leaves out tell how far those of new texts reach
+        apart = np.arange(len(y)) % SLICE == 0
+        slope, shift = 1.0, 0.0
+        if 0 < y[apart].sum() < apart.sum() and (~apart).any():
+            first = train_rows(_taken(rows, ~apart), y[~apart], len(terms), factors, passes, rate, l1, l2)
+            slope, shift = calibration(_forward(_taken(rows, apart), *first)[0], y[apart])
+        bias, w, v = train_rows(rows, y, len(terms), factors, passes, rate, l1, l2)
+        bias, w, v = slope * bias + shift, slope * w, np.sqrt(slope) * v
         out = io.BytesIO()
         np.savez(out, bias=bias, terms=terms, w=w.astype(np.float32), v=v.astype(np.float32))
         return out.getvalue()

@@ -10,8 +10,9 @@ text from the start.
 Candidates: each text is compared with the smallest text of each of its sketch values (a star,
 never all pairs of a group).  Buckets that then still hold more than one class are opened
 further: in small ones all texts of different classes are compared; in larger ones each text is
-first compared with the first and the last text of some other classes, and then with every text
-of another class that shares one of its rarest words, as every pair that passes must.
+first compared with one text a round, the same in buckets alike, and then with every text of
+another class that has one of its rarest parts of three words near the same place, as every pair
+that passes must.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ SKETCHES = 128
 WIDTH = 2
 #: Texts of a bucket that are compared across classes at once (at most SMALL^2/2 pairs a bucket).
 SMALL = 12
-#: Classes of a larger bucket whose first and last texts are leaders in a round.
-LEADERS = 3
-#: Rounds with leaders before the remaining classes of large buckets are compared in full.
-ROUNDS = 2
+#: Rounds in which the texts of a larger bucket meet a leader, before its remaining classes are compared in full.
+ROUNDS = 3
+#: Words in a row, at most, by which those are compared.
+GRAM = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -299,19 +300,17 @@ def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int
     rows = rows.select("key", "rid")
     roots = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     for turn in range(ROUNDS + 1):
-        # buckets that still hold more than one class
+        # buckets that still hold more than one class, each with a leader: the text that a hash of this turn puts first
         seen = rows.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))
-        mixed = seen.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", "n")
-        rows = written(seen.join(mixed, "key"), "open")
+        order = F.xxhash64("rid", F.lit(turn))
+        mixed = seen.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("rid", order).alias("y"), F.min_by("root", order).alias("ry"))
+        rows = written(seen.join(mixed.filter("r0 <> r1").select("key", "n", "y", "ry"), "key"), "open")
         if rows.isEmpty():
             return roots
-        large = rows.filter(F.col("n") > small).select("key", "rid", "root")
+        large = rows.filter(F.col("n") > small)
         if turn < ROUNDS:
-            # large buckets: against the first and the last text of some classes, which joins most of a family
-            classes = large.groupBy("key", "root").agg(F.min("rid").alias("y0"), F.max("rid").alias("y1"))
-            chosen = classes.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("root"))).filter(F.col("k") <= LEADERS)
-            chosen = chosen.select("key", F.col("root").alias("ry"), F.explode(F.array_distinct(F.array("y0", "y1"))).alias("y"))
-            found = large.join(chosen, "key").filter("root <> ry").select(F.col("rid").alias("x"), "y")
+            # large buckets: against the leader, mostly of a large family; buckets with the same texts have the same one
+            found = large.filter("root <> ry").select(F.col("rid").alias("x"), "y")
         else:
             # then every pair of different classes that can pass
             found = _possible(held, texts, large.select("rid", "root").distinct(), similarity)
@@ -331,18 +330,49 @@ def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int
     return roots
 
 
-def _labelled_words():
-    schema = pa.schema([("rid", pa.int64()), ("words", pa.list_(pa.int64()))])
+def gram_sizes(n: np.ndarray, similarity: float) -> np.ndarray:
+    """For texts of n words the largest g, GRAM at most, so that g words each, side by side, are more
+    parts than a passing text's edits can break."""
+    most = np.floor(n * (1 - similarity) + 1e-9).astype(np.int64)
+    size = np.ones(len(n), np.int64)
+    for g in range(2, GRAM + 1):
+        size[n // g > most] = g
+    return size
+
+
+def _grams(similarity: float):
+    """All g words in a row of each text, for each g that a text of its length or a longer one looks
+    for; parts is the number of the text's own parts if the row is one of them, else 0."""
+    names = ("rid", "root", "n", "gram", "at", "parts")
+    schema = pa.schema([(name, pa.int64()) for name in names])
 
     def run(batches):
         tables = _tables(1 << 20)
         for batch in batches:
+            rid, root = batch.column("rid").to_pylist(), batch.column("root").to_pylist()
             for i, j, data, off in _text_blocks(batch.column("text"), 1 << 20):
                 hashes, owner = word_hashes(data, off[1:], tables)
                 cut = np.searchsorted(owner, np.arange(j - i + 1))
-                words = [labelled_kmers(hashes[cut[t]: cut[t + 1]], 1).view(np.int64) for t in range(j - i)]
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.concatenate(words)))
-                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(i, j - i), lists], schema=schema)
+                columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
+                for t in range(j - i):
+                    words = hashes[cut[t]: cut[t + 1]]
+                    n = len(words)
+                    if not n:
+                        continue
+                    own = int(gram_sizes(np.array([n]), similarity)[0])
+                    for g in np.unique(gram_sizes(np.arange(n, int(n / similarity) + 2), similarity)).tolist():
+                        if g > n:
+                            continue
+                        at = np.arange(n - g + 1)
+                        with np.errstate(over="ignore"):
+                            h = np.full(len(at), g, np.uint64)
+                            for k in range(g):
+                                h = _mix(h + words[k: k + len(at)] * np.uint64(2 * k + 0x9E3779B97F4A7C15))
+                        mine = (at % g == 0) if g == own else np.zeros(len(at), bool)
+                        row = (np.full(len(at), rid[i + t]), np.full(len(at), root[i + t]), np.full(len(at), n), h.view(np.int64), at, np.where(mine, n // g, 0))
+                        for column, part in zip(columns, row):
+                            column.append(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], schema=schema)
     return run
 
 
@@ -350,20 +380,21 @@ def _possible(held: DataFrame, texts: DataFrame, some: DataFrame, similarity: fl
     """Pairs (x, y) of different classes of ``some`` (rid, root) that share a sketch value and may
     pass the alignment; none that passes is left out.
 
-    With e edits at most, e of a text's words are not in the other one, in any alignment; so
-    two texts that pass share one of their e + 1 rarest words (a word's repetitions numbered)."""
-    words = held.join(some, "rid").select("rid", "text").mapInArrow(_labelled_words(), "rid long, words array<long>")
-    words = written(words.select("rid", F.size("words").alias("n"), F.explode("words").alias("word")), "words")
-    times = words.groupBy("word").agg(F.count("*").alias("times"))
-    ranked = words.join(times, "word").withColumn("k", F.row_number().over(Window.partitionBy("rid").orderBy("times", "word")))
-    rare = ranked.filter((F.col("k") <= F.floor(F.col("n") * (1 - similarity) + 1e-9) + 1) & (F.col("times") > 1)).select("word", "rid", "n")
-    rare = written(rare.join(some, "rid"), "rare")
-    classes = rare.groupBy("word", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    other = classes.select("word", F.col("root").alias("ry"), F.col("n0").alias("m0"), F.col("n1").alias("m1"))
-    fit = lambda a, b: F.col(b) - F.col(a) <= F.floor(F.col(b) * (1 - similarity) + 1e-9)
-    both = classes.join(other, "word").filter((F.col("root") < F.col("ry")) & fit("n1", "m0") & fit("m1", "n0")).select("word", "root", "ry")
-    second = rare.select("word", F.col("root").alias("ry"), F.col("rid").alias("y"), F.col("n").alias("m"))
-    pairs = both.join(rare, ["word", "root"]).join(second, ["word", "ry"]).filter(fit("n", "m") & fit("m", "n"))
-    pairs = pairs.select(F.col("rid").alias("x"), "y").distinct()
+    The longer text x, of n words, is cut into parts of g words side by side.  An edit breaks one
+    part at most, so with e edits at most e parts are not in y, and those that are lie at most e words
+    off.  So of any e + 1 parts y has one: taken are those that no other class has, then the
+    rarest.  A text of which more than e parts are in no other class passes with none, and
+    takes no part as x."""
+    grams = held.join(some, "rid").select("rid", "root", "text").mapInArrow(_grams(similarity), "rid long, root long, n long, gram long, at long, parts long")
+    grams = written(grams, "grams")
+    times = grams.groupBy("gram").agg(F.count("*").alias("times"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    shared = written(grams.join(times.filter("r0 <> r1").select("gram", "times"), "gram"), "shared")
+    most = F.floor(F.col("n") * (1 - similarity) + 1e-9)
+    of_text = Window.partitionBy("rid")
+    ranked = shared.filter("parts > 0").withColumn("k", F.row_number().over(of_text.orderBy("times", "gram", "at"))).withColumn("known", F.count("*").over(of_text))
+    first = ranked.filter(F.col("k") <= most + 1 - (F.col("parts") - F.col("known"))).select("gram", F.col("rid").alias("x"), F.col("root").alias("rx"), "n", "at", most.alias("most"))
+    second = shared.select("gram", F.col("rid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("m"), F.col("at").alias("to"))
+    near = (F.col("rx") != F.col("ry")) & F.col("m").between(F.col("n") - F.col("most"), F.col("n")) & (F.abs(F.col("at") - F.col("to")) <= F.col("most"))
+    pairs = first.join(second, (first["gram"] == second["gram"]) & near).select("x", "y").distinct()
     keys = lambda end: texts.select(F.col("rid").alias(end), F.col("keys").alias(f"k{end}"))
     return pairs.join(keys("x"), "x").join(keys("y"), "y").filter(F.arrays_overlap("kx", "ky")).select("x", "y")

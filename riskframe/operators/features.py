@@ -65,6 +65,23 @@ def assemble_pipeline(numeric: Sequence[str], cats: Sequence[str], calendar: Seq
     return Pipeline(stages=stages)
 
 
+def subset_rows(df: DataFrame, date_col: str, window: tuple[str, str], mobility_cols: Sequence[str],
+                out: str = "subset") -> DataFrame:
+    """The rows of the four subsets in one scan, named by ``out``, for one partitioned write.
+
+    A row is in each subset of whose columns none is null; in those without mobility the
+    mobility columns are null, so that all four have one schema.  Repeated rows of a subset are
+    one row (one shuffle for all four)."""
+    lo, hi = (F.lit(window[0]).cast("date"), F.lit(window[1]).cast("date"))
+    known = lambda cols: F.forall(F.array(*[F.col(f"`{c}`").isNotNull() for c in cols]), lambda x: x)
+    every, rest = known(df.columns), known([c for c in df.columns if c not in mobility_cols])
+    inside = F.col(date_col).between(lo, hi)
+    names = F.array_compact(F.array(F.when(every, "all"), F.when(rest, "sin_movilidad"), F.when(every & inside, "ventana"),
+                                    F.when(rest & inside, "ventana_sin_movilidad")))
+    rows = df.withColumn(out, F.explode(names))
+    return rows.withColumns({c: F.when(~F.col(out).endswith("sin_movilidad"), F.col(c)) for c in mobility_cols}).dropDuplicates()
+
+
 def analysis_subsets(df: DataFrame, date_col: str, window: tuple[str, str],
                      mobility_cols: Sequence[str]) -> dict[str, DataFrame]:
     """The four analysis views over one table: all, without mobility

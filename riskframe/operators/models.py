@@ -12,10 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml import Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,15 +64,47 @@ def mlp(n_features: int, features: str = "features", label: str = "ocurrencia",
                                           maxIter=max_iter, seed=seed)
 
 
+class ClassWeighter(Transformer):
+    """D9 as a stage of a Pipeline: writes each row's weight, ``positiveWeight`` where the label is 1 and
+    1 elsewhere, so that a grid search can search the class weight with the tree's own parameters."""
+
+    positiveWeight = Param(Params._dummy(), "positiveWeight", "weight of a row whose label is 1", TypeConverters.toFloat)
+
+    def __init__(self, label: str = "ocurrencia", out: str = "weight", positive_weight: float = 1.0):
+        super().__init__()
+        self.label, self.out = label, out
+        self._set(positiveWeight=positive_weight)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.out, F.when(F.col(self.label) == 1, F.lit(self.getOrDefault(self.positiveWeight))).otherwise(F.lit(1.0)))
+
+
+def with_folds(df: DataFrame, keys: Sequence[str], folds: int = 3, seed: int = 123, out: str = "fold") -> DataFrame:
+    """A fold number per row, from a hash of its keys: the same on each run, and in SQL."""
+    return df.withColumn(out, F.pmod(hash_key(keys, seed), F.lit(folds)).cast("int"))
+
+
 def grid_search(estimator, grid: dict, label: str = "ocurrencia", folds: int = 3, parallelism: int = 2,
-                seed: int = 123) -> CrossValidator:
-    """K-fold cross-validated grid search on accuracy."""
+                seed: int = 123, fold_col: str | None = None, metric: str = "accuracy") -> CrossValidator:
+    """K-fold cross-validated grid search on ``metric``.  The grid's names are the estimator's
+    parameters, or those of the stages of a Pipeline.  Folds are drawn, or read from ``fold_col``."""
+    owners = estimator.getStages() if hasattr(estimator, "getStages") else [estimator]
     b = ParamGridBuilder()
     for param, values in grid.items():
-        b = b.addGrid(estimator.getParam(param), list(values))
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    return CrossValidator(estimator=estimator, estimatorParamMaps=b.build(), evaluator=ev, numFolds=folds,
-                          parallelism=parallelism, seed=seed)
+        owner = next((o for o in owners if o.hasParam(param)), None)
+        if owner is None:
+            raise ValueError(f"no stage has a parameter {param}")
+        b = b.addGrid(owner.getParam(param), list(values))
+    ev = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=b.build(), evaluator=ev, numFolds=folds,
+                        parallelism=parallelism, seed=seed)
+    return cv.setFoldCol(fold_col) if fold_col else cv
+
+
+def grid_scores(spark: SparkSession, model) -> DataFrame:
+    """A row per point of a fitted grid search: its parameters as a map, and the mean metric."""
+    rows = [({p.name: float(v) for p, v in point.items()}, float(m)) for point, m in zip(model.getEstimatorParamMaps(), model.avgMetrics)]
+    return spark.createDataFrame(rows, "params map<string,double>, metric double")
 
 
 def positive_probability(df: DataFrame, prob_col: str = "probability", out: str = "p1") -> DataFrame:

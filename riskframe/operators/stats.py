@@ -9,7 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,68 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .select("_o.var_a", "_o.var_b", "corr"))
 
 
+def _pair_sums(k: int):
+    """Sums over the rows of a task in which both columns have a value: a row per pair of columns."""
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    low, high = np.triu_indices(k)
+
+    def run(batches):
+        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            here = ~np.isnan(x)
+            x, here = np.where(here, x, 0.0), here.astype(float)
+            n += here.T @ here
+            sx += x.T @ here
+            sxx += (x * x).T @ here
+            sxy += x.T @ x
+        sums = (n[low, high], sx[low, high], sx[high, low], sxx[low, high], sxx[high, low], sxy[low, high])
+        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int32()), pa.array(high, pa.int32()), *(pa.array(v, pa.float64()) for v in sums)],
+                                         names=["i", "j", *names])
+    return run
+
+
+def gram_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A17 for many columns: the same rows as ``correlation_matrix`` (pairwise complete; NaN counts as
+    missing, a pair without variance is null).
+
+    One pass takes the columns' means, one the blocked Gram matrix of the centred values: each task
+    multiplies its batches as matrices and sends k (k + 1) / 2 rows of sums, which one grouped
+    aggregate adds.  The plan doesn't grow with the square of the number of columns."""
+    cols = list(cols)
+    values = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = values.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(cols))])
+    centred = values.crossJoin(F.broadcast(means)).select(*[(F.col(f"c{i}") - F.col(f"m{i}")).alias(f"c{i}") for i in range(len(cols))])  # one row
+    parts = centred.mapInArrow(_pair_sums(len(cols)), "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
+    corr = F.when((vx > 0) & (vy > 0), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx) / F.sqrt(vy))
+    name = lambda i: F.get(F.array(*[F.lit(c) for c in cols]), F.col(i))
+    pair = lambda a, b: F.struct(name(a).alias("var_a"), name(b).alias("var_b"))
+    return (s.select(F.explode(F.array_distinct(F.array(pair("i", "j"), pair("j", "i")))).alias("_o"), corr.alias("corr"))
+            .select("_o.var_a", "_o.var_b", "corr"))
+
+
+def correlated_drops(corr: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The columns to drop so that no two that stay reach the threshold: a greedy cover, which
+    takes the column with the most strong partners left (ties: the first by name) until none is left.
+    A row per step: step, column, n_partners.  It folds the strong pairs of columns, whose number
+    the schema bounds, in one row."""
+    strong = correlated_pairs(corr, threshold).agg(F.collect_list(F.struct(F.col("var_a").alias("a"), F.col("var_b").alias("b"))).alias("_pairs"))
+    nothing = F.array().cast("array<struct<column:string,n_partners:bigint>>")
+
+    def take(state, _):
+        gone = F.transform(state, lambda t: t["column"])
+        left = F.filter("_pairs", lambda p: ~F.array_contains(gone, p["a"]) & ~F.array_contains(gone, p["b"]))
+        ends = F.concat(F.transform(left, lambda p: p["a"]), F.transform(left, lambda p: p["b"]))
+        best = F.array_min(F.transform(F.array_distinct(ends), lambda c: F.struct((-F.size(F.filter(ends, lambda e: e == c))).alias("m"), c.alias("column"))))
+        taken = F.struct(best["column"].alias("column"), (-best["m"]).cast("long").alias("n_partners"))
+        return F.when(F.size(left) == 0, state).otherwise(F.concat(state, F.array(taken)))
+
+    folded = strong.where(F.size("_pairs") > 0).select(F.aggregate(F.sequence(F.lit(1), F.size("_pairs")), nothing, take).alias("_d"))
+    return folded.select(F.posexplode("_d").alias("_s", "_t")).select((F.col("_s") + 1).cast("long").alias("step"), "_t.column", "_t.n_partners")
+
+
 def correlated_pairs(corr: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs (a < b) whose |corr| reaches the threshold — the candidates
     for pruning one of the two."""

@@ -440,23 +440,40 @@ def q_boxplot_summary(spark, d):
 
 # ============================================================== statistics
 
-_CORR = ["prec", "tmax", "tmed", "tmin", "velmedia", "rhum"]
-_CORR_PAIRS = " UNION ALL ".join(
-    f"SELECT '{a}' AS var_a, '{b}' AS var_b, {s6(f'corr({a}, {b})')} AS corr FROM fx_weather"
-    for a in _CORR for b in _CORR)
+_CORR = ["prec", "tmax", "tmed", "tmin", "velmedia", "racha", "sol", "presmax", "presmin", "rhum"]
+_CORR_SQL = {
+    "g": "SELECT " + ", ".join(f"corr({a}, {b}) AS {a}__{b}" for a in _CORR for b in _CORR) + " FROM fx_weather",
+    "c": " UNION ALL ".join(f"SELECT '{a}' AS var_a, '{b}' AS var_b, {s6(f'{a}__{b}')} AS corr FROM g" for a in _CORR for b in _CORR)}
 
 
-@register("correlation_matrix", WITH("fx_weather") + _CORR_PAIRS)
+def _correlations(spark, d):
+    return stats.gram_correlation(fx.fx_weather(spark, d), _CORR).withColumn("corr", r6("corr"))
+
+
+@register("correlation_matrix", WITH("fx_weather", extra=_CORR_SQL) + "SELECT * FROM c")
 def q_correlation_matrix(spark, d):
-    c = stats.correlation_matrix(fx.fx_weather(spark, d), _CORR)
-    return c.withColumn("corr", r6("corr"))
+    """All ten weather columns."""
+    return _correlations(spark, d)
 
 
-@register("correlated_pairs", WITH("fx_weather", extra={"c": _CORR_PAIRS}) +
-          "SELECT * FROM c WHERE var_a < var_b AND abs(corr) >= 0.5")
+@register("correlated_pairs", WITH("fx_weather", extra=_CORR_SQL) + "SELECT * FROM c WHERE var_a < var_b AND abs(corr) >= 0.5")
 def q_correlated_pairs(spark, d):
-    c = stats.correlation_matrix(fx.fx_weather(spark, d), _CORR).withColumn("corr", r6("corr"))
-    return stats.correlated_pairs(c, 0.5)
+    return stats.correlated_pairs(_correlations(spark, d), 0.5)
+
+
+@register("correlated_drops", WITH("fx_weather", extra=_CORR_SQL | {
+    "s": "SELECT var_a AS a, var_b AS b FROM c WHERE var_a <> var_b AND abs(corr) >= 0.3"}) + """
+    SELECT * FROM (WITH RECURSIVE t(step, "column", n_partners, gone) AS (
+      SELECT CAST(0 AS BIGINT), CAST('' AS VARCHAR), CAST(0 AS BIGINT), CAST([] AS VARCHAR[])
+      UNION ALL
+      SELECT step + 1, a, n, list_append(gone, a) FROM (
+        SELECT t.step, t.gone, s.a, count(*) AS n FROM t JOIN s
+          ON NOT list_contains(t.gone, s.a) AND NOT list_contains(t.gone, s.b)
+        GROUP BY t.step, t.gone, s.a ORDER BY n DESC, a LIMIT 1))
+    SELECT step, "column", n_partners FROM t WHERE step > 0)""")
+def q_correlated_drops(spark, d):
+    """The columns that a greedy cover of the pairs with |corr| >= 0.3 drops."""
+    return stats.correlated_drops(_correlations(spark, d), 0.3)
 
 
 _LEV = ["prec", "tmax", "tmed", "tmin", "velmedia", "rhum", "sol"]

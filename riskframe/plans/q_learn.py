@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..operators import features as feat
 from ..operators import histtrees as ht
 from ..operators import models as md
 from ..operators import sampling as smp
-from ..sources.files import materialize
+from ..sources.files import materialize, scratch_path, write_csv_partitioned
 from . import jobs
 from . import sql_jobs as sj
 from .catalog import register
@@ -45,7 +46,6 @@ def _clean_table(spark, d):
     """The cleaned table (E8) written once per application and data folder
     under the shared checkpoint folder, then read by the sampling, split and model
     queries.  A data folder that changes needs a new application."""
-    from ..sources.files import scratch_path
     key = (spark.sparkContext.applicationId, d)
     path = _CLEAN_TABLES.get(key)
     if path is not None:
@@ -183,6 +183,29 @@ def q_analysis_subsets(spark, d):
     return out
 
 
+def _subset_sql(name: str, window: bool, mobility: bool) -> str:
+    cols = [c for c in sj._MAX_COLS if mobility or c not in _MOB]
+    where = " AND ".join([f"{c} IS NOT NULL" for c in cols] + ([f"fecha BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'"] if window else []))
+    trips = _MOB[0] if mobility else "CAST(NULL AS DOUBLE)"
+    return (f"SELECT '{name}' AS subset, indicativo, count(*) AS n_rows, CAST(sum(ocurrencia) AS BIGINT) AS n_occurrences, "
+            f"min(fecha) AS first_day, max(fecha) AS last_day, {s6(f'sum({trips})')} AS trips "
+            f"FROM (SELECT DISTINCT fecha, indicativo, {', '.join(cols)} FROM clean WHERE {where}) GROUP BY indicativo")
+
+
+@register("subset_files", sj.with_jobs("clean") + " UNION ALL ".join([
+    _subset_sql("all", False, True), _subset_sql("sin_movilidad", False, False),
+    _subset_sql("ventana", True, True), _subset_sql("ventana_sin_movilidad", True, False)]))
+def q_subset_files(spark, d):
+    """The four subsets without nulls and repeated rows, written as ``;`` text in one go, read
+    back, and told by station."""
+    rows = feat.subset_rows(_clean_table(spark, d), "fecha", WINDOW, _MOB)
+    path = write_csv_partitioned(rows, scratch_path(spark, "subsets"), ["subset"])
+    back = spark.read.schema(rows.schema).option("header", True).option("sep", ";").csv(path)
+    return back.groupBy("subset", "indicativo").agg(
+        F.count("*").alias("n_rows"), F.sum(LABEL).cast("long").alias("n_occurrences"), F.min("fecha").alias("first_day"),
+        F.max("fecha").alias("last_day"), r6(F.sum(_MOB[0])).alias("trips"))
+
+
 # ============================================================== evaluation (deterministic scores)
 
 _SWEEP = " UNION ALL ".join(f"SELECT {t} AS threshold" for t in ev.THRESHOLDS)
@@ -324,6 +347,23 @@ def q_grid_search(spark, d):
     return _scored(cv.fit(tr).bestModel.transform(te))
 
 
+@register("fold_sizes", sj.with_jobs("clean") + f"""
+    SELECT CAST(CAST('0x' || substr({_MD5.format(seed=SEED)}, 1, 15) AS BIGINT) % 3 AS INTEGER) AS fold, ocurrencia, count(*) AS n_rows
+    FROM clean GROUP BY ALL""")
+def q_fold_sizes(spark, d):
+    """Rows of each fold and class."""
+    return md.with_folds(_clean_table(spark, d), KEYS, 3, SEED).groupBy("fold", LABEL).agg(F.count("*").alias("n_rows"))
+
+
+@register("grid_search_weights")
+def q_grid_search_weights(spark, d):
+    """D6 with D9: 3 x 3 grid over the class weight and the depth, folds from a written column."""
+    tr = materialize(md.with_folds(_prepared(spark, d)[0].drop("weight"), KEYS, 3, SEED), "folds")
+    stages = Pipeline(stages=[md.ClassWeighter(LABEL), md.decision_tree(weight="weight")])
+    cv = md.grid_search(stages, {"positiveWeight": [1.0, 5.0, 10.0], "maxDepth": [3, 5, 10]}, fold_col="fold", metric="f1")
+    return md.grid_scores(spark, cv.fit(tr))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, d):
     """Named importances of a boosted model."""

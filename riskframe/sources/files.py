@@ -113,6 +113,12 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True,
     return path
 
 
+def write_csv_partitioned(df: DataFrame, path: str, cols: list[str], sep: str = ";", mode: str = "overwrite") -> str:
+    """K6: delimited text with header, a ``col=value`` folder per value of ``cols``."""
+    df.write.mode(mode).partitionBy(*cols).option("header", True).option("sep", sep).csv(path)
+    return path
+
+
 def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
     """K7: managed table save / replace."""
     df.write.mode(mode).saveAsTable(name)

@@ -11,8 +11,8 @@ Candidates: each text is compared with the smallest text of each of its sketch v
 never all pairs of a group).  Buckets that then still hold more than one class are opened
 further: in small ones all texts of different classes are compared; in larger ones each text is
 first compared with one text a round, the same in buckets alike, and then with every text of
-another class that has one of its rarest parts of three words near the same place, as every pair
-that passes must.
+another class that has one of its rarest parts of up to three words near the same place, as every
+pair that passes must.
 """
 
 from __future__ import annotations
@@ -330,20 +330,10 @@ def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int
     return roots
 
 
-def gram_sizes(n: np.ndarray, similarity: float) -> np.ndarray:
-    """For texts of n words the largest g, GRAM at most, so that g words each, side by side, are more
-    parts than a passing text's edits can break."""
-    most = np.floor(n * (1 - similarity) + 1e-9).astype(np.int64)
-    size = np.ones(len(n), np.int64)
-    for g in range(2, GRAM + 1):
-        size[n // g > most] = g
-    return size
-
-
 def _grams(similarity: float):
-    """All g words in a row of each text, for each g that a text of its length or a longer one looks
-    for; parts is the number of the text's own parts if the row is one of them, else 0."""
-    names = ("rid", "root", "n", "gram", "at", "parts")
+    """All g words in a row of each text, g up to GRAM.  parts is the number of parts of g words, side by
+    side, that the text has, where the row is one of them and edits can't break them all; else 0."""
+    names = ("rid", "root", "n", "g", "gram", "at", "parts")
     schema = pa.schema([(name, pa.int64()) for name in names])
 
     def run(batches):
@@ -357,21 +347,16 @@ def _grams(similarity: float):
                 for t in range(j - i):
                     words = hashes[cut[t]: cut[t + 1]]
                     n = len(words)
-                    if not n:
-                        continue
-                    own = int(gram_sizes(np.array([n]), similarity)[0])
-                    for g in np.unique(gram_sizes(np.arange(n, int(n / similarity) + 2), similarity)).tolist():
-                        if g > n:
-                            continue
+                    most = int(n * (1 - similarity) + 1e-9)
+                    for g in range(1, min(n, GRAM) + 1):
                         at = np.arange(n - g + 1)
                         with np.errstate(over="ignore"):
                             h = np.full(len(at), g, np.uint64)
                             for k in range(g):
                                 h = _mix(h + words[k: k + len(at)] * np.uint64(2 * k + 0x9E3779B97F4A7C15))
-                        mine = (at % g == 0) if g == own else np.zeros(len(at), bool)
-                        row = (np.full(len(at), rid[i + t]), np.full(len(at), root[i + t]), np.full(len(at), n), h.view(np.int64), at, np.where(mine, n // g, 0))
-                        for column, part in zip(columns, row):
-                            column.append(part)
+                        parts = np.where(at % g == 0, n // g, 0) if n // g > most else np.zeros(len(at), np.int64)
+                        for column, part in zip(columns, (rid[i + t], root[i + t], n, g, h.view(np.int64), at, parts)):
+                            column.append(np.broadcast_to(part, len(at)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], schema=schema)
     return run
 
@@ -383,16 +368,24 @@ def _possible(held: DataFrame, texts: DataFrame, some: DataFrame, similarity: fl
     The longer text x, of n words, is cut into parts of g words side by side.  An edit breaks one
     part at most, so with e edits at most e parts are not in y, and those that are lie at most e words
     off.  So of any e + 1 parts y has one: taken are those that no other class has, then the
-    rarest.  A text of which more than e parts are in no other class passes with none, and
-    takes no part as x."""
-    grams = held.join(some, "rid").select("rid", "root", "text").mapInArrow(_grams(similarity), "rid long, root long, n long, gram long, at long, parts long")
+    rarest.  A text of which more than e parts of any g are in no other class passes with none, and
+    takes no part as x; else it takes the g whose parts have the fewest places to look at: words in
+    a row tell texts of common words apart, short parts those that share a long passage."""
+    grams = held.join(some, "rid").select("rid", "root", "text").mapInArrow(
+        _grams(similarity), "rid long, root long, n long, g long, gram long, at long, parts long")
     grams = written(grams, "grams")
     times = grams.groupBy("gram").agg(F.count("*").alias("times"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     shared = written(grams.join(times.filter("r0 <> r1").select("gram", "times"), "gram"), "shared")
     most = F.floor(F.col("n") * (1 - similarity) + 1e-9)
-    of_text = Window.partitionBy("rid")
-    ranked = shared.filter("parts > 0").withColumn("k", F.row_number().over(of_text.orderBy("times", "gram", "at"))).withColumn("known", F.count("*").over(of_text))
-    first = ranked.filter(F.col("k") <= most + 1 - (F.col("parts") - F.col("known"))).select("gram", F.col("rid").alias("x"), F.col("root").alias("rx"), "n", "at", most.alias("most"))
+    cut = Window.partitionBy("rid", "g")
+    ranked = shared.filter("parts > 0").withColumn("k", F.row_number().over(cut.orderBy("times", "gram", "at"))).withColumn("known", F.count("*").over(cut))
+    ranked = ranked.withColumn("first", F.col("k") <= most + 1 - (F.col("parts") - F.col("known")))
+    cost = ranked.groupBy("rid", "n", "g").agg(F.sum(F.when(F.col("first"), F.col("times")).otherwise(0)).alias("cost"))
+    sizes = sum(F.when(F.floor(F.col("n") / g) > most, 1).otherwise(0) for g in range(1, GRAM + 1))
+    best = cost.groupBy("rid", "n").agg(F.min(F.struct("cost", "g")).alias("b"), F.count("*").alias("c"))
+    best = best.filter((F.col("c") == sizes) & (F.col("b.cost") > 0)).select("rid", F.col("b.g").alias("g"))
+    first = ranked.filter("first").join(best, ["rid", "g"]).select("gram", F.col("rid").alias("x"), F.col("root").alias("rx"), "n", "at", most.alias("most"))
+    first = written(first, "parts")
     second = shared.select("gram", F.col("rid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("m"), F.col("at").alias("to"))
     near = (F.col("rx") != F.col("ry")) & F.col("m").between(F.col("n") - F.col("most"), F.col("n")) & (F.abs(F.col("at") - F.col("to")) <= F.col("most"))
     pairs = first.join(second, (first["gram"] == second["gram"]) & near).select("x", "y").distinct()

@@ -13,7 +13,9 @@ arc, so extents need no care at the poles or at the 180th meridian.  At the
 leaves the great-circle distance decides, ties by the station key: exact.
 
 Each level is one equi-join on the cell and one grouped minimum; no pair of a
-point and a station is made before the leaves.
+point and a station is made before the leaves.  A small table of points makes
+many rows on the way down, so the points are dealt into parts of a fixed size
+first: the rows of one task follow from that size, not from the table's.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from ..functions.geo import haversine_m
 HALVINGS = 30  # of the finest cells: some centimetres
 STEP = 2  # halvings a level
 SLACK = 1e-9  # of the unit sphere's radius: 6 mm, far above the rounding of coordinates
+PART_ROWS = 4096  # points, or stations, of one task
 _XYZ = ("x", "y", "z")
 
 
@@ -49,6 +52,11 @@ def _cell(level: Column | int) -> Column:
     return shift("iy") * F.lit(1 << HALVINGS) + shift("ix")
 
 
+def _dealt_out(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in parts of about ``PART_ROWS`` rows; a number that is given is not coalesced."""
+    return df.repartition(max(1, -(-df.count() // PART_ROWS)), *by)
+
+
 def station_tree(stations: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     """stations: key, lat, lon, more columns.  Returns the stations with (level, cell) of their leaf,
     and the cells: level, cell, up (the cell's parent), leaf, extent l*, h*, a station x, y, z.
@@ -62,7 +70,7 @@ def station_tree(stations: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]
     spots = spots.select("lat", "lon", "s.*").withColumns(_fine_cell("lat", "lon") | _on_sphere("lat", "lon"))
     spots = materialize(spots, "spots")
     levels = F.explode(F.sequence(F.lit(0), F.lit(HALVINGS // STEP))).alias("level")
-    every = spots.select("*", levels).withColumn("cell", _cell(F.col("level")))
+    every = _dealt_out(spots, "iy", "ix").select("*", levels).withColumn("cell", _cell(F.col("level")))
     up = F.when(F.col("level") > 0, _cell(F.col("level") - 1)).otherwise(F.lit(-1).cast("long"))
     sizes = every.withColumn("up", up).groupBy("level", "cell", "up").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"l{c}") for c in _XYZ], *[F.max(c).alias(f"h{c}") for c in _XYZ], F.min(F.struct("key", *_XYZ)).alias("one"))
@@ -77,26 +85,26 @@ def station_tree(stations: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]
 
 def leaves_in_reach(points: DataFrame, cells: DataFrame) -> DataFrame:
     """points: pid, lat, lon.  (pid, lat, lon, level, cell) of the leaves that can hold a point's nearest station."""
+    from ..sources.files import materialize
+
     top = cells.agg(F.max("level").alias("m")).first()["m"]
-    front = points.withColumns(_on_sphere("lat", "lon"))
     keep = ["pid", "lat", "lon", *_XYZ]
-    kept = ["level", "cell", "leaf", *[f"l{c}" for c in _XYZ], *[f"h{c}" for c in _XYZ], *[f"o{c}" for c in _XYZ]]
+    kept = ["level", "cell", *[f"l{c}" for c in _XYZ], *[f"h{c}" for c in _XYZ], *[f"o{c}" for c in _XYZ]]
+    front = _dealt_out(points, "pid").withColumns(_on_sphere("lat", "lon") | {"level": F.lit(-1), "cell": F.lit(-1).cast("long")})
     for level in range(0, -1 if top is None else top + 1):
-        below = cells.where(F.col("level") == level).select("up", *kept)
-        if level == 0:
-            step = front.withColumn("up", F.lit(-1).cast("long")).join(below, "up").select(*keep, *kept)
-        else:  # a leaf stays in the race, for its distance bounds the others
-            ends = front.where("leaf").select(*keep, *kept)
-            inner = front.where("not leaf").select(*keep, F.col("cell").alias("up"))
-            step = inner.join(below, "up").select(*keep, *kept).unionByName(ends)
+        # a leaf follows itself: it stays in the race, for its distance bounds the others
+        inner = cells.where(F.col("level") == level).select(F.lit(level - 1).alias("of"), F.col("up").alias("under"), *kept)
+        ends = cells.where((F.col("level") < level) & F.col("leaf")).select(F.col("level").alias("of"), F.col("cell").alias("under"), *kept)
+        below = inner.unionByName(ends) if level else inner
+        step = front.select(*keep, F.col("level").alias("of"), F.col("cell").alias("under")).join(below, ["of", "under"]).select(*keep, *kept)
         gap = [F.greatest(F.col(f"l{c}") - F.col(c), F.col(c) - F.col(f"h{c}"), F.lit(0.0)) for c in _XYZ]
         away = [F.col(c) - F.col(f"o{c}") for c in _XYZ]
-        step = step.withColumns({"near": F.sqrt(sum((g * g for g in gap), F.lit(0.0))), "sure": F.sqrt(sum((a * a for a in away), F.lit(0.0)))})
+        step = step.select(*keep, "level", "cell", F.sqrt(sum((g * g for g in gap), F.lit(0.0))).alias("near"), F.sqrt(sum((a * a for a in away), F.lit(0.0))).alias("sure"))
         reach = F.min("sure").over(Window.partitionBy("pid"))
-        front = step.withColumn("reach", reach).where(F.col("near") <= F.col("reach") + SLACK).select(*keep, *kept)
-        if level and level % 4 == 0:  # so that the plan stays short in a deep tree
-            from ..sources.files import materialize
+        front = step.withColumn("reach", reach).where(F.col("near") <= F.col("reach") + SLACK).select(*keep, "level", "cell")
+        if level and level % 4 == 0 and level < top:  # so that the plan stays short in a deep tree
             front = materialize(front, "quad-front")
+            front = front.repartition(max(1, -(-front.count() // (8 * PART_ROWS))), "pid")
     return front.select("pid", "lat", "lon", "level", "cell") if top is not None else points.select("pid", "lat", "lon", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cell")).limit(0)
 
 
@@ -105,7 +113,10 @@ def nearest_by_tree(points: DataFrame, stations: DataFrame, crowd: int = 16) ->
     (pid, best): the struct of dist in metres, key and the station's other columns."""
     placed, cells = station_tree(stations, crowd)
     rest = [c for c in stations.columns if c not in ("key", "lat", "lon")]
-    there = placed.select("level", "cell", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "key", *rest)
-    pairs = leaves_in_reach(points, cells).join(there, ["level", "cell"])
-    pairs = pairs.withColumn("dist", haversine_m("lat", "lon", "s_lat", "s_lon"))
-    return pairs.groupBy("pid").agg(F.min(F.struct("dist", "key", *rest)).alias("best"))
+    there = F.struct(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "key", *rest)
+    leaves = placed.groupBy("level", "cell").agg(F.collect_list(there).alias("there"))
+    pairs = leaves_in_reach(points, cells).join(leaves, ["level", "cell"])
+    # a leaf's stations are told apart within the row, so that one row a leaf is grouped and not one a station
+    best = F.array_min(F.transform("there", lambda s: F.struct(
+        haversine_m("lat", "lon", s["s_lat"], s["s_lon"]).alias("dist"), s["key"].alias("key"), *[s[c].alias(c) for c in rest])))
+    return pairs.select("pid", best.alias("best")).groupBy("pid").agg(F.min("best").alias("best"))

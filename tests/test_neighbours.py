@@ -125,3 +125,16 @@ def test_quadtree_of_odd_tables(spark):
     assert near(pts, one) == {1: 5, 2: None, 3: 5}
     same = spark.createDataFrame([(i, 1.0, 1.0) for i in range(40)], "sid long, lat double, lon double")
     assert near(pts, same) == {1: 0, 2: None, 3: 0}
+
+
+def test_quadtree_work_of_a_task_does_not_grow_with_the_points(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from riskframe.operators import quadtree
+    monkeypatch.setattr(quadtree, "PART_ROWS", 50)
+    rng = np.random.default_rng(8)
+    _, cells = quadtree.station_tree(places(spark, rng.uniform(40, 43, 300), rng.uniform(0, 3, 300), "key"), 16)
+    for n in (200, 1600):
+        seen = quadtree.leaves_in_reach(places(spark, rng.uniform(40, 43, n), rng.uniform(0, 3, n), "pid"), cells)
+        assert seen.select("pid").distinct().count() == n
+        most = seen.groupBy(F.spark_partition_id()).agg(F.countDistinct("pid").alias("points")).agg({"points": "max"}).first()[0]
+        assert most <= 150  # all points were in one task before

@@ -29,6 +29,7 @@ HALVINGS = 30  # of the finest cells: some centimetres
 STEP = 2  # halvings a level
 SLACK = 1e-9  # of the unit sphere's radius: 6 mm, far above the rounding of coordinates
 PART_ROWS = 4096  # points, or stations, of one task
+SENT_CELLS = 200_000  # cells, of some 100 bytes, that are broadcast at most
 _XYZ = ("x", "y", "z")
 
 
@@ -52,9 +53,9 @@ def _cell(level: Column | int) -> Column:
     return shift("iy") * F.lit(1 << HALVINGS) + shift("ix")
 
 
-def _dealt_out(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` in parts of about ``PART_ROWS`` rows; a number that is given is not coalesced."""
-    return df.repartition(max(1, -(-df.count() // PART_ROWS)), *by)
+def _parts(df: DataFrame, rows: int) -> int:
+    """How many parts of about ``rows`` rows ``df`` makes; partitions of a given number are not coalesced."""
+    return max(1, -(-df.count() // rows))
 
 
 def station_tree(stations: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +71,7 @@ def station_tree(stations: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]
     spots = spots.select("lat", "lon", "s.*").withColumns(_fine_cell("lat", "lon") | _on_sphere("lat", "lon"))
     spots = materialize(spots, "spots")
     levels = F.explode(F.sequence(F.lit(0), F.lit(HALVINGS // STEP))).alias("level")
-    every = _dealt_out(spots, "iy", "ix").select("*", levels).withColumn("cell", _cell(F.col("level")))
+    every = spots.repartition(_parts(spots, PART_ROWS), "iy", "ix").select("*", levels).withColumn("cell", _cell(F.col("level")))
     up = F.when(F.col("level") > 0, _cell(F.col("level") - 1)).otherwise(F.lit(-1).cast("long"))
     sizes = every.withColumn("up", up).groupBy("level", "cell", "up").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"l{c}") for c in _XYZ], *[F.max(c).alias(f"h{c}") for c in _XYZ], F.min(F.struct("key", *_XYZ)).alias("one"))
@@ -87,24 +88,26 @@ def leaves_in_reach(points: DataFrame, cells: DataFrame) -> DataFrame:
     """points: pid, lat, lon.  (pid, lat, lon, level, cell) of the leaves that can hold a point's nearest station."""
     from ..sources.files import materialize
 
-    top = cells.agg(F.max("level").alias("m")).first()["m"]
+    top, n_cells = cells.agg(F.max("level").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    parts = _parts(points, PART_ROWS)
     keep = ["pid", "lat", "lon", *_XYZ]
     kept = ["level", "cell", *[f"l{c}" for c in _XYZ], *[f"h{c}" for c in _XYZ], *[f"o{c}" for c in _XYZ]]
-    front = _dealt_out(points, "pid").withColumns(_on_sphere("lat", "lon") | {"level": F.lit(-1), "cell": F.lit(-1).cast("long")})
+    front = points.repartition(parts, "pid").withColumns(_on_sphere("lat", "lon") | {"level": F.lit(-1), "cell": F.lit(-1).cast("long")})
     for level in range(0, -1 if top is None else top + 1):
         # a leaf follows itself: it stays in the race, for its distance bounds the others
         inner = cells.where(F.col("level") == level).select(F.lit(level - 1).alias("of"), F.col("up").alias("under"), *kept)
         ends = cells.where((F.col("level") < level) & F.col("leaf")).select(F.col("level").alias("of"), F.col("cell").alias("under"), *kept)
         below = inner.unionByName(ends) if level else inner
-        step = front.select(*keep, F.col("level").alias("of"), F.col("cell").alias("under")).join(below, ["of", "under"]).select(*keep, *kept)
+        few = n_cells <= SENT_CELLS  # so that the points stay in their parts
+        step = front.select(*keep, F.col("level").alias("of"), F.col("cell").alias("under")).join(F.broadcast(below) if few else below, ["of", "under"])
+        step = (step if few else step.repartition(parts, "pid")).select(*keep, *kept)
         gap = [F.greatest(F.col(f"l{c}") - F.col(c), F.col(c) - F.col(f"h{c}"), F.lit(0.0)) for c in _XYZ]
         away = [F.col(c) - F.col(f"o{c}") for c in _XYZ]
         step = step.select(*keep, "level", "cell", F.sqrt(sum((g * g for g in gap), F.lit(0.0))).alias("near"), F.sqrt(sum((a * a for a in away), F.lit(0.0))).alias("sure"))
         reach = F.min("sure").over(Window.partitionBy("pid"))
         front = step.withColumn("reach", reach).where(F.col("near") <= F.col("reach") + SLACK).select(*keep, "level", "cell")
         if level and level % 4 == 0 and level < top:  # so that the plan stays short in a deep tree
-            front = materialize(front, "quad-front")
-            front = front.repartition(max(1, -(-front.count() // (8 * PART_ROWS))), "pid")
+            front = materialize(front, "quad-front").repartition(parts, "pid")
     return front.select("pid", "lat", "lon", "level", "cell") if top is not None else points.select("pid", "lat", "lon", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cell")).limit(0)
 
 

@@ -143,14 +143,18 @@ def job_occurrence(weather: DataFrame, incidents: DataFrame, bridge: DataFrame)
 
 # ---------------------------------------------------------------- E6/E7 features
 
+def served_terrain(bridge: DataFrame, terrain: DataFrame) -> DataFrame:
+    """The municipalities that each station serves with their terrain and risk.  Joined before the
+    fan-out, so that no municipality-day row is shuffled to meet its terrain."""
+    t = terrain.select(F.col("cod_municipio").alias("codigo_municipio"), "municipio", "altitud",
+                       "porcentaje_pendiente_total", "alto_riesgo", "peligro", "vulner")
+    return bridge.select("codigo_municipio", "indicativo").join(t, "codigo_municipio", "left")
+
+
 def job_features(occurrence: DataFrame, bridge: DataFrame, terrain: DataFrame) -> DataFrame:
     """Station-day facts fanned out to the municipalities each station
     serves, with the municipality's terrain and risk."""
-    b = bridge.select("codigo_municipio", "indicativo")
-    fan = rel.fan_out(occurrence, b, "indicativo")
-    t = terrain.select(F.col("cod_municipio").alias("codigo_municipio"), "municipio", "altitud",
-                       "porcentaje_pendiente_total", "alto_riesgo", "peligro", "vulner")
-    out = fan.join(t, "codigo_municipio", "left")
+    out = rel.fan_out(occurrence, served_terrain(bridge, terrain), "indicativo")
     return out.select("fecha", "indicativo", "municipio", F.col("codigo_municipio").alias("cod_municipio"),
                       *fx.WEATHER_COLUMNS, "altitud", "porcentaje_pendiente_total", "alto_riesgo",
                       "peligro", "vulner", "ocurrencia")
@@ -183,17 +187,13 @@ def job_features_mobility_from_parts(occurrence: DataFrame, bridge: DataFrame, t
 
     Mobility is keyed by (day, station), which the fan-out preserves, so
     joining it to the station-days first shuffles one row per station-day
-    instead of one per municipality-day; the fan-out and the terrain join
-    then only probe small dimensions (broadcast by AQE).  Same rows as
+    instead of one per municipality-day; the fan-out then meets the
+    municipalities with their terrain already joined, and its rows are never shuffled.  Same rows as
     ``job_features_mobility(job_features(...), ...)``.
     """
     mob = mobility_per_station_day(mobility, stations_of_zone)
     occ = occurrence.join(mob, ["fecha", "indicativo"], "left")
-    b = bridge.select("codigo_municipio", "indicativo")
-    t = terrain.select(
-        F.col("cod_municipio").alias("codigo_municipio"), "municipio", "altitud",
-        "porcentaje_pendiente_total", "alto_riesgo", "peligro", "vulner")
-    out = rel.fan_out(occ, b, "indicativo").join(t, "codigo_municipio", "left")
+    out = rel.fan_out(occ, served_terrain(bridge, terrain), "indicativo")
     return out.select("fecha", "indicativo", "municipio", F.col("codigo_municipio").alias("cod_municipio"),
                       *fx.WEATHER_COLUMNS, "altitud", "porcentaje_pendiente_total", "alto_riesgo",
                       "peligro", "vulner", "ocurrencia", "total_viajes_estacion", "total_viajes_km_estacion")
@@ -236,7 +236,8 @@ def job_clean_from_parts(occurrence: DataFrame, bridge: DataFrame, terrain: Data
     """
     t = terrain.select(F.col("cod_municipio").alias("codigo_municipio"), *TERRAIN_COLS).withColumn(
         "vulner", replace_placeholder("vulner", "-", "Moderada"))
-    per_station = (bridge.select("codigo_municipio", "indicativo").join(t, "codigo_municipio", "left")
+    # dealt out first: texts are grouped by sorting, and the municipalities may lie in one file
+    per_station = (bridge.select("codigo_municipio", "indicativo").join(t, "codigo_municipio", "left").repartition("codigo_municipio")
                    .groupBy("indicativo").agg(*[F.max(c).alias(c) for c in TERRAIN_COLS]))
     days = occurrence.select("fecha", "indicativo", *fx.WEATHER_COLUMNS, "ocurrencia")
     df = days.join(per_station, "indicativo").join(

@@ -8,7 +8,8 @@ so texts agree in it only if they share these k-mers in the same order.  Equal t
 text from the start.
 
 Candidates: each text is compared with the smallest text of each of its sketch values (a star,
-never all pairs of a group).  Buckets that then still hold more than one class are opened
+never all pairs of a group), first with the one that it shares most values with, then with those
+that are not in its class by then.  Buckets that then still hold more than one class are opened
 further: in small ones all texts of different classes are compared; in larger ones each text is
 first compared with one text a round, the same in buckets alike, and then with every text of
 another class that has one of its rarest parts of up to three words near the same place, as every
@@ -36,6 +37,8 @@ SMALL = 12
 ROUNDS = 3
 #: Words in a row, at most, by which those are compared.
 GRAM = 3
+#: Words of texts, at most, whose columns are held as bits (a number of that many bits for each different word).
+BITS = 1 << 14
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -148,11 +151,38 @@ def _sketches(k: int, m: int, width: int):
 
 # --- alignment --------------------------------------------------------------------------------
 
+def _bit_distance(a: list, b: list, most: int) -> int:
+    """Edit distance if it is at most ``most``, else most + 1: a word of ``b`` after the other, a column
+    of differences (one up, one down) held as the bits of two whole numbers."""
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    at: dict = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    up, down, score, left = full, 0, len(a), len(b)
+    for w in b:
+        left -= 1
+        same = at.get(w, 0) | down
+        same |= ((same & up) + up) ^ up
+        right = down | (full & ~(same | up))
+        back = up & same
+        if right & top:
+            score += 1
+        elif back & top:
+            score -= 1
+        if score - left > most:  # each word left takes back one at most
+            return most + 1
+        right = right << 1 | 1
+        up = full & (back << 1 | ~(same | right))
+        down = full & right & same
+    return score
+
+
 def word_distance(a: list, b: list, most: int) -> int:
     """Edit distance (insert, delete, replace a word) if it is at most ``most``, else most + 1.
 
     Alignment in a band of diagonals: for e = 0, 1, .. edits the furthest place that each
-    diagonal of the band reaches, at most 2e + 1 of them."""
+    diagonal of the band reaches, at most 2e + 1 of them.  Where these steps grow to more than one a
+    word, the columns are gone through instead."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     lo = 0
@@ -195,7 +225,13 @@ def word_distance(a: list, b: list, most: int) -> int:
     while i < n and i < m and a[i] == b[i]:
         i += 1
     reach[0] = i
+    # so many edits at least, and so many for which the diagonals take fewer steps than the columns
+    least, few = max(max(n, m) - shared, (missing + max(0, n - m) + 1) // 2), int(min(n, m) ** 0.5) if max(n, m) <= BITS else most
+    if least > few:
+        return _bit_distance(a, b, most) if n > m else _bit_distance(b, a, most)
     for e in range(1, most + 1):
+        if e > few:
+            return _bit_distance(a, b, most) if n > m else _bit_distance(b, a, most)
         now = {}
         # what is further off the last diagonal than edits are left can't come back
         for d in range(max(-e, -m, goal - (most - e)), min(e, n, goal + most - e) + 1):
@@ -278,6 +314,13 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(joined.join(roots, "node", "left_anti")), "classes")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose ends are not in one class yet; the others would link nothing."""
+    at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    both = pairs.join(at("x"), "x", "left").join(at("y"), "y", "left")
+    return both.filter(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
+
+
 def _verified(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (x, y) of text numbers that pass the alignment; each y's pairs lie together."""
     first = held.select(F.col("rid").alias("x"), F.col("text").alias("text_x"))
@@ -294,11 +337,17 @@ def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int
     rows = written(rows.join(lead, "key"), "met")
     needed = texts.join(rows.select("rid").distinct(), "rid").select("rid", "tid", "row")
     held = written(base.join(needed, ["tid", "row"]).select("rid", "text").dropDuplicates(["rid"]), "texts")
-    # each text against the smallest of its bucket
-    pairs = written(rows.filter("rid <> y").select(F.col("rid").alias("x"), "y").distinct(), "pairs")
-    links = _verified(held, pairs, similarity)
-    rows = rows.select("key", "rid")
+    # each text against the smallest of its bucket: first the one that it meets in most buckets, then the others of another class
+    pairs = written(rows.filter("rid <> y").groupBy(F.col("rid").alias("x"), "y").agg(F.count("*").alias("times")), "pairs")
+    close = pairs.groupBy("x").agg(F.max_by("y", F.struct("times", -F.col("y"))).alias("y"))
+    links = _verified(held, close, similarity)
+    rows, pairs = rows.select("key", "rid"), pairs.select("x", "y")
     roots = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    apart = written(_apart(pairs, roots).join(close, ["x", "y"], "left_anti"), "pairs")
+    if not apart.isEmpty():
+        links = _verified(held, apart, similarity)
+        if not links.isEmpty():
+            roots = _merged(roots, links)
     for turn in range(ROUNDS + 1):
         # buckets that still hold more than one class, each with a leader: the text that a hash of this turn puts first
         seen = rows.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))

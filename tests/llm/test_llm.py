@@ -100,6 +100,37 @@ def test_word_distance_by_dynamic_programming():
             assert order_minhash.word_distance(a, b, most) == min(row[-1], most + 1)
 
 
+def test_columns_as_bits_by_dynamic_programming():
+    rng = random.Random(15)
+    for _ in range(300):
+        a = [rng.randrange(rng.choice([3, 40])) for _ in range(rng.randint(1, 90))]
+        b = [rng.randrange(40) if rng.random() < 0.3 else w for w in a if rng.random() > 0.1] or [1]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        most = rng.randint(0, 60)
+        assert order_minhash._bit_distance(a, b, most) == order_minhash.word_distance(a, b, most) == min(row[-1], most + 1)
+
+
+def test_texts_of_a_family_are_aligned_with_few_others(spark, monkeypatch):
+    rng = random.Random(16)
+    base, rows = [rng.randrange(5000) for _ in range(150)], []
+    for i in range(60):
+        words = [rng.randrange(5000) if rng.random() < 0.04 else w for w in base]
+        rows.append((i, " ".join(f"w{w}" for w in words)))
+    aligned, verified = [], order_minhash._verified
+
+    def counted(held, pairs, similarity):
+        aligned.append(pairs.count())
+        return verified(held, pairs, similarity)
+
+    monkeypatch.setattr(order_minhash, "_verified", counted)
+    got = order_minhash.near_duplicates(docs(spark, rows)).collect()
+    assert len({r.class_id for r in got}) == 1 and sum(aligned) <= 3 * len(rows), aligned
+
+
 def test_near_duplicates_are_one_class(spark):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(3000)]

@@ -11,9 +11,9 @@ Candidates: each text is compared with the smallest text of each of its sketch v
 never all pairs of a group), first with the one that it shares most values with, then with those
 that are not in its class by then.  Buckets that then still hold more than one class are opened
 further: in small ones all texts of different classes are compared; in larger ones each text is
-first compared with one text a round, the same in buckets alike, and then with every text of
-another class that has one of its rarest parts of up to three words near the same place, as every
-pair that passes must.
+first compared with one text, the same in buckets alike, and then with every text of another class
+that shares one of its rarest words, counted with their occurrence numbers, as every pair that
+passes must.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ WIDTH = 2
 #: Texts of a bucket that are compared across classes at once (at most SMALL^2/2 pairs a bucket).
 SMALL = 12
 #: Rounds in which the texts of a larger bucket meet a leader, before its remaining classes are compared in full.
-ROUNDS = 3
-#: Words in a row, at most, by which those are compared.
-GRAM = 3
+ROUNDS = 1
+#: Rare words before a shared one that are looked at for an earlier shared one.
+BEFORE = 8
 #: Words of texts, at most, whose columns are held as bits (a number of that many bits for each different word).
 BITS = 1 << 14
 
@@ -379,64 +379,44 @@ def _classes(base: DataFrame, texts: DataFrame, similarity: float, sketches: int
     return roots
 
 
-def _grams(similarity: float):
-    """All g words in a row of each text, g up to GRAM.  parts is the number of parts of g words, side by
-    side, that the text has, where the row is one of them and edits can't break them all; else 0."""
-    names = ("rid", "root", "n", "g", "gram", "at", "parts")
-    schema = pa.schema([(name, pa.int64()) for name in names])
-
-    def run(batches):
-        tables = _tables(1 << 20)
-        for batch in batches:
-            rid, root = batch.column("rid").to_pylist(), batch.column("root").to_pylist()
-            for i, j, data, off in _text_blocks(batch.column("text"), 1 << 20):
-                hashes, owner = word_hashes(data, off[1:], tables)
-                cut = np.searchsorted(owner, np.arange(j - i + 1))
-                columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
-                for t in range(j - i):
-                    words = hashes[cut[t]: cut[t + 1]]
-                    n = len(words)
-                    most = int(n * (1 - similarity) + 1e-9)
-                    for g in range(1, min(n, GRAM) + 1):
-                        at = np.arange(n - g + 1)
-                        with np.errstate(over="ignore"):
-                            h = np.full(len(at), g, np.uint64)
-                            for k in range(g):
-                                h = _mix(h + words[k: k + len(at)] * np.uint64(2 * k + 0x9E3779B97F4A7C15))
-                        parts = np.where(at % g == 0, n // g, 0) if n // g > most else np.zeros(len(at), np.int64)
-                        for column, part in zip(columns, (rid[i + t], root[i + t], n, g, h.view(np.int64), at, parts)):
-                            column.append(np.broadcast_to(part, len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], schema=schema)
-    return run
+def _numbered_words(batches):
+    """All words of each text, each with its occurrence number in the text."""
+    schema = pa.schema([(name, pa.int64()) for name in ("rid", "root", "n", "word")])
+    tables = _tables(1 << 20)
+    for batch in batches:
+        rid, root = (batch.column(name).to_numpy() for name in ("rid", "root"))
+        for i, j, data, off in _text_blocks(batch.column("text"), 1 << 20):
+            hashes, owner = word_hashes(data, off[1:], tables)
+            cut = np.searchsorted(owner, np.arange(j - i + 1))
+            numbered = [labelled_kmers(hashes[cut[t]: cut[t + 1]], 1) for t in range(j - i)]
+            size = np.diff(cut)
+            columns = np.repeat(rid[i:j], size), np.repeat(root[i:j], size), np.repeat(size, size), np.concatenate([np.zeros(0, np.uint64), *numbered]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
 
 def _possible(held: DataFrame, texts: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
     """Pairs (x, y) of different classes of ``some`` (rid, root) that share a sketch value and may
     pass the alignment; none that passes is left out.
 
-    The longer text x, of n words, is cut into parts of g words side by side.  An edit breaks one
-    part at most, so with e edits at most e parts are not in y, and those that are lie at most e words
-    off.  So of any e + 1 parts y has one: taken are those that no other class has, then the
-    rarest.  A text of which more than e parts of any g are in no other class passes with none, and
-    takes no part as x; else it takes the g whose parts have the fewest places to look at: words in
-    a row tell texts of common words apart, short parts those that share a long passage."""
-    grams = held.join(some, "rid").select("rid", "root", "text").mapInArrow(
-        _grams(similarity), "rid long, root long, n long, g long, gram long, at long, parts long")
-    grams = written(grams, "grams")
-    times = grams.groupBy("gram").agg(F.count("*").alias("times"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    shared = written(grams.join(times.filter("r0 <> r1").select("gram", "times"), "gram"), "shared")
+    Words count with their occurrence numbers, so a text of n words is a set of n, and each edit
+    takes one of them at most.  If x, of n words, and y, of m <= n, are e edits apart at most, they
+    share n - e or more.  In one order of all words, the rarest first, the first that they share
+    is therefore among the first e + 1 of x and the first m - n + e + 1 of y.  Words of one class only
+    come first in that order and meet nothing.  A pair that shares several rare words is taken at the
+    first: where one of the ``BEFORE`` rare words before is shared too, it was taken there or earlier."""
+    words = held.join(some, "rid").select("rid", "root", "text").mapInArrow(_numbered_words, "rid long, root long, n long, word long")
+    words = written(words, "words")
+    times = words.groupBy("word").agg(F.count("*").alias("times"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    shared = words.join(times.filter("r0 <> r1").select("word", "times"), "word")
+    each = Window.partitionBy("rid")
+    order = each.orderBy("times", "word")
     most = F.floor(F.col("n") * (1 - similarity) + 1e-9)
-    cut = Window.partitionBy("rid", "g")
-    ranked = shared.filter("parts > 0").withColumn("k", F.row_number().over(cut.orderBy("times", "gram", "at"))).withColumn("known", F.count("*").over(cut))
-    ranked = ranked.withColumn("first", F.col("k") <= most + 1 - (F.col("parts") - F.col("known")))
-    cost = ranked.groupBy("rid", "n", "g").agg(F.sum(F.when(F.col("first"), F.col("times")).otherwise(0)).alias("cost"))
-    sizes = sum(F.when(F.floor(F.col("n") / g) > most, 1).otherwise(0) for g in range(1, GRAM + 1))
-    best = cost.groupBy("rid", "n").agg(F.min(F.struct("cost", "g")).alias("b"), F.count("*").alias("c"))
-    best = best.filter((F.col("c") == sizes) & (F.col("b.cost") > 0)).select("rid", F.col("b.g").alias("g"))
-    first = ranked.filter("first").join(best, ["rid", "g"]).select("gram", F.col("rid").alias("x"), F.col("root").alias("rx"), "n", "at", most.alias("most"))
-    first = written(first, "parts")
-    second = shared.select("gram", F.col("rid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("m"), F.col("at").alias("to"))
-    near = (F.col("rx") != F.col("ry")) & F.col("m").between(F.col("n") - F.col("most"), F.col("n")) & (F.abs(F.col("at") - F.col("to")) <= F.col("most"))
-    pairs = first.join(second, (first["gram"] == second["gram"]) & near).select("x", "y").distinct()
+    rare = shared.withColumn("most", most).withColumn("k", F.row_number().over(order) + F.col("n") - F.count("*").over(each)).filter("k <= most + 1")
+    rare = written(rare.withColumn("before", F.collect_list("word").over(order.rowsBetween(-BEFORE, -1))).select("rid", "root", "n", "most", "word", "k", "before"), "rare")
+    first = rare.select("word", F.col("rid").alias("x"), F.col("root").alias("rx"), "n", "most", F.col("before").alias("bx"))
+    second = rare.select("word", F.col("rid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("m"), "k", F.col("before").alias("by"))
+    near = (F.col("rx") != F.col("ry")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("y") < F.col("x"))))
+    near = near & (F.col("k") <= F.col("m") - F.col("n") + F.col("most") + 1) & ~F.arrays_overlap("bx", "by")
+    pairs = first.join(second, (first["word"] == second["word"]) & near).select("x", "y").distinct()
     keys = lambda end: texts.select(F.col("rid").alias(end), F.col("keys").alias(f"k{end}"))
     return pairs.join(keys("x"), "x").join(keys("y"), "y").filter(F.arrays_overlap("kx", "ky")).select("x", "y")

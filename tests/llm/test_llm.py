@@ -189,6 +189,34 @@ def test_large_buckets_by_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == root
 
 
+def test_last_comparison_of_texts_of_one_common_word(spark, monkeypatch):
+    """Texts that are mostly one word meet by their rare words; no pair within the distance is left out, few are taken twice."""
+    rng, written, kept = random.Random(21), order_minhash.written, {}
+    texts = [["the"] * rng.randrange(60, 90) + [f"w{rng.randrange(60)}" for _ in range(15)] for _ in range(30)]
+    for t in texts:
+        rng.shuffle(t)
+    for t in texts[:]:  # and copies with some words changed
+        own = list(t)
+        for _ in range(rng.randrange(4, 24)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(60)}"
+        texts.append(own)
+    monkeypatch.setattr(order_minhash, "written", lambda df, what: kept.setdefault(what, written(df, what)))
+    held = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "rid long, text string")
+    keys = held.selectExpr("rid", "array(1L) AS keys")
+    found = [tuple(sorted(r)) for r in order_minhash._possible(held, keys, held.selectExpr("rid", "rid AS root"), 0.8).collect()]
+    assert len(found) == len(set(found))
+    near = set()
+    for x in range(len(texts)):
+        for y in range(x):
+            most = int(max(len(texts[x]), len(texts[y])) * (1 - 0.8) + 1e-9)
+            if order_minhash.word_distance(texts[x], texts[y], most) <= most:
+                near.add((y, x))
+    assert len(near) >= 15 and near <= set(found)
+    # rows that meet on a key, before: each of a text's common words with each of all texts
+    met = kept["rare"].groupBy("word").count().selectExpr("sum(count * count) AS n").first().n
+    assert met < 20 * len(texts) ** 2, met
+
+
 def test_sketches_meet_at_the_threshold_of_acceptance():
     """Every fifth word on average is another one: edit similarity 0.8."""
     rng, seed, met = np.random.default_rng(3), order_minhash.seeds(order_minhash.SKETCHES), 0

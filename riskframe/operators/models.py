@@ -1,10 +1,10 @@
 """Distributed classifiers (D1–D9) on MLlib.
 
-Trees, forests, boosted trees and the perceptron are MLlib estimators; the
-balanced forest (D3) and AdaBoost (D4) are loops of MLlib fits over
-hash-seeded samples / weight columns, with lineage cut by ``checkpoint()``
-into the cluster's checkpoint folder.  MLlib grows trees to a depth of 30
-at most; a larger ``max_depth`` is an error (stated in the README).
+Trees, boosted trees and the perceptron are MLlib estimators, the forest (D2)
+is that of ``forest``; the balanced forest (D3) and AdaBoost (D4) are loops of
+MLlib fits over hash-seeded samples / weight columns, with lineage cut by
+``checkpoint()`` into the cluster's checkpoint folder.  MLlib grows trees to a
+depth of 30 at most; a larger ``max_depth`` is an error (stated in the README).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .forest import RandomForest
 from .sampling import first_n, hash_key
 
 MAX_DEPTH = 30  # fixed value: MLlib's limit
@@ -43,11 +44,9 @@ def decision_tree(features: str = "features", label: str = "ocurrencia", weight:
 
 
 def random_forest(features: str = "features", label: str = "ocurrencia", weight: str | None = None,
-                  n_trees: int = 100, max_depth: int = 10, min_leaf: int = 10, seed: int = 123):
-    """D2."""
-    rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=n_trees,
-                                maxDepth=_depth(max_depth), minInstancesPerNode=min_leaf, seed=seed)
-    return rf.setWeightCol(weight) if weight else rf
+                  n_trees: int = 1000, max_depth: int = 30, min_leaf: int = 10, seed: int = 123):
+    """D2; the sizes are the reference's."""
+    return RandomForest(features, label, weight, n_trees=n_trees, max_depth=_depth(max_depth), min_leaf=min_leaf, seed=seed)
 
 
 def gbt(features: str = "features", label: str = "ocurrencia", max_iter: int = 50, max_depth: int = 5,
